@@ -117,15 +117,14 @@ def _tally(condition: Column) -> Column:
 
 
 def role_aggregates(lexicon: Lexicon, settings: Settings) -> list[Column]:
-    """Aggregates over role rows: ``title company industry duration_months
-    is_current``. Fixed-width buffers only, so they hash-aggregate."""
+    """Counts and sums over role rows: ``title company industry duration_months
+    is_current``."""
     kind = employer_class(F.col("company"), F.col("industry"), settings)
     done = ~flag(F.col("is_current"))
     months = number(F.col("duration_months"))
-    title = lower_text(F.col("title"))
-    hits = title_hits(title, lexicon)
+    hits = title_hits(lower_text(F.col("title")), lexicon)
     return [
-        F.count("is_role").alias("n_roles"),
+        F.count(F.lit(1)).alias("n_roles"),
         *[_tally(kind == c).alias(f"n_{c}") for c in CLASSES],
         _tally(done).alias("n_completed"),
         F.sum(F.when(done, months).otherwise(0.0)).alias("completed_months"),
@@ -135,27 +134,31 @@ def role_aggregates(lexicon: Lexicon, settings: Settings) -> list[Column]:
     ]
 
 
-def first_offenders(roles: DataFrame, people: DataFrame, key: str) -> DataFrame:
-    """``(key, overlong, misdated)``: the first offending role of each kind.
+def offender_aggregates() -> list[Column]:
+    """First offending role of each kind, over role rows that also carry
+    ``role_no start_year end_year`` and their owner's ``yoe``."""
+    months = number(F.col("duration_months"))
+    span = ((F.nullif(F.col("end_year"), F.lit(0)) - F.nullif(F.col("start_year"), F.lit(0)))
+            * 12).cast("int")
+    entry = F.struct("role_no", F.coalesce("title", F.lit("?")).alias("title"),
+                     months.alias("months"), span.alias("span"))
+    long = integrity.overlong(F.col("duration_months"), F.col("yoe"))
+    off = integrity.misdated(F.col("duration_months"), span)
+    return [F.min(F.when(long, entry)).alias("_long"), F.min(F.when(off, entry)).alias("_off")]
 
-    ``roles`` also carries ``role_no start_year end_year``; ``people`` the
-    years of experience. Only offending rows reach the grouping.
-    """
-    title = F.coalesce(F.col("title"), F.lit("?"))
-    span = (F.nullif(F.col("end_year"), F.lit(0)) - F.nullif(F.col("start_year"), F.lit(0))) * 12
-    marked = roles.join(people.select(key, "yoe"), key).select(
-        key, "role_no", title.alias("title"), number(F.col("duration_months")).alias("months"),
-        span.cast("int").alias("span"),
-        integrity.overlong(F.col("duration_months"), F.col("yoe")).alias("_long"),
-        integrity.misdated(F.col("duration_months"), span).alias("_off"))
-    return (marked.where("_long or _off").groupBy(key).agg(
-        F.min(F.when(F.col("_long"), F.struct("role_no", "title", "months"))).alias("_l"),
-        F.min(F.when(F.col("_off"), F.struct("role_no", "title", "months", "span"))).alias("_o"))
-        .select(key,
-                F.when(F.col("_l").isNotNull(), F.struct("_l.title", "_l.months"))
-                .cast(OVERLONG).alias("overlong"),
-                F.when(F.col("_o").isNotNull(), F.struct("_o.title", "_o.months", "_o.span"))
-                .cast(MISDATED).alias("misdated")))
+
+def unpacked(aggregated: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """Turn the raw role aggregates into the columns of the facts frame."""
+    names = [f"_past_{i}" for i in range(len(lexicon.domains))]
+    long, off = F.col("_long"), F.col("_off")
+    return aggregated.withColumns({
+        "past_hits": F.array(*[F.col(n) for n in names]),
+        "overlong": F.when(long.isNotNull(), F.struct(
+            long["title"].alias("title"), long["months"].alias("months"))).cast(OVERLONG),
+        "misdated": F.when(off.isNotNull(), F.struct(
+            off["title"].alias("title"), off["months"].alias("months"),
+            off["span"].alias("span"))).cast(MISDATED),
+    }).drop(*names, "_long", "_off")
 
 
 def skill_aggregates(spec: JobSpec) -> list[Column]:
@@ -174,11 +177,6 @@ def assessment_aggregates(spec: JobSpec) -> list[Column]:
             F.coalesce(F.sum("score"), F.lit(0.0)).alias("all_sum")]
 
 
-def pack_past_hits(df: DataFrame, lexicon: Lexicon) -> DataFrame:
-    names = [f"_past_{i}" for i in range(len(lexicon.domains))]
-    return df.withColumn("past_hits", F.array(*[F.col(n) for n in names])).drop(*names)
-
-
 ZERO_COUNTS = ("n_roles", "n_consulting", "n_product", "n_nontech", "n_completed",
                "skill_hits", "mastery_zero", "rel_n", "all_n")
 ZERO_SUMS = ("completed_months", "total_months", "rel_sum", "all_sum")
