@@ -32,7 +32,7 @@ def people(spark: SparkSession, sf: str) -> DataFrame:
         F.lower("p_type").alias("industry"))
     key = F.col("row_id")
     return (
-        table(spark, sf, "customer").withColumnRenamed("c_custkey", "row_id")
+        spread(table(spark, sf, "customer")).withColumnRenamed("c_custkey", "row_id")
         .join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .join(part, "row_id", "left")
@@ -85,8 +85,9 @@ def roles(spark: SparkSession, sf: str, spec: JobSpec) -> DataFrame:
 def role_facts(spark: SparkSession, sf: str, spec: JobSpec) -> DataFrame:
     """Role and skill facts per customer in one pass over the lines."""
     own = people(spark, sf).select("row_id", "yoe")
-    per_person = roles(spark, sf, spec).join(own, "row_id").groupBy("row_id").agg(
-        *fx.role_aggregates(LEXICON, SETTINGS), *fx.offender_aggregates(),
+    marked = fx.role_marks(roles(spark, sf, spec), LEXICON, SETTINGS).join(own, "row_id")
+    per_person = marked.groupBy("row_id").agg(
+        *fx.role_aggregates(LEXICON), *fx.offender_aggregates(),
         F.sum("skill_hits").alias("skill_hits"), F.sum("mastery_zero").alias("mastery_zero"),
         F.date_format(F.max("ordered"), "yyyy-MM-dd").alias("last_active"))
     return fx.unpacked(per_person, LEXICON)

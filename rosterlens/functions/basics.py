@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -39,17 +38,21 @@ def flag(col: Column) -> Column:
     return F.coalesce(col, F.lit(False))
 
 
-def strings(values: Iterable[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def any_of(conditions: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+def strings(values: Iterable[str]) -> Column:
+    """Literal array<string>, parsed in one step instead of one call per entry."""
+    return F.expr("array(" + ", ".join(_quoted(v) for v in values) + ")").cast("array<string>")
 
 
 def contains_any(col: Column, needles: Iterable[str]) -> Column:
     """Unbounded substring test against a literal list."""
-    return any_of(col.contains(n) for n in needles)
+    words = tuple(needles)
+    if not words:
+        return F.lit(False)
+    return let(col, lambda c: F.exists(strings(words), lambda n: F.contains(c, n)))
 
 
 def clamp(col: Column, low: float, high: float) -> Column:

@@ -62,7 +62,7 @@ def term_counts(matched: Column, lexicon: Lexicon) -> Column:
     def of(found: Column, terms: tuple[str, ...]) -> Column:
         if not terms:
             return F.lit(0)
-        return F.size(F.filter(found, lambda t: t.isin(*terms)))
+        return F.size(F.filter(strings(terms), lambda t: F.array_contains(found, t)))
     return let(matched, lambda m: F.array(*[of(m, d.terms) for d in lexicon.domains]))
 
 

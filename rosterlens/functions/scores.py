@@ -10,7 +10,7 @@ from pyspark.sql import Column, functions as F
 
 from rosterlens import fixed_values as fv
 from rosterlens.functions.basics import (
-    any_of, clamp, contains_any, flag, let, lower_text, number, strings)
+    clamp, contains_any, flag, let, lower_text, number, strings)
 from rosterlens.settings import JobSpec, Lexicon, Settings
 
 
@@ -46,9 +46,8 @@ def location(place: Column, country: Column, relocate: Column, spec: JobSpec,
 
 def evidence_found(prose: Column, spec: JobSpec) -> Column:
     """Keywords of the role that occur in the prose, in keyword order."""
-    return F.array_compact(F.array(
-        *[F.when(prose.contains(k), F.lit(k)) for k in spec.keywords])) \
-        if spec.keywords else strings([])
+    return let(prose, lambda p: F.filter(
+        strings(spec.keywords), lambda k: F.contains(p, k)))
 
 
 def evidence(found: Column, spec: JobSpec) -> Column:
@@ -180,5 +179,5 @@ def keyword_match(name: Column, spec: JobSpec) -> Column:
     """Exact match of a trimmed, lower-cased skill name with a role keyword."""
     if not spec.keywords:
         return F.lit(False)
-    return any_of([F.lower(F.btrim(F.coalesce(name, F.lit("")),
-                                   F.lit(" \t\n\r\x0b\x0c"))).isin(*spec.keywords)])
+    bare = F.lower(F.btrim(F.coalesce(name, F.lit("")), F.lit(" \t\n\r\x0b\x0c")))
+    return bare.isin(list(spec.keywords))

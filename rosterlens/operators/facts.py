@@ -116,21 +116,26 @@ def _tally(condition: Column) -> Column:
     return F.sum(F.when(condition, 1).otherwise(0))
 
 
-def role_aggregates(lexicon: Lexicon, settings: Settings) -> list[Column]:
-    """Counts and sums over role rows: ``title company industry duration_months
-    is_current``."""
-    kind = employer_class(F.col("company"), F.col("industry"), settings)
-    done = ~flag(F.col("is_current"))
-    months = number(F.col("duration_months"))
-    hits = title_hits(lower_text(F.col("title")), lexicon)
+def role_marks(roles: DataFrame, lexicon: Lexicon, settings: Settings) -> DataFrame:
+    """Add what the role aggregates look at, so that it is computed once a row."""
+    return roles.withColumns({
+        "_kind": employer_class(F.col("company"), F.col("industry"), settings),
+        "_hits": title_hits(lower_text(F.col("title")), lexicon),
+        "_done": ~flag(F.col("is_current")),
+        "_months": number(F.col("duration_months"))})
+
+
+def role_aggregates(lexicon: Lexicon) -> list[Column]:
+    """Counts and sums over marked role rows."""
+    done, months = F.col("_done"), F.col("_months")
     return [
         F.count(F.lit(1)).alias("n_roles"),
-        *[_tally(kind == c).alias(f"n_{c}") for c in CLASSES],
+        *[_tally(F.col("_kind") == c).alias(f"n_{c}") for c in CLASSES],
         _tally(done).alias("n_completed"),
         F.sum(F.when(done, months).otherwise(0.0)).alias("completed_months"),
         F.sum(months).alias("total_months"),
-        *[F.sum(F.when(done, F.get(hits, F.lit(i))).otherwise(0)).cast("int").alias(f"_past_{i}")
-          for i in range(len(lexicon.domains))],
+        *[F.sum(F.when(done, F.get("_hits", F.lit(i))).otherwise(0)).cast("int")
+          .alias(f"_past_{i}") for i in range(len(lexicon.domains))],
     ]
 
 

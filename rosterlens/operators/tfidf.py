@@ -53,10 +53,12 @@ def term_counts(docs: DataFrame, key: str, text: str, stop_words: tuple[str, ...
     lengths = F.zip_with(b, F.concat(_head(b, 2), F.array(n)), lambda i, j: j - i)
     return (docs.select(key, words.alias("_u"))
             .select(key, F.sort_array(F.concat(u, pairs)).alias("_s"))
-            .where(F.size("_s") > 0)
             .select(key, "_s", starts.alias("_b"))
             .select(key, F.inline(F.arrays_zip(
-                F.array_distinct(s).alias("term"), lengths.alias("tf")))))
+                F.array_distinct(s).alias("term"), lengths.alias("tf"))))
+            # a text without terms yields one null entry; a filter on the array
+            # instead would be pushed down and build the array again
+            .where(F.col("term").isNotNull()))
 
 
 def vocabulary(counts: DataFrame, n_docs: Column, min_df: int,

@@ -39,8 +39,10 @@ def materialise(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan of few files enough partitions to use every core.
 
-    A scan that already has more partitions than cores is returned as it is,
-    so large inputs are not shuffled. Use on plain scans only.
+    Work per row can be heavy where the files are few and small. A scan of
+    more files than cores is returned as it is, so large inputs are not
+    shuffled. Use on plain scans only.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(2 * cores)
+    files = len(df._jdf.inputFiles())
+    return df if files >= 2 * cores else df.repartition(2 * cores)
