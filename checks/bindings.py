@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from checks.parameters import LEXICON, ROLE_HEAD, SETTINGS
 from rosterlens.operators import facts as fx
@@ -15,10 +15,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def candidate_id(key: str):
+def candidate_id(key: str) -> Column:
     return F.format_string("CAND_%07d", F.col(key).cast("bigint"))
 
 
+def years(key: Column) -> Column:
+    return (key % 160) / F.lit(10.0)
+
+
 def people(spark: SparkSession, sf: str) -> DataFrame:
     """One row per customer: profile and platform signals."""
     events = table(spark, sf, "events")
@@ -41,7 +45,7 @@ def people(spark: SparkSession, sf: str) -> DataFrame:
         .select(
             key, candidate_id("row_id").alias("candidate_id"), "title", "industry",
             F.col("c_mktsegment").alias("company"),
-            ((key % 160) / F.lit(10.0)).alias("yoe"),
+            years(key).alias("yoe"),
             F.lower("n_name").alias("location"), F.lower("r_name").alias("country"),
             (key % 3 == 0).alias("relocate"), F.coalesce("open_to_work", F.lit(False))
             .alias("open_to_work"),
@@ -84,7 +88,8 @@ def roles(spark: SparkSession, sf: str, spec: JobSpec) -> DataFrame:
 
 def role_facts(spark: SparkSession, sf: str, spec: JobSpec) -> DataFrame:
     """Role and skill facts per customer in one pass over the lines."""
-    own = people(spark, sf).select("row_id", "yoe")
+    own = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("row_id"), years(F.col("c_custkey")).alias("yoe"))
     marked = fx.role_marks(roles(spark, sf, spec), LEXICON, SETTINGS).join(own, "row_id")
     per_person = marked.groupBy("row_id").agg(
         *fx.role_aggregates(LEXICON), *fx.offender_aggregates(),
@@ -103,7 +108,8 @@ def assessment_facts(spark: SparkSession, sf: str, spec: JobSpec) -> DataFrame:
 def pool(spark: SparkSession, sf: str, spec: JobSpec) -> DataFrame:
     """Facts of every customer."""
     own = people(spark, sf).join(assessment_facts(spark, sf, spec), "user_id", "left")
-    joined = fx.table_facts(own, [role_facts(spark, sf, spec), prose(spark, sf)],
+    # whole texts are never a side to broadcast, however few they are today
+    joined = fx.table_facts(own, [role_facts(spark, sf, spec), prose(spark, sf).hint("merge")],
                             "row_id", LEXICON)
     return joined.withColumn("prose", F.coalesce("prose", F.lit(""))).drop("user_id")
 
@@ -127,7 +133,7 @@ def jobs(spark: SparkSession, sf: str) -> DataFrame:
     """One role text per part."""
     size = F.col("p_size")
 
-    def said(col):
+    def said(col: Column) -> Column:
         return col.cast("string")
 
     key = F.col("p_partkey")

@@ -37,17 +37,48 @@ def listed(column: str | Column) -> Column:
     return F.array_join(F.transform(col, lambda x: x.cast("string")), ",")
 
 
+_kept: dict[tuple, object] = {}
+
+
+def once(make: Callable) -> Callable:
+    """Keep the result of a step for the session: the parsed role (one row) and
+    the scored pool (a written table) serve many views. ``forget`` drops it."""
+    def step(spark: SparkSession, sf: str):
+        key = (make.__name__, spark.sparkContext.applicationId, sf)
+        if key not in _kept:
+            _kept[key] = make(spark, sf)
+        return _kept[key]
+    return step
+
+
+def forget() -> None:
+    _kept.clear()
+
+
+@once
+def role_text(spark: SparkSession, sf: str) -> str:
+    return b.role_text(spark, sf)
+
+
+@once
 def role(spark: SparkSession, sf: str) -> JobSpec:
-    return jb.parse_job(spark, b.role_text(spark, sf), LEXICON, SETTINGS)
+    return jb.parse_job(spark, role_text(spark, sf), LEXICON, SETTINGS)
 
 
+@once
 def ranking(spark: SparkSession, sf: str) -> Ranking:
     """The whole run: parse the role, score every customer."""
     spec = role(spark, sf)
-    return rank_facts(b.pool(spark, sf, spec), b.role_text(spark, sf), LEXICON, SETTINGS,
+    return rank_facts(b.pool(spark, sf, spec), role_text(spark, sf), LEXICON, SETTINGS,
                       one_per_key(b.dense(spark, sf), "candidate_id"), spec)
 
 
+@once
+def everyone(spark: SparkSession, sf: str) -> DataFrame:
+    """The audit of the whole pool, as a written table."""
+    return materialise(ranking(spark, sf).audit())
+
+
 # --- nested records built from the customer rows ------------------------------
 def nested(spark: SparkSession, sf: str) -> DataFrame:
     """One nested candidate record per customer with three roles each."""
@@ -200,7 +231,7 @@ def jd_spec(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- similarity --------------------------------------------------------------
 def _similar(spark: SparkSession, sf: str) -> DataFrame:
-    return similarities(b.prose(spark, sf), "row_id", "prose", b.role_text(spark, sf), SETTINGS)
+    return similarities(b.prose(spark, sf), "row_id", "prose", role_text(spark, sf), SETTINGS)
 
 
 def tfidf_similarity(spark: SparkSession, sf: str) -> DataFrame:
@@ -381,12 +412,8 @@ def audit(spark: SparkSession, sf: str) -> DataFrame:
     return ranking(spark, sf).audit(TOP)
 
 
-def _everyone(spark: SparkSession, sf: str) -> DataFrame:
-    return materialise(ranking(spark, sf).audit())
-
-
 def flags(spark: SparkSession, sf: str) -> DataFrame:
-    return _everyone(spark, sf).select("candidate_id", views.flag_text().alias("flag"))
+    return everyone(spark, sf).select("candidate_id", views.flag_text().alias("flag"))
 
 
 def contributions(spark: SparkSession, sf: str) -> DataFrame:
@@ -395,7 +422,7 @@ def contributions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def post_rank_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return views.filtered(_everyone(spark, sf), 50, "asia", 4).select(
+    return views.filtered(everyone(spark, sf), 50, "asia", 4).select(
         "rank", "candidate_id", "title", "domain", "yoe", "score", views.flag_text().alias("flag"))
 
 
@@ -406,20 +433,20 @@ def candidate_detail(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kpis(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(insights.kpis(_everyone(spark, sf), "asia"), "top10_yoe")
+    return tidy(insights.kpis(everyone(spark, sf), "asia"), "top10_yoe")
 
 
 def title_mix(spark: SparkSession, sf: str) -> DataFrame:
-    shown = views.filtered(_everyone(spark, sf), TOP)
+    shown = views.filtered(everyone(spark, sf), TOP)
     return insights.most_common(shown, "title", 12)
 
 
 def score_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return insights.histogram(_everyone(spark, sf), "score", 25)
+    return insights.histogram(everyone(spark, sf), "score", 25)
 
 
 def scatter(spark: SparkSession, sf: str) -> DataFrame:
-    return insights.scatter(_everyone(spark, sf))
+    return insights.scatter(everyone(spark, sf))
 
 
 def country_mix(spark: SparkSession, sf: str) -> DataFrame:
@@ -516,7 +543,7 @@ def nested_ranking(spark: SparkSession, sf: str) -> DataFrame:
     from rosterlens import rank_pool
     path = _folder(spark)
     _as_lines(nested(spark, sf)).write.text(path)
-    run = rank_pool(src.read_jsonl(spark, path), b.role_text(spark, sf), LEXICON, SETTINGS,
+    run = rank_pool(src.read_jsonl(spark, path), role_text(spark, sf), LEXICON, SETTINGS,
                     at_least=TOP)
     return run.top(TOP).select("candidate_id", "rank", "score", "reasoning")
 

@@ -38,6 +38,13 @@ def has_word(col: str, word: str) -> str:
     return f"regexp_matches({col}, {q(f'(^|{edge}){word}({edge}|$)')})"
 
 
+def terms_in(col: str) -> str:
+    """List of the lexicon terms that occur between non-alphanumerics."""
+    return "list_filter([" + ", ".join(
+        f"case when regexp_matches({col}, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') then {q(t)} end"
+        for t in LEXICON.all_terms) + "], lambda x: x is not null)"
+
+
 def exact(x: str, digits: int) -> str:
     """Correctly rounded units of 10^-digits of a non-negative double."""
     s = 10 ** digits
@@ -195,17 +202,16 @@ def parsing(src: str, pre: str) -> None:
   over (partition by jd_id order by pos rows between 15 preceding and current row) = 1 as neg
  from (select jd_id, unnest(cl) as clause, generate_subscripts(cl, 1) as pos
   from (select jd_id, string_split_regex(t, '[.\\n;]') as cl from {src}))""", src)
-    vocab = ", ".join(f"({i}, {q(s)})" for i, s in enumerate(SETTINGS.specialties))
-    edge = r"[^\p{L}\p{N}_]"
-    piece(pre + "excl", f"""select jd_id, list(sp order by p, vi) as excluded from (
- select jd_id, sp, vi, min(pos) as p from {pre}clause join (values {vocab}) v(vi, sp)
- on neg and regexp_matches(clause, '(^|{edge})' || sp || '({edge}|$)') group by all)
- group by jd_id""", pre + "clause")
+    vocab = ", ".join(f"case when {has_word('clause', s)} then {{'vi': {i}, 'sp': {q(s)}}} end"
+                      for i, s in enumerate(SETTINGS.specialties))
+    piece(pre + "excl", f"""select jd_id, list(e.sp order by p, e.vi) as excluded from (
+ select jd_id, e, min(pos) as p from (select jd_id, pos,
+  unnest(list_filter([{vocab}], lambda x: x is not null)) as e from {pre}clause where neg)
+ group by jd_id, e) group by jd_id""", pre + "clause")
     piece(pre + "raw", f"""select s.jd_id, d.di, d.domain, d.label,
  4.0::double * max(case when l.kind = 'title' and contains(lower(ti.title), l.phrase) then 1 else 0 end)
- + least(2.5::double, 0.4::double * count(case when l.kind = 'term' and regexp_matches(s.t,
-   '(^|[^a-z0-9])' || l.phrase || '([^a-z0-9]|$)') then 1 end)) as raw
- from {src} s join {pre}title ti using (jd_id) cross join lex l join dom d on d.di = l.di
+ + least(2.5::double, 0.4::double * count(case when l.kind = 'term' and list_contains(s.seen, l.phrase) then 1 end)) as raw
+ from (select *, {terms_in('t')} as seen from {src}) s join {pre}title ti using (jd_id) cross join lex l join dom d on d.di = l.di
  group by all""", src, pre + "title", "lex", "dom")
     piece(pre + "vec", f"""select jd_id, di, domain, label,
  case when n <= 1e-9 then 0.0 else raw / n end as v,
@@ -242,9 +248,8 @@ for _late in ("skl", "assess"):
     PIECES[_late] = PIECES.pop(_late)
 
 # --- domain vectors of people -------------------------------------------------------------
-_term_hit = ("regexp_matches({t}, '(^|[^a-z0-9])' || l.phrase || '([^a-z0-9]|$)')")
-piece("terms", f"""select p.row_id, l.di, l.phrase from prose p join (select * from lex where kind = 'term') l
- on {_term_hit.format(t='p.prose')}""", "prose", "lex")
+piece("terms", f"""select row_id, l.di, l.phrase from (select row_id, unnest({terms_in('prose')}) as phrase
+ from prose) p join (select * from lex where kind = 'term') l using (phrase)""", "prose", "lex")
 piece("rawvec", """select p.row_id, d.di, d.domain, d.label,
  4.0::double * max(case when l.kind = 'title' and contains(lower(coalesce(p.title, '')), l.phrase) then 1 else 0 end)
  + coalesce(max(pa.hits), 0) + least(2.5::double, 0.4::double * coalesce(max(te.n), 0)) as raw
@@ -343,8 +348,8 @@ VERIFIED = """least(1.08, greatest(0.95, 1.0
  + 0.03::double * case when github >= 0 then least(1.0, greatest(-0.3, (github - 35.0) / 45.0)) else 0.0 end))"""
 STUFFER = """case when skill_hits >= 4 and role_fit < 0.45 then 1.0 - 0.45::double
  * (least(1.0, skill_hits / 8.0) * (0.45 - role_fit) / 0.45) else 1.0 end"""
-NEGATIVE = """case when exists (select 1 from spec, unnest(excluded) u(x)
-  where contains(lower(coalesce(title, '')), x))
+NEGATIVE = """case when len(list_filter((select excluded from spec),
+  lambda x: contains(lower(coalesce(title, '')), x))) > 0
  then case when evidence >= 0.9 then 0.80 else 0.60 end else 1.0 end"""
 
 
@@ -506,9 +511,8 @@ piece("nbase", """select row_id, candidate_id, title, industry, company, nyoe as
  case when list_contains((select keywords from spec), 'click') then (row_id % 90)::double
   else ((row_id % 90)::double + (row_id % 80)::double) / 2 end as avg_assessment
  from nown join nrf f using (row_id) join nsk using (row_id)""", "nown", "nrf", "nsk", "spec")
-piece("nterms", f"""select p.row_id, l.di, count(*) as n from nprose p
- join (select * from lex where kind = 'term') l on {_term_hit.format(t='p.prose')} group by all""",
-      "nprose", "lex")
+piece("nterms", f"""select row_id, l.di, count(*) as n from (select row_id, unnest({terms_in('prose')}) as phrase
+ from nprose) p join (select * from lex where kind = 'term') l using (phrase) group by all""", "nprose", "lex")
 piece("nraw", """select p.row_id, d.di,
  4.0::double * max(case when l.kind = 'title' and contains(lower(coalesce(p.title, '')), l.phrase) then 1 else 0 end)
  + coalesce(max(pa.hits), 0) + least(2.5::double, 0.4::double * coalesce(max(te.n), 0)) as raw
