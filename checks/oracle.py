@@ -47,13 +47,13 @@ def terms_in(col: str) -> str:
 
 def exact(x: str, digits: int) -> str:
     """Correctly rounded units of 10^-digits of a non-negative double."""
-    s = 10 ** digits
-    frac = f"(cast(({x} - floor({x})) * 4503599627370496.0::double as bigint) * {s})"
-    units = f"(cast(floor({x}) as bigint) * {s} + ({frac} >> 52))"
-    rest = f"({frac} & 4503599627370495)"
-    up = (f"(case when {rest} > 2251799813685248 or ({rest} = 2251799813685248 "
-          f"and {units} % 2 = 1) then 1 else 0 end)")
-    return f"({units} + {up})"
+    s = f"{float(10 ** digits)!r}::double"
+    down, wide = f"floor(({x}) * {s})", f"(({x}) * 134217729.0::double)"
+    high = f"({wide} - ({wide} - ({x})))"
+    side = (f"(({high} * (2.0::double * {s}) - ({down} * 2.0::double + 1.0::double)) "
+            f"+ (({x}) - {high}) * (2.0::double * {s}))")
+    return (f"(cast({down} as bigint) + case when {side} > 0 or ({side} = 0 and {down} % 2 = 1) "
+            "then 1 else 0 end)")
 
 
 def one_decimal(x: str) -> str:
@@ -325,11 +325,11 @@ AVAILABILITY = ("(0.55::double + 0.57::double * ((" + " + ".join(
     f"case when {p} is null then 0 else {dbl(w)} * ({v}) end" for w, p, v in _TERMS) + ") / ("
     + " + ".join(f"case when {p} is null then 0 else {dbl(w)} end" for w, p, _ in _TERMS) + ")))")
 EXPERIENCE = """case when (select exp_min <= 0 and exp_max >= 50 from spec) then 0.7
- when yoe between (select exp_min from spec) and (select exp_max from spec) then greatest(0.82,
-  1.0 - 0.18::double * abs(yoe - (select exp_ideal from spec))
+ when coalesce(yoe, 0) between (select exp_min from spec) and (select exp_max from spec) then greatest(0.82,
+  1.0 - 0.18::double * abs(coalesce(yoe, 0) - (select exp_ideal from spec))
    / (select greatest(1.0, (exp_max - exp_min) / 2.0) from spec))
- else greatest(0.08, 0.80 - 0.13::double * case when yoe < (select exp_min from spec)
-  then (select exp_min from spec) - yoe else yoe - (select exp_max from spec) end) end"""
+ else greatest(0.08, 0.80 - 0.13::double * case when coalesce(yoe, 0) < (select exp_min from spec)
+  then (select exp_min from spec) - coalesce(yoe, 0) else yoe - (select exp_max from spec) end) end"""
 LOCATION = """case when exists (select 1 from spec, unnest(cities) u(x) where contains(location, x)) then 1.0
  when exists (select 1 from spec, unnest(countries) u(x) where contains(country, x))
   then case when relocate then 0.78 else 0.68 end
@@ -344,7 +344,7 @@ COMPANY = f"""case when n_roles = 0 then case when {has_any('industry', SETTINGS
  else least(1.0, greatest(0.0, case when n_nontech / n_roles >= 0.8 and n_product = 0
   then least(0.20, {_c1}) else {_c1} end)) end"""
 VERIFIED = """least(1.08, greatest(0.95, 1.0
- + 0.05::double * coalesce(least(1.0, greatest(-0.5, (avg_assessment - 55.0) / 35.0)), 0.0)
+ + 0.05::double * case when avg_assessment is null then 0.0 else least(1.0, greatest(-0.5, (avg_assessment - 55.0) / 35.0)) end
  + 0.03::double * case when github >= 0 then least(1.0, greatest(-0.3, (github - 35.0) / 45.0)) else 0.0 end))"""
 STUFFER = """case when skill_hits >= 4 and role_fit < 0.45 then 1.0 - 0.45::double
  * (least(1.0, skill_hits / 8.0) * (0.45 - role_fit) / 0.45) else 1.0 end"""

@@ -82,19 +82,22 @@ def grid(col: Column, digits: int) -> Column:
 def exact_units(col: Column, digits: int) -> Column:
     """``col`` in units of 10^-digits, correctly rounded from its binary value.
 
-    Multiplying by ten in floating point can turn a value just below a tie
-    into the tie, so the fraction is taken to 2^-52 and rounded in integers.
+    Multiplying by ten in floating point can turn a value just below a tie into
+    the tie. The value is split into two halves of its bits, whose products
+    with a small integer are exact, to see on which side of the tie it lies.
     """
-    scale = 10 ** digits
+    scale = float(10 ** digits)
 
     def rounded(x: Column) -> Column:
-        whole = F.floor(x).cast("bigint")
-        scaled = ((x - whole) * F.lit(float(2 ** 52))).cast("bigint") * F.lit(scale)
-        units = whole * F.lit(scale) + F.shiftright(scaled, 52)
-        rest = F.pmod(scaled, F.lit(2 ** 52))
-        half = F.lit(2 ** 51)
-        up = (rest > half) | ((rest == half) & (F.pmod(units, F.lit(2)) == 1))
-        return units + F.when(up, 1).otherwise(0)
+        wide = x * F.lit(134217729.0)
+        return let(F.struct(x.alias("x"), (wide - (wide - x)).alias("high"),
+                            F.floor(x * scale).cast("double").alias("down")), from_halves)
+
+    def from_halves(p: Column) -> Column:
+        tie = p["down"] * 2.0 + 1.0
+        side = (p["high"] * (2.0 * scale) - tie) + (p["x"] - p["high"]) * (2.0 * scale)
+        up = (side > 0) | ((side == 0) & (p["down"] % 2 == 1))
+        return p["down"].cast("bigint") + F.when(up, 1).otherwise(0)
 
     def signed(x: Column) -> Column:
         return F.when(x < 0, -rounded(F.abs(x))).otherwise(rounded(x))

@@ -149,7 +149,8 @@ def assessment_mean(rel_n: Column, rel_sum: Column, all_n: Column, all_sum: Colu
 
 
 def corroboration(mean: Column, github: Column, spec: JobSpec, lexicon: Lexicon) -> Column:
-    assessed = F.coalesce(clamp((mean - 55.0) / 35.0, -0.5, 1.0), F.lit(0.0))
+    # least and greatest skip nulls, so a missing mean needs its own branch
+    assessed = F.when(mean.isNotNull(), clamp((mean - 55.0) / 35.0, -0.5, 1.0)).otherwise(0.0)
     shown = F.when(github >= 0, clamp((github - 35.0) / 45.0, -0.3, 1.0)).otherwise(0.0)
     if not spec.is_technical(lexicon):
         shown = F.lit(0.0)

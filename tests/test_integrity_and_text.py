@@ -6,7 +6,6 @@ from rosterlens.functions import basics, integrity, phrases
 
 ROW = ("o STRUCT<title: STRING, months: DOUBLE>, n INT, t DOUBLE, z INT, "
        "d STRUCT<title: STRING, months: DOUBLE, span: INT>, y DOUBLE")
-FACTS = [c(x) for x in ("o", "n", "t", "z", "d", "y")]
 
 
 def test_reasons_and_verdict(spark):
@@ -18,7 +17,7 @@ def test_reasons_and_verdict(spark):
         (None, 1, 10.0, 3, None, 9.0),
         (("A", 99.0), 2, 199.0, 6, ("B", 99.0, 12), 1.0),
     ]
-    v = integrity.verdict(*FACTS)
+    v = integrity.verdict(*[c(x) for x in ("o", "n", "t", "z", "d", "y")])
     assert evaluate(spark, ROW, rows, v["reasons"]) == [
         [],
         ["role 'Lead' lasts 100mo but total experience is only 2.5y"],
@@ -55,10 +54,10 @@ def test_idle_mastery_null_is_not_zero(spark):
 
 
 def test_exact_decimals_match_binary_value(spark):
-    values = [0.15, 0.25, 0.35, 2.5, 4.35, 6.05, 7.0, 12.45, 0.05, 99.95]
+    values = [0.6625, 0.15, 0.25, 0.35, 2.5, 4.35, 6.05, 7.0, 12.45, 0.05, 99.95]
     assert evaluate(spark, "x DOUBLE", [(v,) for v in values], basics.one_decimal(c("x"))) == \
         [f"{v:.1f}" for v in values]
-    values = [0.0005, 0.0015, 0.1235, 0.6665, 1.0005, -0.0125, 0.5]
+    values = [0.6625, 0.0005, 0.0015, 0.3125, 0.0035, 1.0545, 0.9995, 0.1235, 0.6665, 1.0005, -0.0125, 0.5]
     assert evaluate(spark, "x DOUBLE", [(v,) for v in values], basics.exact_round(c("x"), 3)) == \
         [round(v, 3) for v in values]
 
