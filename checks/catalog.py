@@ -353,10 +353,10 @@ def integrity_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 def integrity_verdict(spark: SparkSession, sf: str) -> DataFrame:
     df, _ = _role_people(spark, sf)
-    verdict = integrity.verdict(*[F.col(n) for n in _OFFENCES])
-    return df.select("candidate_id", verdict.alias("v")).select(
-        "candidate_id", "v.hard", grid(F.col("v.soft"), 9).alias("soft"),
-        F.size("v.reasons").alias("n_reasons"))
+    offences = [F.col(n) for n in _OFFENCES]
+    return df.withColumn("n_reasons", integrity.finding_count(*offences)).select(
+        "candidate_id", integrity.hard_finding(*offences).alias("hard"),
+        grid(integrity.soft_penalty(F.col("n_reasons")), 9).alias("soft"), "n_reasons")
 
 
 # --- scores and ranks --------------------------------------------------------

@@ -47,6 +47,13 @@ def strings(values: Iterable[str]) -> Column:
     return F.expr("array(" + ", ".join(_quoted(v) for v in values) + ")").cast("array<string>")
 
 
+def string_lists(lists: Iterable[Iterable[str]]) -> Column:
+    """Literal array<array<string>>."""
+    rows = ["cast(array(" + ", ".join(_quoted(v) for v in values) + ") as array<string>)"
+            for values in lists]
+    return F.expr("array(" + ", ".join(rows) + ")")
+
+
 def contains_any(col: Column, needles: Iterable[str]) -> Column:
     """Unbounded substring test against a literal list."""
     words = tuple(needles)

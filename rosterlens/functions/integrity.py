@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from rosterlens.functions.basics import let, no_decimals, number, number_text, one_decimal
+from rosterlens.functions.basics import no_decimals, number, number_text, one_decimal
 
 MASTERY = ("expert", "advanced")
 
@@ -69,15 +69,13 @@ def reasons(first_overlong: Column, n_roles: Column, total_months: Column,
             first_misdated["span"].cast("string"), F.lit("mo date span")))))
 
 
-def soft_penalty(n_reasons: Column) -> Column:
-    return F.greatest(F.lit(0.6), 1.0 - F.lit(0.2) * n_reasons)
+def finding_count(first_overlong: Column, n_roles: Column, total_months: Column,
+                  mastery_zero: Column, first_misdated: Column, yoe: Column) -> Column:
+    """Number of findings: the size of :func:`reasons` without its texts."""
+    return sum((found.cast("int") for found in (
+        first_overlong.isNotNull(), overlap(n_roles, total_months, yoe), mastery_zero >= 3,
+        first_misdated.isNotNull())), start=F.lit(0))
 
 
-def verdict(first_overlong: Column, n_roles: Column, total_months: Column,
-            mastery_zero: Column, first_misdated: Column, yoe: Column) -> Column:
-    """struct(hard, soft, reasons)."""
-    facts = (first_overlong, n_roles, total_months, mastery_zero, first_misdated, yoe)
-    return let(reasons(*facts), lambda r: F.struct(
-        hard_finding(*facts).alias("hard"),
-        soft_penalty(F.size(r)).alias("soft"),
-        r.alias("reasons")))
+def soft_penalty(n_reasons: Column) -> Column:
+    return F.greatest(F.lit(0.6), 1.0 - F.lit(0.2) * n_reasons)

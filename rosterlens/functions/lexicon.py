@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from rosterlens.functions.basics import contains_any, let, strings
+from rosterlens.functions.basics import let, string_lists, strings
 from rosterlens.settings import Lexicon
 
 CURRENT_TITLE_WEIGHT = 4.0
@@ -41,8 +41,9 @@ def term_pattern(terms: list[str]) -> str:
 
 def title_hits(title: Column, lexicon: Lexicon) -> Column:
     """array<int>, one 0/1 per domain: does the lower-cased title name it?"""
-    return let(title, lambda t: F.array(*[
-        contains_any(t, d.titles).cast("int") for d in lexicon.domains]))
+    phrases = string_lists(d.titles for d in lexicon.domains)
+    return let(title, lambda t: F.transform(phrases, lambda words: F.exists(
+        words, lambda w: F.contains(t, w)).cast("int")))
 
 
 def no_hits(lexicon: Lexicon) -> Column:
@@ -59,11 +60,9 @@ def matched_terms(prose: Column, lexicon: Lexicon) -> Column:
 
 def term_counts(matched: Column, lexicon: Lexicon) -> Column:
     """array<int>: matched terms per domain; a term may serve two domains."""
-    def of(found: Column, terms: tuple[str, ...]) -> Column:
-        if not terms:
-            return F.lit(0)
-        return F.size(F.filter(strings(terms), lambda t: F.array_contains(found, t)))
-    return let(matched, lambda m: F.array(*[of(m, d.terms) for d in lexicon.domains]))
+    lists = string_lists(d.terms for d in lexicon.domains)
+    return let(matched, lambda found: F.transform(lists, lambda terms: F.size(F.filter(
+        terms, lambda t: F.array_contains(found, t)))))
 
 
 def unit(vector: Column, size: int) -> Column:

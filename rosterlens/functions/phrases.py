@@ -67,7 +67,7 @@ def explanation(rank: Column, facts: dict[str, Column], parts: dict[str, Column]
             F.lit("long notice period ("), number_text(notice), F.lit("d)"))),
         F.when(parts["behavioral"] < 0.8, "weak recent platform activity"),
         F.when((parts["company_type"] <= 0.25) & (fit >= 0.5), "services-heavy background"),
-        F.when(F.size(parts["reasons"]) > 0, "profile has internal inconsistencies")))
+        F.when(parts["n_reasons"] > 0, "profile has internal inconsistencies")))
     closing = (
         F.when(F.size(concerns) > 0, F.concat(
             F.lit("Concerns: "), F.array_join(F.slice(concerns, 1, 3), "; "), F.lit(".")))

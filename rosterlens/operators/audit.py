@@ -13,7 +13,7 @@ from rosterlens.settings import JobSpec, Lexicon, Settings
 ROUNDED = (*COMPONENTS, "behavioral", "verified", "stuffer", "negative")
 _FACTS = ("title", "yoe", "location", "country", "relocate", "response_rate", "notice_days")
 _PARTS = ("role_fit", "evidence_terms", "avg_assessment", "company_type", "stuffer",
-          "behavioral", "reasons")
+          "behavioral", "n_reasons")
 
 
 def explained(ranked: DataFrame, spec: JobSpec, lexicon: Lexicon,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rosterlens import fixed_values as fv
 from rosterlens.functions.basics import (
-    SPACE, as_word, contains_any, let, strings, strip)
+    SPACE, as_word, contains_any, let, string_lists, strings, strip)
 from rosterlens.functions.lexicon import (
     domain_vector, label_of, no_hits, top_domains, top_positions)
 from rosterlens.settings import JobSpec, Lexicon, Settings
@@ -75,7 +75,7 @@ def exclusions(text: Column, settings: Settings) -> Column:
 
 def keywords(text: Column, vector: Column, lexicon: Lexicon) -> Column:
     """Phrases of the three leading domains found in the text, at most 40."""
-    phrases = F.array(*[strings(d.terms + d.titles) for d in lexicon.domains])
+    phrases = string_lists(d.terms + d.titles for d in lexicon.domains)
     offered = F.flatten(F.transform(top_positions(vector, 3, 0.12),
                                     lambda p: F.get(phrases, p)))
     return let(F.lower(text), lambda t: F.slice(F.array_distinct(F.filter(

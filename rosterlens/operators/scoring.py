@@ -29,7 +29,8 @@ def local_parts(facts: DataFrame, spec: JobSpec, lexicon: Lexicon,
         .withColumns({
             "role_fit": scores.role_fit(dot(c("domain_vector"), role_vector)),
             "_found": found,
-            "verdict": integrity.verdict(*offences),
+            "hard": integrity.hard_finding(*offences),
+            "n_reasons": integrity.finding_count(*offences),
             "avg_assessment": scores.assessment_mean(
                 c("rel_n"), c("rel_sum"), c("all_n"), c("all_sum"))})
         .withColumn("evidence", scores.evidence(c("_found"), spec))
@@ -50,9 +51,14 @@ def local_parts(facts: DataFrame, spec: JobSpec, lexicon: Lexicon,
             "hop": scores.job_hopping(c("n_completed"), c("completed_months")),
             "github_shown": F.when(c("github") >= 0, c("github")),
             "n_assessments": F.when(c("rel_n") > 0, c("rel_n")).otherwise(c("all_n")),
-            "hard": c("verdict.hard"), "soft": c("verdict.soft"),
-            "reasons": c("verdict.reasons")})
-        .drop("_found", "verdict"))
+            "soft": integrity.soft_penalty(c("n_reasons"))})
+        .drop("_found"))
+
+
+def with_reasons(parts: DataFrame) -> DataFrame:
+    """Add the findings as texts; for the rows that are shown, not for the pool."""
+    return parts.withColumn("reasons", integrity.reasons(*[F.col(n) for n in (
+        "overlong", "n_roles", "total_months", "mastery_zero", "misdated", "yoe")]))
 
 
 def combined(parts: DataFrame, weights: dict[str, float]) -> DataFrame:

@@ -71,8 +71,9 @@ def _parsed(spark: SparkSession, path: str, signals_field: str, limit: int | Non
     schema = candidate_schema(signals_field).add(CORRUPT, "string")
     record = F.from_json("value", schema, {
         "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    return (lines.where(F.trim("value") != "")
-            .withColumn("_record", record).select("value", "_record.*"))
+    # a generator, not a projection: later filters on the fields would be pushed
+    # into a projection and parse the line again for every field they look at
+    return lines.where(F.trim("value") != "").select("value", F.inline(F.array(record)))
 
 
 def _rejected():
@@ -92,7 +93,7 @@ def read_jsonl_strict(spark: SparkSession, path: str, signals_field: str = "sign
         return _numeric_scores(reader.json(path), signals_field)
     lines = spark.read.text(path).limit(limit).where(F.trim("value") != "")
     record = F.from_json("value", candidate_schema(signals_field), {"mode": "FAILFAST"})
-    return _numeric_scores(lines.select(record.alias("_r")).select("_r.*"), signals_field)
+    return _numeric_scores(lines.select(F.inline(F.array(record))), signals_field)
 
 
 def read_json_array(spark: SparkSession, path: str, signals_field: str = "signals") -> DataFrame:

@@ -17,8 +17,8 @@ def test_reasons_and_verdict(spark):
         (None, 1, 10.0, 3, None, 9.0),
         (("A", 99.0), 2, 199.0, 6, ("B", 99.0, 12), 1.0),
     ]
-    v = integrity.verdict(*[c(x) for x in ("o", "n", "t", "z", "d", "y")])
-    assert evaluate(spark, ROW, rows, v["reasons"]) == [
+    facts = [c(x) for x in ("o", "n", "t", "z", "d", "y")]
+    assert evaluate(spark, ROW, rows, integrity.reasons(*facts)) == [
         [],
         ["role 'Lead' lasts 100mo but total experience is only 2.5y"],
         ["career roles sum to 50mo vs 24mo of stated experience (impossible overlap)"],
@@ -28,8 +28,11 @@ def test_reasons_and_verdict(spark):
          "career roles sum to 199mo vs 12mo of stated experience (impossible overlap)",
          "6 skills marked expert/advanced with 0 months used",
          "role 'B' claims 99mo over a 12mo date span"]]
-    assert evaluate(spark, ROW, rows, v["hard"]) == [False, True, True, True, False, True]
-    assert same(evaluate(spark, ROW, rows, v["soft"]), [1.0, 0.8, 0.8, 0.8, 0.8, 0.6])
+    assert evaluate(spark, ROW, rows, integrity.hard_finding(*facts)) == [False, True, True, True, False, True]
+    count = integrity.finding_count(*facts)
+    assert evaluate(spark, ROW, rows, count) == [0, 1, 1, 1, 1, 4]
+    assert same(evaluate(spark, ROW, rows, integrity.soft_penalty(count)),
+                [1.0, 0.8, 0.8, 0.8, 0.8, 0.6])
 
 
 def test_overlong_needs_slack_and_experience(spark):

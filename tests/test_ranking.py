@@ -6,7 +6,7 @@ from rosterlens import Settings, rank_pool
 from rosterlens.operators import audit as views, facts as fx, insights
 from rosterlens.operators.jobs import parse_job
 from rosterlens.operators.ranking import normalised, top_per_group, top_ranked
-from rosterlens.operators.scoring import local_parts
+from rosterlens.operators.scoring import local_parts, with_reasons
 from rosterlens.sources.candidates import read_jsonl
 
 S = Settings(stop_words=("the", "of"))
@@ -50,7 +50,7 @@ def test_parts_of_single_rows(run):
     assert rows["4"]["mastery_zero"] == 5 and rows["4"]["hard"]
     assert rows["4"]["skill_hits"] == 5 and rows["4"]["stuffer"] < 1.0
     assert rows["4"]["negative"] == 0.6 and rows["4"]["company_type"] == 0.5
-    assert rows["5"]["hard"] and len(rows["5"]["reasons"]) == 2
+    assert rows["5"]["hard"] and rows["5"]["n_reasons"] == 2
     assert rows["6"]["negative"] == 0.6
     assert rows["7"]["evidence"] == 0.0 and rows["7"]["tfidf"] == 0.0
     # text is no number, a boolean counts as one
@@ -59,6 +59,11 @@ def test_parts_of_single_rows(run):
     assert rows["1"]["evidence_terms"] == ["ranking", "retrieval", "ai engineer"]
 
 
+def test_reasons_are_added_late(run):
+    rows = {r["candidate_id"][-1]: r["reasons"] for r in with_reasons(run.top(8)).collect()}
+    assert rows["1"] == [] and rows["5"][0].startswith("role 'AI Engineer' lasts 40mo but total")
+
+
 def test_sentences(run):
     said = {r["candidate_id"][-1]: r["reasoning"] for r in run.top(8).collect()}
     assert said["1"] == ("AI Engineer with 7.0 yrs; strong match to the AI/ML role; profile mentions "
