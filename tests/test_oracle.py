@@ -3,6 +3,7 @@
 import os
 import sys
 
+import pandas
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -29,11 +30,17 @@ def database():
     return con
 
 
+def text(value):
+    if pandas.isna(value):
+        return ""
+    is_number = isinstance(value, (int, float)) or hasattr(value, "dtype")
+    return str(float(value)) if is_number else str(value)
+
+
 def plain(frame):
     frame = frame[sorted(frame.columns)]
     return list(frame.columns), sorted(
-        tuple("" if v is None or v != v else str(float(v)) if isinstance(v, (int, float)) or
-              hasattr(v, "dtype") else str(v) for v in row) for row in frame.itertuples(index=False))
+        tuple(map(text, row)) for row in frame.itertuples(index=False))
 
 
 def test_every_query_has_sql():
