@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from checks import catalog  # noqa: E402
 
 HEADLINE = ("topk_ranking", "nested_ranking", "tfidf_similarity", "percentile_scaling",
-            "domain_vector", "row_parts", "jd_spec", "rank_all", "explanation",
+            "domain_vector", "row_parts", "jd_spec", "rank_all",
             "validate_broken")
 
 
