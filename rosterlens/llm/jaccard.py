@@ -33,7 +33,8 @@ from rosterlens.llm.components import components
 
 SHINGLE = 5
 PERCENT = 80
-ORDERS = 3       # random orders whose smallest hash groups similar documents
+ORDERS = 10      # random orders whose smallest hash brings similar documents together
+LIKELY = 8       # members of an opened group that are compared before all others
 SAMPLED = 4      # one in so many possible tokens shows that a document stands alone
 
 
@@ -104,27 +105,42 @@ def similar(common: Column, a: Column, b: Column, percent: int) -> Column:
     return 100 * common >= percent * (a + b - common)
 
 
-def _grouped(sets: DataFrame, percent: int) -> DataFrame:
-    """``doc, group`` after comparing classes with the first class of each smallest hash."""
+def _grouped(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``doc, group`` and the edges found by comparing classes with heads of their smallest hashes.
+
+    First with the smallest id of the first hash, which joins most of a large group. Those still
+    apart are compared with four members of each of their hashes: smallest and largest by id and
+    by a hash of it.
+    """
     groups = sets.select("doc", F.col("doc").alias("group"))
     edges = None
-    for k in range(ORDERS):
-        keyed = sets.select("doc", F.col("keys")[k].alias("key")).join(groups, "doc")
-        first = keyed.groupBy("key").agg(F.min(F.struct("doc", "group")).alias("first"))
-        pairs = keyed.join(first, "key").select("doc", "group", F.col("first.doc").alias("head"),
-                                                F.col("first.group").alias("head_group"))
-        pairs = pairs.where("group <> head_group").select("doc", "head")
-        own = sets.select("doc", F.col("n").alias("n1"), F.col("tokens").alias("t1"))
-        heads = sets.select(F.col("doc").alias("head"), F.col("n").alias("n2"),
-                            F.col("tokens").alias("t2"))
-        fits = (100 * F.col("n1") >= percent * F.col("n2")) \
-            & (100 * F.col("n2") >= percent * F.col("n1"))
+    own = sets.select("doc", F.col("n").alias("n1"), F.col("tokens").alias("t1"))
+    other = sets.select(F.col("doc").alias("head"), F.col("n").alias("n2"),
+                        F.col("tokens").alias("t2"))
+    fits = (100 * F.col("n1") >= percent * F.col("n2")) \
+        & (100 * F.col("n2") >= percent * F.col("n1"))
+    for orders in (slice(0, 1), slice(0, ORDERS)):
+        keyed = sets.select("doc", F.posexplode(F.slice("keys", 1, orders.stop)).alias(
+            "order", "key")).join(groups, "doc")
+        named = F.struct("doc", "group")
+        mixed_id = F.struct(F.xxhash64("doc"), "doc", "group")
+        heads = keyed.groupBy("order", "key").agg(
+            F.min(named).alias("a"), F.max(named).alias("b"), F.min(mixed_id).alias("c"),
+            F.max(mixed_id).alias("d"), F.min("group").alias("least"),
+            F.max("group").alias("most")).where("least <> most")
+        chosen = F.array("a") if orders.stop == 1 else F.array(
+            "a", "b", *(F.struct(F.col(x)["doc"].alias("doc"), F.col(x)["group"].alias("group"))
+                        for x in "cd"))
+        pairs = keyed.join(heads.select("order", "key", chosen.alias("heads")),
+                           ["order", "key"]).select("doc", "group", F.explode("heads").alias("h"))
+        pairs = pairs.where("group <> h.group").select("doc", F.col("h.doc").alias("head")) \
+            .distinct()
         common = F.size(F.array_intersect("t1", "t2"))
-        found = stored(pairs.join(own, "doc").join(heads, "head").where(fits)
+        found = stored(pairs.join(own, "doc").join(other, "head").where(fits)
                        .where(similar(common, F.col("n1"), F.col("n2"), percent))
                        .select(F.col("doc").alias("a"), F.col("head").alias("b")))
         edges = found if edges is None else edges.union(found)
-        groups = stored(labelled(sets.select("doc"), edges).select("doc", "group"))
+        groups = stored(labelled(sets.select("doc"), edges))
     return groups, edges
 
 
@@ -147,33 +163,58 @@ def _between_groups(sets: DataFrame, groups: DataFrame, percent: int) -> DataFra
     left = stored(known.groupBy("doc", "n").agg(F.count("*").alias("m"))
                   .where(F.col("m") >= least_overlap(F.col("n"), percent)).select("doc"))
     member = stored(known.join(left, "doc"))
-    matrix = member.groupBy("token", "group").agg(F.min("n").alias("small"),
-                                                  F.max("n").alias("large"))
-    # the rarest tokens of a class: any set similar to it has one of them, or none that counts
+    # Sorted by use, the first token that two similar sets share is among the rarest of both, as
+    # many as leave fewer than the threshold behind them.
     rank = F.row_number().over(Window.partitionBy("doc").orderBy("df", "token"))
     count = F.count("*").over(Window.partitionBy("doc"))
-    asked = member.withColumns({"rank": rank, "m": count}).where(
+    rarest = stored(member.withColumns({"rank": rank, "m": count}).where(
         F.col("rank") <= F.col("m") - least_overlap(F.col("n"), percent) + 1)
-    other = matrix.withColumnRenamed("group", "other")
+        .select("doc", "n", "group", "token"))
+    found = rarest.groupBy("token", F.col("group").alias("other")).agg(
+        F.min("n").alias("small"), F.max("n").alias("large"))
     # a pair of groups is looked at from one side: from the larger id
-    candidates = asked.join(other, "token").where(
+    candidates = stored(rarest.join(found, "token").where(
         (F.col("group") > F.col("other"))
         & (100 * F.col("n") >= percent * F.col("small"))
-        & (100 * F.col("large") >= percent * F.col("n"))).select("doc", "other").distinct()
-    candidates = stored(candidates)
-    unions = matrix.select("token", F.col("group").alias("other"))
+        & (100 * F.col("large") >= percent * F.col("n"))).select("doc", "other").distinct())
+    unions = member.select("token", F.col("group").alias("other")).distinct()
     opened = stored(member.select("doc", "n", "token").join(candidates, "doc")
                     .join(unions, ["token", "other"]).groupBy("doc", "other", "n")
                     .agg(F.count("*").alias("bound"))
                     .where(F.col("bound") >= least_overlap(F.col("n"), percent))
                     .select("doc", "other"))
-    inside = member.select(F.col("group").alias("other"), "token", F.col("doc").alias("b"),
+    # one link joins a class to a group: first its smallest id and a few others, and what is joined
+    # by these needs no more looking at
+    heads = groups.groupBy("group").agg(F.array_distinct(F.array(
+        F.min("doc"), *(F.min_by("doc", F.xxhash64("doc", F.lit(k))) for k in range(LIKELY - 1))))
+        .alias("heads")).withColumnRenamed("group", "other")
+    likely = opened.join(heads, "other").select("doc", "other", F.explode("heads").alias("b"))
+    first = stored(_verified(likely, sets, percent))
+    joined = labelled(groups.select(F.col("group").alias("doc")).distinct(), first.join(
+        groups, "doc").select(F.col("group").alias("a"), F.col("other").alias("b")))
+    joined = stored(joined)
+    apart = opened.join(groups, "doc").join(
+        joined.select(F.col("doc").alias("group"), F.col("group").alias("now")), "group").join(
+        joined.select(F.col("doc").alias("other"), F.col("group").alias("others_now")),
+        "other").where("now <> others_now").select("doc", "other")
+    inside = rarest.select("token", F.col("group").alias("other"), F.col("doc").alias("b"),
                            F.col("n").alias("n2"))
-    shared = (member.select("doc", "n", "token").join(opened, "doc").join(
-        inside, ["token", "other"]).groupBy("doc", "b", "n", "n2")
-        .agg(F.count("*").alias("common")))
-    return shared.where(similar(F.col("common"), F.col("n"), F.col("n2"), percent)).select(
-        F.col("doc").alias("a"), "b")
+    fits = (100 * F.col("n") >= percent * F.col("n2")) \
+        & (100 * F.col("n2") >= percent * F.col("n"))
+    rest = apart.join(rarest.select("doc", "n", "token"), "doc").join(
+        inside, ["token", "other"]).where(fits).select("doc", "other", "b").distinct()
+    return first.select(F.col("doc").alias("a"), "b").union(
+        _verified(rest, sets, percent).select(F.col("doc").alias("a"), "b"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(doc, b)`` whose whole sets are similar."""
+    own = sets.select("doc", F.col("n").alias("n1"), F.col("tokens").alias("t1"))
+    other = sets.select(F.col("doc").alias("b"), F.col("n").alias("n2"),
+                        F.col("tokens").alias("t2"))
+    common = F.size(F.array_intersect("t1", "t2"))
+    return pairs.select("doc", "other", "b").join(own, "doc").join(other, "b").where(
+        similar(common, F.col("n1"), F.col("n2"), percent)).select("doc", "other", "b")
 
 
 def similar_groups(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
