@@ -32,7 +32,7 @@ from rosterlens.llm.common import (U64, block_count, blocked, leftmost_minima, m
 LENGTH = 100
 ANCHOR = 24            # bytes of an anchor
 ARRAY_BYTES = 1 << 19  # surroundings in one suffix array, about
-MOST_OF_ANCHOR = 500   # different surroundings of an anchor that go to one array
+MOST_OF_ANCHOR = 100   # different surroundings of an anchor that go to one array
 
 
 # --- suffix arrays ---------------------------------------------------------------------------
@@ -218,15 +218,29 @@ def _strings(length: int):
     """Hashes of the strings of surroundings, for anchors too common for one array."""
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for doc, start, starts, body in zip(pdf["doc_id"], pdf["start"], pdf["starts"],
-                                                pdf["bytes"]):
-                rows += [(hashlib.blake2b(body[i:i + length], digest_size=16).digest(), doc,
-                          start + i) for i in range(starts)]
-            yield pd.DataFrame(rows, columns=["string", "doc_id", "start"])
+            count = pdf["starts"].to_numpy()
+            yield pd.DataFrame({
+                "string": [hashlib.blake2b(body[i:i + length], digest_size=16).digest()
+                           for body, n in zip(pdf["bytes"], count) for i in range(n)],
+                "doc_id": np.repeat(pdf["doc_id"].to_numpy(), count),
+                "start": np.repeat(pdf["start"].to_numpy(), count),
+                "offset": np.concatenate([np.arange(n, dtype=np.int32) for n in count])
+                if len(count) else np.zeros(0, np.int32)})
     return of
 
 
+def _rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs of the places of a surrounding other than those of ``first``."""
+    for pdf in batches:
+        rows = []
+        for doc, start, starts, first in zip(pdf["doc_id"], pdf["start"], pdf["starts"],
+                                             pdf["first"]):
+            edges = [-1, *sorted(first if first is not None else ()), starts]
+            rows += [(doc, start + a + 1, b - a - 1) for a, b in zip(edges, edges[1:])
+                     if b - a > 1]
+        yield pd.DataFrame(rows, columns=["doc_id", "start", "starts"])
+
+
 def _removed(length: int):
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -278,14 +292,15 @@ def _runs(docs: DataFrame, searched: DataFrame, length: int, anchor: int) -> Dat
     array = F.pmod(F.xxhash64("seed"), F.lit(arrays)).alias("array")
     among = small.select(array, "doc_id", "start", "starts", "bytes").groupBy("array") \
         .applyInPandas(_arrays(length), "doc_id long, start int, starts int")
-    strings = compared.where(F.col("kinds") > MOST_OF_ANCHOR).select(
-        "doc_id", "start", "starts", "bytes").mapInPandas(
-        _strings(length), "string binary, doc_id long, start int")
-    strings = stored(strings)
-    earliest = strings.groupBy("string").agg(F.min(age).alias("first"), F.count("*").alias("n")) \
-        .where("n > 1").select("string", "first")
-    common = strings.join(earliest, "string").where(age > F.col("first")).select(
-        "doc_id", "start", F.lit(1).alias("starts"))
+    # common anchors: the earliest use of each string stays, all its other uses go
+    many = compared.where(F.col("kinds") > MOST_OF_ANCHOR)
+    earliest = many.select("doc_id", "start", "starts", "bytes").mapInPandas(
+        _strings(length), "string binary, doc_id long, start int, offset int").groupBy(
+        "string").agg(F.min(F.struct("doc_id", "start", "offset")).alias("first"))
+    stay = earliest.groupBy("first.doc_id", "first.start").agg(
+        F.collect_list("first.offset").alias("first"))  # no more than the places of one anchor
+    common = many.select("doc_id", "start", "starts").join(
+        stay, ["doc_id", "start"], "left").mapInPandas(_rest, "doc_id long, start int, starts int")
     return stored(later.union(among).union(common).distinct())
 
 
