@@ -62,10 +62,10 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
-def block_count(docs: DataFrame) -> int:
-    """Blocks so that each holds about ``BLOCK_BYTES`` of text, and no fewer than 12."""
+def block_count(docs: DataFrame, each: int = BLOCK_BYTES) -> int:
+    """Blocks so that each holds about ``each`` bytes of text, and no fewer than 12."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(12, -(-total // BLOCK_BYTES))
+    return max(12, -(-total // each))
 
 
 def blocked(docs: DataFrame, blocks: int, *columns: str) -> DataFrame:

@@ -24,6 +24,7 @@ from rosterlens.llm.common import Words, block_count, blocked, pieces, signed, s
 
 DEPTH = 5
 ROOT = 2   # subtrees below the contexts of this many bytes are worked on in one task each
+BLOCK_BYTES = 40 << 20  # text of a block: larger ones repeat fewer words and grams
 _HALF = np.log(0.5)
 
 
@@ -160,29 +161,30 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
 
 
+def _dictionary(docs: pd.DataFrame, depth: int):
+    """Sorted distinct word hashes and grams of a block, with their uses in training documents."""
+    held: dict[bool, list] = {True: [], False: []}
+    for pdf in pieces(docs):
+        texts, weight = texts_of(pdf), pdf["trains"].to_numpy(dtype=np.int64)
+        words = Words(texts, lower=True)
+        gram, text, _ = _padded(texts, depth)
+        for word, key, n in ((True, signed(words.hash), weight[words.doc]),
+                             (False, gram, weight[text])):
+            held[word].append(summed(key, n))
+            if sum(len(k) for k, _ in held[word]) > 4_000_000:
+                held[word] = [_merged(held[word])]
+    return {word: _merged(parts) for word, parts in held.items()}
+
+
 def _vocabulary(depth: int):
-    """Distinct words and grams of a block, with their uses in training documents."""
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def out(block, kind, parts):
-            key, n = _merged(parts)
-            return pd.DataFrame({"kind": kind, "key": key, "block": block, "n": n})
-
-        held: dict[int, dict[str, list]] = {}
-        for batch in batches:
-            for block, own in batch.groupby("block"):
-                for pdf in pieces(own):
-                    texts, weight = texts_of(pdf), pdf["trains"].to_numpy(dtype=np.int64)
-                    words = Words(texts, lower=True)
-                    gram, text, _ = _padded(texts, depth)
-                    mine = held.setdefault(block, {"w": [], "g": []})
-                    for kind, key, n in (("w", signed(words.hash), weight[words.doc]),
-                                         ("g", gram, weight[text])):
-                        mine[kind].append(summed(key, n))
-                        if sum(len(k) for k, _ in mine[kind]) > 2_000_000:
-                            mine[kind] = [_merged(mine[kind])]
-        for block, mine in held.items():
-            for kind in ("w", "g"):
-                yield out(block, kind, mine[kind])
+    """``word, key, block, place, n``: ``place`` is the key's rank in the block's dictionary."""
+    def of(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for word, (key, n) in _dictionary(pdf, depth).items():
+            out.append(pd.DataFrame({
+                "word": word, "key": key, "block": pdf["block"].iat[0],
+                "place": np.arange(len(key), dtype=np.int32), "n": n}))
+        return pd.concat(out)
     return of
 
 
@@ -248,33 +250,33 @@ def _short(gram: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _scores(depth: int, total: int, base_unit: float, end_count: int):
-    """Score the documents of a block from its own dictionary of words and grams."""
+    """Score the documents of a block from the values of its own dictionary."""
     def of(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         tables = {}
-        for kind in ("w", "g"):
-            own = known[known["kind"] == kind].sort_values("key")
-            tables[kind] = own["key"].to_numpy(), own["value"].to_numpy()
+        for word, (key, _) in _dictionary(docs, depth).items():
+            own = known[known["word"] == word]
+            value = np.zeros(len(key) or 1)
+            value[own["place"].to_numpy()] = own["value"].to_numpy()
+            tables[word] = key, value
         out = []
         for pdf in pieces(docs):
             texts = texts_of(pdf)
-            words = Words(texts, lower=True)
-            keys, value = tables["w"]
-            count = value[np.searchsorted(keys, signed(words.hash))] if len(keys) else \
-                np.zeros(len(words.hash))
             n = len(texts)
-            unit = np.log10((count + 0.1) / base_unit) if base_unit else np.zeros(len(count))
-            end = np.log10((end_count + 0.1) / base_unit) if base_unit else 0.0
-            gram, text, _ = _padded(texts, depth)
-            keys, value = tables["g"]
-            each = value[np.searchsorted(keys, gram)] if len(keys) else np.zeros(len(gram))
-            score = np.bincount(text, each, n)
-            size = np.fromiter((len(t) for t in texts), np.int64, n)
+            words = Words(texts, lower=True)
+            key, value = tables[True]
+            count = value[np.searchsorted(key, signed(words.hash))]
+            unit = np.log10((count + 0.1) / base_unit)
+            gram, text, size = _padded(texts, depth)
+            key, value = tables[False]
+            score = np.bincount(text, value[np.searchsorted(key, gram)], n)
             out.append(pd.DataFrame({
                 "doc_id": pdf["doc_id"].to_numpy(), "held_out": pdf["held_out"].to_numpy(),
                 "n_tokens": words.counts + 1,
                 "n_known": np.bincount(words.doc, count > 0, n).astype(np.int64)
                 + int(end_count > 0),
-                "train_tokens": total, "base_score": np.bincount(words.doc, unit, n) + end,
+                "train_tokens": total,
+                "base_score": np.bincount(words.doc, unit, n)
+                + np.log10((end_count + 0.1) / base_unit),
                 "score": score,
                 "bits_per_byte": -score * np.log2(10) / np.maximum(size, 1)}))
         return pd.concat(out)
@@ -289,27 +291,28 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH) -> DataFrame:
     """Score all texts with a model of those that are not held out (see ``SCORES``)."""
     spark = docs.sparkSession
     held = F.coalesce(held_out, F.lit(False))
-    blocks = block_count(docs)
-    dealt = blocked(docs.withColumns({"held_out": held, "trains": ~held}), blocks,
-                    "held_out", "trains")
-    uses = stored(dealt.mapInPandas(_vocabulary(depth), "kind string, key long, block int, n long"))
-    counts = stored(uses.groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    blocks = block_count(docs, BLOCK_BYTES)
+    columns = docs.withColumns({"held_out": held, "trains": ~held})
+    uses = stored(blocked(columns, blocks, "held_out", "trains").groupBy("block").applyInPandas(
+        _vocabulary(depth), "word boolean, key long, block int, place int, n long"))
+    counts = stored(uses.groupBy("word", "key").agg(F.sum("n").alias("n")))
     ends = docs.where(~held).count()
-    words = counts.where("kind = 'w' and n > 0").agg(F.count("*"), F.sum("n")).first()
+    words = counts.where("word and n > 0").agg(F.count("*"), F.sum("n")).first()
     vocabulary, total = words[0] + (ends > 0), (words[1] or 0) + ends
     base_unit = total + 0.1 * (vocabulary + 1)
 
     root = F.shiftright("key", 8 * (1 + depth - ROOT)).alias("root")
-    grams = counts.where("kind = 'g'").select(root, "key", "n")
+    grams = counts.where("not word").select(root, "key", "n")
     worked = stored(grams.repartitionByRange("root").sortWithinPartitions("root", "key").mapInPandas(
         _trees(depth), "node long, zero long, one long, weighted double, gram long, said binary"))
     tops = spark.sparkContext.broadcast(_tops(worked.where("node >= 0")))
     values = worked.where("node < 0").select("gram", "said").mapInPandas(
-        _scored_grams(depth, tops), "key long, value double").select(F.lit("g").alias("kind"),
+        _scored_grams(depth, tops), "key long, value double").select(F.lit(False).alias("word"),
                                                                      "key", "value")
-    values = values.union(counts.where("kind = 'w'").select(
-        "kind", "key", F.col("n").cast("double").alias("value")))
-    replies = uses.select("kind", "key", "block").join(values, ["kind", "key"])
-    again = blocked(docs.withColumn("held_out", held), blocks, "held_out")
+    values = values.union(counts.where("word").select(
+        "word", "key", F.col("n").cast("double").alias("value")))
+    replies = uses.select("word", "key", "block", "place").join(values, ["word", "key"]).select(
+        "block", "word", "place", "value")
+    again = blocked(columns, blocks, "held_out", "trains")
     return again.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(
         _scores(depth, total, base_unit, ends), SCORES)
