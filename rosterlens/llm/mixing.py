@@ -43,7 +43,7 @@ def _edf(counts: Column, cycle: int) -> Column:
     def step(state: Column, t: Column) -> Column:
         # next block of source i: number done + 1; released at floor(done * cycle / share)
         def deadline(share: Column, i: Column) -> Column:
-            done = F.element_at(state["done"], i + 1)
+            done = F.get(state["done"], i)
             due = -F.floor(-(done + 1) * cycle / share)
             ready = (done < share) & (F.floor(done * cycle / share) <= t)
             return F.when(ready, F.struct(due.alias("due"), share.alias("share"), i.alias("i")))
@@ -62,10 +62,10 @@ def _edf(counts: Column, cycle: int) -> Column:
 def cycle_order(shared: DataFrame, cycle: int = CYCLE) -> DataFrame:
     """``source, share, turn, at``: slot ``at`` of the cycle has block ``turn`` of the source."""
     one = shared.agg(F.sort_array(F.collect_list(F.struct(
-        F.col("source").isNull().alias("none"), "source", "share"))).alias("all"))
+        F.col("source").isNull().alias("none"), "source", "share"))).alias("all")).where(F.size("all") > 0)
     laid = one.select("all", F.posexplode(_edf(F.transform("all", lambda x: x["share"]), cycle))
                       .alias("at", "i"))
-    own = F.element_at("all", F.col("i") + 1)
+    own = F.get("all", F.col("i"))
     turn = F.row_number().over(Window.partitionBy("i").orderBy("at")) - 1
     return laid.select(own["source"].alias("source"), own["share"].alias("share"),
                        turn.cast("long").alias("turn"), F.col("at").cast("long").alias("at"))
