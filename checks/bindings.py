@@ -8,7 +8,6 @@ from checks.parameters import LEXICON, ROLE_HEAD, SETTINGS
 from rosterlens.operators import facts as fx
 from rosterlens.operators.dense import dense_cosine
 from rosterlens.settings import JobSpec
-from rosterlens.sources.scratch import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -36,7 +35,7 @@ def people(spark: SparkSession, sf: str) -> DataFrame:
         F.lower("p_type").alias("industry"))
     key = F.col("row_id")
     return (
-        spread(table(spark, sf, "customer")).withColumnRenamed("c_custkey", "row_id")
+        table(spark, sf, "customer").withColumnRenamed("c_custkey", "row_id")
         .join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .join(part, "row_id", "left")
@@ -59,8 +58,8 @@ def people(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prose(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "documents").select(
-        F.col("doc_id").alias("row_id"), F.lower("text").alias("prose")))
+    return table(spark, sf, "documents").select(
+        F.col("doc_id").alias("row_id"), F.lower("text").alias("prose"))
 
 
 def roles(spark: SparkSession, sf: str, spec: JobSpec) -> DataFrame:
@@ -108,8 +107,7 @@ def assessment_facts(spark: SparkSession, sf: str, spec: JobSpec) -> DataFrame:
 def pool(spark: SparkSession, sf: str, spec: JobSpec) -> DataFrame:
     """Facts of every customer."""
     own = people(spark, sf).join(assessment_facts(spark, sf, spec), "user_id", "left")
-    # whole texts are never a side to broadcast, however few they are today
-    joined = fx.table_facts(own, [role_facts(spark, sf, spec), prose(spark, sf).hint("merge")],
+    joined = fx.table_facts(own, [role_facts(spark, sf, spec), prose(spark, sf)],
                             "row_id", LEXICON)
     return joined.withColumn("prose", F.coalesce("prose", F.lit(""))).drop("user_id")
 

@@ -11,13 +11,15 @@ from rosterlens.operators.ordering import number_rows
 from rosterlens.sources.scratch import materialise
 
 _FIRST_ROW = 2  # row 1 is the header
-_CELL = r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'
+# every cell follows a comma, one of which is put before the line: an empty first cell counts too
+_CELL = r',("[^"]*+(?:""[^"]*+)*+"|[^,]*+)'
+_FLOAT = (r"(?i)^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|nan|inf|infinity)$")
 
 
 def csv_cells(line: Column) -> Column:
     """Cells of one CSV line; quoted cells may hold commas and doubled quotes."""
     return F.transform(
-        F.regexp_extract_all(line, F.lit(_CELL), F.lit(1)),
+        F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_CELL), F.lit(1)),
         lambda c: F.when(c.startswith('"'), F.replace(
             F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
 
@@ -76,7 +78,7 @@ def violations(rows: DataFrame, header: list[str] | None = None,
     number = F.col("rank").try_cast("bigint")
     fields = fields.withColumns({
         "n": F.when(number.cast("string") == F.col("rank"), number),
-        "s": F.col("score").try_cast("double"),
+        "s": F.when(F.col("score").rlike(_FLOAT), F.col("score").try_cast("double")),
         "good_id": F.col("candidate_id").rlike(fv.ID_PATTERN)})
     in_range = F.col("n").between(1, last)
     at = F.concat(F.lit("Row "), F.col("row"), F.lit(": "))
@@ -114,7 +116,8 @@ def violations(rows: DataFrame, header: list[str] | None = None,
                          F.asc("n"), F.asc("row"))
     after = placed.select((F.col("pos") - 1).alias("pos"), F.col("s").alias("s2"),
                           F.col("n").alias("n2"), F.col("candidate_id").alias("id2"))
-    pairs = placed.join(after, "pos")
+    # NaN is neither above nor equal to anything
+    pairs = placed.join(after, "pos").where(~F.isnan("s") & ~F.isnan("s2"))
     out.append(_issue(pairs.where("s < s2"), "score_order", F.concat(
         F.lit("score must not increase by rank: rank "), "n", F.lit(" < rank "), "n2"),
         F.col("row")))

@@ -10,7 +10,7 @@ Two passes over the texts, both without a shuffle on the document:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rosterlens import fixed_values as fv
 from rosterlens.operators.ordering import exact_percentile
@@ -19,7 +19,6 @@ from rosterlens.sources.scratch import materialise
 
 # A capped vocabulary of at most this many terms is small enough to send to
 # every task; without a cap, or above it, the join is left to the optimizer.
-BROADCAST_TERMS = 200_000
 
 
 def english_stop_words() -> tuple[str, ...]:
@@ -68,7 +67,16 @@ def vocabulary(counts: DataFrame, n_docs: Column, min_df: int,
              .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
              .where(F.col("df") >= min_df))
     if max_features is not None:
-        terms = terms.orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
+        # find the frequency at the cut; only terms that have just this one are put in order
+        terms = materialise(terms)
+        above = F.sum("n").over(Window.orderBy(F.desc("cf"))) - F.col("n")
+        cut = (terms.groupBy("cf").agg(F.count(F.lit(1)).alias("n"))
+               .select("cf", above.alias("above")).where(F.col("above") < max_features)
+               .agg(F.min_by(F.struct("cf", "above"), "cf").alias("cut")).first()["cut"])
+        if cut is not None:
+            ties = terms.where(F.col("cf") == cut["cf"]).orderBy("term").limit(
+                max_features - cut["above"])
+            terms = terms.where(F.col("cf") > cut["cf"]).unionByName(ties)
     idf = F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
     return terms.select("term", idf.alias("idf"))
 
@@ -99,8 +107,6 @@ def similarities(docs: DataFrame, key: str, text: str, role_text: str,
     length = asked.agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_l")).scalar()
     terms = kept.join(asked, "term", "left").select(
         "term", "idf", F.coalesce(F.col("_w") / length, F.lit(0.0)).alias("_q"))
-    if settings.max_features is not None and settings.max_features <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
 
     weight = _weight(F.col("tf"), F.col("idf"))
     sums = (counts.join(terms, "term")

@@ -14,7 +14,7 @@ from rosterlens.operators.scoring import combined, local_parts, semantic
 from rosterlens.operators.tfidf import percentile_scaled, similarities
 from rosterlens.settings import JobSpec, Lexicon, Settings
 from rosterlens.sources.candidates import require_rows, with_id
-from rosterlens.sources.scratch import materialise, spread
+from rosterlens.sources.scratch import materialise
 
 
 @dataclass(frozen=True)
@@ -60,7 +60,7 @@ def score_facts(facts: DataFrame, spec: JobSpec, role_text: str, lexicon: Lexico
     repeat work (corpus statistics, percentile, maximum).
     """
     local = materialise(local_parts(facts, spec, lexicon, settings))
-    texts = spread(local.select("row_id", "prose"))
+    texts = local.select("row_id", "prose")
     sims = materialise(similarities(texts, "row_id", "prose", role_text, settings))
     scaled = percentile_scaled(sims, "tfidf", "_scaled").select(
         "row_id", F.col("_scaled").alias("tfidf"))

@@ -26,7 +26,6 @@ class Lexicon:
     domains: tuple[Domain, ...]
     technical: frozenset[str] = frozenset(fv.TECH_DOMAINS)
 
-    MAX_PHRASES = 20_000  # phrases become literals of the plan
 
     @property
     def names(self) -> list[str]:
@@ -45,11 +44,9 @@ class Lexicon:
         """Read ``(domain, label, domain_idx, kind, phrase_idx, phrase)`` rows.
 
         ``kind`` is ``title`` or ``term``. The table is a dictionary, not data:
-        it must fit the plan, so its size is checked before it is fetched.
+        its phrases become literals of the plan.
         """
-        got = rows.orderBy("domain_idx", "kind", "phrase_idx").take(cls.MAX_PHRASES + 1)
-        if len(got) > cls.MAX_PHRASES:
-            raise ValueError(f"lexicon has more than {cls.MAX_PHRASES} phrases")
+        got = rows.orderBy("domain_idx", "kind", "phrase_idx").collect()
         domains: dict[str, dict] = {}
         for r in got:
             entry = domains.setdefault(

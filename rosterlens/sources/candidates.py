@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import json
 
-from rosterlens.sources.scratch import spread
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 _ROLE = ("title STRING, description STRING, industry STRING, company STRING, "
          "is_current BOOLEAN, duration_months DOUBLE, start_date STRING, end_date STRING")
@@ -29,12 +29,52 @@ def candidate_schema(signals_field: str = "signals") -> T.StructType:
         f"`{signals_field}` STRUCT<{_SIGNALS}>")
 
 
+_JSON = {"allowSingleQuotes": "false"}
+_NUMBERS = {"profile": ("years_of_experience",), "career_history": ("duration_months",),
+            "skills": ("duration_months",)}
+_SIGNAL_NUMBERS = ("recruiter_response_rate", "interview_completion_rate", "notice_period_days",
+                   "profile_completeness_score", "github_activity_score")
+
+
+def _text_schema(signals_field: str) -> T.StructType:
+    """The record schema with numbers as text: a number may be written as a string."""
+    return T.StructType.fromJson(json.loads(
+        candidate_schema(signals_field).json().replace('"double"', '"string"')))
+
+
+def _number(value: Column) -> Column:
+    return F.when(value.rlike(r"^\s*[+-]?[0-9.]+([eE][+-]?[0-9]+)?\s*$"), value.try_cast("double"))
+
+
+def _typed(df: DataFrame, signals_field: str) -> DataFrame:
+    """Numbers read as text, cast: ``"7"`` is 7, other text is null."""
+    def cast(item: Column, names: tuple[str, ...]) -> Column:
+        for name in names:
+            item = item.withField(name, _number(item[name]))
+        return item
+
+    def each(column: str) -> Column:
+        return F.transform(column, lambda x: cast(x, _NUMBERS[column]))
+
+    return df.withColumns({
+        "profile": cast(F.col("profile"), _NUMBERS["profile"]),
+        "career_history": each("career_history"), "skills": each("skills"),
+        signals_field: cast(F.col(signals_field), _SIGNAL_NUMBERS)})
+
+
+def _one_value(value: Column) -> Column:
+    """Whether a line holds one JSON value and nothing after it."""
+    return F.coalesce(F.json_array_length(F.concat(F.lit("["), value, F.lit("]"))) == 1,
+                      F.lit(False))
+
+
 def _numeric_scores(df: DataFrame, signals_field: str) -> DataFrame:
-    """Rename the signals object and keep only numeric assessment scores.
+    """Cast numbers, rename the signals object, keep only numeric assessment scores.
 
     JSON numbers and booleans count as numbers; strings, objects and nulls do
     not, whatever they look like.
     """
+    df = _typed(df, signals_field)
     scores = F.col(signals_field)["skill_assessment_scores"]
     kinds = F.transform_values(scores, lambda _, v: F.struct(
         F.schema_of_variant(v).alias("kind"),
@@ -67,42 +107,43 @@ def rejected_lines(spark: SparkSession, path: str, signals_field: str = "signals
 
 def _parsed(spark: SparkSession, path: str, signals_field: str, limit: int | None) -> DataFrame:
     lines = spark.read.text(path)
-    lines = spread(lines) if limit is None else lines.limit(limit)
-    schema = candidate_schema(signals_field).add(CORRUPT, "string")
+    lines = lines if limit is None else lines.limit(limit)
+    schema = _text_schema(signals_field).add(CORRUPT, "string")
     record = F.from_json("value", schema, {
-        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, **_JSON})
     # a generator, not a projection: later filters on the fields would be pushed
     # into a projection and parse the line again for every field they look at
     return lines.where(F.trim("value") != "").select("value", F.inline(F.array(record)))
 
 
 def _rejected():
-    """Malformed JSON: nothing could be read. A single odd field is not enough."""
+    """Malformed JSON: nothing could be read, or more than one value. An odd field is not enough."""
     fields = ("candidate_id", "profile", "career_history", "skills", "education")
     nothing = F.lit(True)
     for f in fields:
         nothing = nothing & F.col(f).isNull()
-    return F.col(CORRUPT).isNotNull() & nothing
+    return ~_one_value(F.col("value")) | (F.col(CORRUPT).isNotNull() & nothing)
 
 
 def read_jsonl_strict(spark: SparkSession, path: str, signals_field: str = "signals",
                       limit: int | None = None) -> DataFrame:
     """JSON lines; a malformed line fails the job, blank lines are skipped."""
-    reader = spark.read.schema(candidate_schema(signals_field)).option("mode", "FAILFAST")
-    if limit is None:
-        return _numeric_scores(reader.json(path), signals_field)
-    lines = spark.read.text(path).limit(limit).where(F.trim("value") != "")
-    record = F.from_json("value", candidate_schema(signals_field), {"mode": "FAILFAST"})
+    lines = spark.read.text(path)
+    lines = (lines if limit is None else lines.limit(limit)).where(F.trim("value") != "")
+    whole = F.when(_one_value(F.col("value")), F.col("value")).otherwise(
+        F.raise_error(F.concat(F.lit("malformed line: "), F.substring("value", 1, 80))))
+    record = F.from_json(whole, _text_schema(signals_field), {"mode": "FAILFAST", **_JSON})
     return _numeric_scores(lines.select(F.inline(F.array(record))), signals_field)
 
 
 def read_json_array(spark: SparkSession, path: str, signals_field: str = "signals") -> DataFrame:
     """Files that each hold one JSON array; a missing path gives an empty frame."""
-    schema = candidate_schema(signals_field)
+    schema = _text_schema(signals_field)
     if not _exists(spark, path):
         return _numeric_scores(spark.createDataFrame([], schema), signals_field)
     return _numeric_scores(
-        spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path),
+        spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST")
+        .options(**_JSON).json(path),
         signals_field)
 
 

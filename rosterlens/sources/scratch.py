@@ -34,15 +34,3 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{scratch_root(spark)}/rosterlens/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan of few files enough partitions to use every core.
-
-    Work per row can be heavy where the files are few and small. A scan of
-    more files than cores is returned as it is, so large inputs are not
-    shuffled. Use on plain scans only.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df._jdf.inputFiles())
-    return df if files >= 2 * cores else df.repartition(2 * cores)

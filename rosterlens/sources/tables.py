@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rosterlens import fixed_values as fv
 from rosterlens.sources.candidates import _exists
 
-SINGLE_FILE_ROWS = 100_000  # a limited result up to this size may be one file
-
 
 def read_jobs(spark: SparkSession, path: str) -> DataFrame:
     """``(jd_id, text)``: one role description per file, whole file as text."""
@@ -35,18 +32,19 @@ def ranked_output(ranked: DataFrame) -> DataFrame:
                          F.format_string("%.4f", "score").alias("score"), "reasoning")
 
 
-def write_ranked_csv(ranked: DataFrame, path: str, top: int | None = None) -> None:
+def write_ranked_csv(ranked: DataFrame, path: str, top: int | None = None,
+                     single_file: bool = False) -> None:
     """Ranked rows as CSV with a header, best first.
 
-    With a ``top`` of bounded size the first rows go to one file. A full
-    ranking stays in range-sorted part files that concatenate in order.
+    Rows stay in range-sorted part files that concatenate in order; with
+    ``single_file`` one task writes them all.
     """
     if top is not None:
         ranked = ranked.orderBy("rank").limit(top)
     else:
         ranked = ranked.orderBy("rank")
     out = ranked_output(ranked)
-    if top is not None and top <= SINGLE_FILE_ROWS:
+    if single_file:
         out = out.coalesce(1).sortWithinPartitions(F.col("rank"))
     out.write.option("header", True).option("escape", '"').csv(path)
 
@@ -59,6 +57,3 @@ def read_ranked_csv(spark: SparkSession, path: str) -> DataFrame:
     """Read a ranking back with its types."""
     schema = "candidate_id STRING, rank INT, score STRING, reasoning STRING"
     return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
-
-
-OUTPUT_COLUMNS = list(fv.RANKED_COLUMNS)

@@ -124,3 +124,38 @@ def test_header_rule(spark):
     rows = spark.createDataFrame([(2, line(1))], "row BIGINT, cells ARRAY<STRING>")
     found = contract.violations(rows, ["candidate_id", "rank", "reasoning", "score"], 1).collect()
     assert [(r["rule"], r["row"]) for r in found] == [("header", 1)]
+
+
+def test_csv_cells_keep_an_empty_first_cell_and_long_quoted_ones(spark):
+    long_cell = '"' + "a,\"\"b" * 20_000 + '"'
+    lines = spark.createDataFrame([(0, ",1,0.5,x"), (1, f"{long_cell},2,,"), (2, "")],
+                                  "i int, line string")
+    got = [r[0] for r in lines.orderBy("i").select(contract.csv_cells(F.col("line"))).collect()]
+    assert got[0] == ["", "1", "0.5", "x"] and got[2] == [""]
+    assert got[1] == ["a,\"b" * 20_000, "2", "", ""]
+
+
+def test_scores_must_be_plain_numbers(spark):
+    rows = spark.createDataFrame([(i + 2, ["CAND_000000%d" % i, str(i + 1), s, "x"]) for i, s in
+                                  enumerate(("0.5d", "1f", "nan", "0.4"))],
+                                 "row long, cells array<string>")
+    found = {(r["rule"], r["row"]) for r in contract.violations(rows, None, 4).collect()}
+    assert ("score_float", 2) in found and ("score_float", 3) in found
+    assert not {x for x in found if x[0] in ("score_order", "tie_break")}
+
+
+def test_lines_that_only_look_like_json_are_rejected(spark, tmp_path):
+    good = '{"candidate_id":"A0","profile":{"years_of_experience":"7"}}'
+    bad = ['{"candidate_id":"A1"} trailing', '{"candidate_id":"A2"}{"candidate_id":"A3"}',
+           "{'candidate_id':'A4'}"]
+    path = write_lines(tmp_path / "odd.jsonl", [good, *bad])
+    got = src.read_jsonl(spark, path).collect()
+    assert [(r["candidate_id"], r["profile"]["years_of_experience"]) for r in got] == [("A0", 7.0)]
+    assert {r[0] for r in src.rejected_lines(spark, path).collect()} == set(bad)
+    path = write_lines(tmp_path / "one.jsonl", [good])
+    row = src.read_jsonl_strict(spark, path).first()
+    assert row["profile"]["years_of_experience"] == 7.0
+    for i, line in enumerate(bad):
+        path = write_lines(tmp_path / f"bad{i}.jsonl", [line])
+        with pytest.raises(Exception):
+            src.read_jsonl_strict(spark, path).collect()
