@@ -75,6 +75,22 @@ def blocked(docs: DataFrame, blocks: int, *columns: str) -> DataFrame:
                        F.coalesce("text", F.lit("")).alias("text")).repartition(blocks, "block")
 
 
+def by_id(docs: DataFrame, blocks: int) -> DataFrame:
+    """Texts with an id, dealt to blocks by a hash of the id."""
+    return docs.where(F.col("doc_id").isNotNull()).select(
+        id_block("doc_id", blocks), "doc_id", F.coalesce("text", F.lit("")).alias("text")
+    ).repartition(blocks, "block")
+
+
+def id_block(column: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int").alias("block")
+
+
+def only(docs: pd.DataFrame, heads: pd.Series) -> pd.DataFrame:
+    """The texts of a block whose ids are among ``heads``."""
+    return docs[docs["doc_id"].isin(heads)]
+
+
 def shared(keys: DataFrame, least: int = 2) -> DataFrame:
     """Of ``(key, block, n)``, unique by key and block: rows of keys with ``least`` uses in all.
 

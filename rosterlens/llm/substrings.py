@@ -23,8 +23,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from rosterlens.llm.common import (Words, block_count, blocked, leftmost_minima, pieces,
-                                   sequence_prints, shared, signed, stored, texts_of, windows)
+from rosterlens.llm.common import (Words, block_count, by_id, id_block, leftmost_minima, only,
+                                   pieces, sequence_prints, shared, signed, stored, texts_of,
+                                   windows)
 
 WINDOW = 50      # words of a repeat
 ANCHOR = 18      # words of an anchor
@@ -59,27 +60,25 @@ def anchors_of(words: Words, window: int, anchor: int):
 
 
 def _seeds(window: int, anchor: int):
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for block, own in batch.groupby("block"):
-                parts = []
-                for pdf in pieces(own):
-                    words = Words(texts_of(pdf))
-                    _, choice, values = anchors_of(words, window, anchor)
-                    place = np.unique(choice)
-                    parts.append(np.unique(np.stack((signed(values[place]), words.doc[place])),
-                                           axis=1)[0])
-                key, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pd.DataFrame({"key": key, "block": block, "n": n})
+    def of(docs: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
+        parts = [np.zeros(0, np.int64)]
+        for pdf in pieces(only(docs, heads["key"])):
+            words = Words(texts_of(pdf))
+            _, choice, values = anchors_of(words, window, anchor)
+            place = np.unique(choice)
+            parts.append(np.unique(np.stack((signed(values[place]), words.doc[place])), axis=1)[0])
+        key, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pd.DataFrame({"key": key, "block": docs["block"].iat[0] if len(docs) else 0,
+                             "n": n})
     return of
 
 
 def _stretches(window: int, anchor: int):
     """Stretches around shared anchors of a block: hashes, document, first word."""
     def of(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        keys = np.sort(known["key"].to_numpy())
+        keys = np.sort(known["key"][known["seed"]].to_numpy())
         out = []
-        for pdf in pieces(docs):
+        for pdf in pieces(only(docs, known["key"][~known["seed"]])):
             words = Words(texts_of(pdf))
             start, choice, values = anchors_of(words, window, anchor)
             seed = signed(values[choice]) if len(choice) else np.zeros(0, np.int64)
@@ -126,13 +125,14 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
         _whole, "doc_id long, n_words long, print0 long, print1 long, whole_sha256 string"))
     long_ones = whole.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
     heads = stored(long_ones.groupBy(*prints).agg(F.min("doc_id").alias("head")))
-    searched = docs.join(heads.select(F.col("head").alias("doc_id")).distinct(), "doc_id",
-                         "left_semi")
     blocks = block_count(docs)
-    dealt = blocked(searched, blocks)
-    seeds = stored(shared(dealt.mapInPandas(_seeds(window, anchor),
-                                            "key long, block int, n long")).select("key", "block"))
-    found = stored(blocked(searched, blocks).groupBy("block").cogroup(seeds.groupBy("block"))
+    searched = heads.select(F.col("head").alias("key"), id_block("head", blocks),
+                            F.lit(False).alias("seed"))
+    seeds = stored(shared(by_id(docs, blocks).groupBy("block").cogroup(searched.groupBy("block"))
+                          .applyInPandas(_seeds(window, anchor), "key long, block int, n long"))
+                   .select("key", "block", F.lit(True).alias("seed")))
+    known = searched.union(seeds)
+    found = stored(by_id(docs, blocks).groupBy("block").cogroup(known.groupBy("block"))
                    .applyInPandas(_stretches(window, anchor),
                                   "h0 long, h1 long, doc_id long, start int"))
     least = found.groupBy("h0", "h1").agg(F.min("doc_id").alias("least"),
