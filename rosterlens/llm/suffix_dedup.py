@@ -26,8 +26,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from rosterlens.llm.common import (U64, block_count, blocked, leftmost_minima, mixed, pieces,
-                                   shared, signed, stored, texts_of, windows)
+from rosterlens.llm.common import (U64, block_count, by_id, id_block, leftmost_minima, mixed, only,
+                                   pieces, shared, signed, stored, texts_of, windows)
 
 LENGTH = 100
 ANCHOR = 24            # bytes of an anchor
@@ -152,15 +152,16 @@ def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _seeds(length: int, anchor: int):
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for block, own in batch.groupby("block"):
-                parts = []
-                for pdf in pieces(own):
-                    data = Bytes(texts_of(pdf), length, anchor)
-                    parts.append(signed(data.values[data.choice[data.runs()[0]]]))
-                key, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pd.DataFrame({"key": key, "block": block, "n": n})
+    def of(docs: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
+        parts = [np.zeros(0, np.int64)]
+        for pdf in pieces(only(docs, heads["key"])):
+            data = Bytes(texts_of(pdf), length, anchor)
+            first = data.runs()[0]
+            if len(first):
+                parts.append(signed(data.values[data.choice[first]]))
+        key, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pd.DataFrame({"key": key, "block": docs["block"].iat[0] if len(docs) else 0,
+                             "n": n})
     return of
 
 
@@ -170,9 +171,9 @@ READS = "seed long, surrounding binary, doc_id long, start int, starts int, byte
 def _reads(length: int, anchor: int):
     """Surroundings of shared anchors: the bytes under all windows that the anchor stands for."""
     def of(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        keys = np.sort(known["key"].to_numpy())
+        keys = np.sort(known["key"][known["seed"]].to_numpy())
         out = []
-        for pdf in pieces(docs):
+        for pdf in pieces(only(docs, known["key"][~known["seed"]])):
             data = Bytes(texts_of(pdf), length, anchor)
             first, end = data.runs()
             seed = signed(data.values[data.choice[first]]) if len(first) else \
@@ -263,12 +264,16 @@ def _removed(length: int):
     return of
 
 
-def _runs(docs: DataFrame, searched: DataFrame, length: int, anchor: int) -> DataFrame:
+def _runs(docs: DataFrame, heads: DataFrame, length: int, anchor: int) -> DataFrame:
     """``doc_id, start, starts``: places where a string starts that also starts earlier."""
     blocks = block_count(docs)
-    seeds = stored(shared(blocked(searched, blocks).mapInPandas(
-        _seeds(length, anchor), "key long, block int, n long")).select("key", "block"))
-    reads = stored(blocked(searched, blocks).groupBy("block").cogroup(seeds.groupBy("block"))
+    searched = heads.select(F.col("head").alias("key"), id_block("head", blocks),
+                            F.lit(False).alias("seed"))
+    seeds = stored(shared(by_id(docs, blocks).groupBy("block").cogroup(searched.groupBy("block"))
+                          .applyInPandas(_seeds(length, anchor), "key long, block int, n long"))
+                   .select("key", "block", F.lit(True).alias("seed")))
+    known = searched.union(seeds)
+    reads = stored(by_id(docs, blocks).groupBy("block").cogroup(known.groupBy("block"))
                    .applyInPandas(_reads(length, anchor), READS))
     age = F.struct("doc_id", "start")
     first = stored(reads.groupBy("seed", "surrounding").agg(
@@ -313,9 +318,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFr
         _whole, "doc_id long, n_bytes long, whole binary, whole_sha256 string"))
     heads = stored(whole.where((F.col("n_bytes") >= length) & F.col("doc_id").isNotNull())
                    .groupBy("whole").agg(F.min("doc_id").alias("head")))
-    ids = heads.select(F.col("head").alias("doc_id")).distinct()
-    searched = docs.join(ids, "doc_id", "left_semi")
-    runs = _runs(docs, searched, length, anchor)
+    runs = _runs(docs, heads, length, anchor)
     per_text = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "starts"))
                                           .alias("runs"))  # no more than the bytes of one text
     cut = stored(docs.join(per_text, "doc_id").select("doc_id", "text", "runs").mapInPandas(
