@@ -12,7 +12,8 @@ threshold, so only groups that pass this bound are opened and their members comp
 3. Matrix: a token with one group says nothing about others. A class with fewer tokens shared
    between groups than the threshold asks for is done. For the rest, groups are looked up
    by the class's rarest tokens (as many as must meet any similar set), the overlap with each
-   group's union is counted, and only groups that reach the threshold are opened.
+   group's union is counted, and only groups that reach the threshold are opened. Of an opened
+   group, members are compared that share enough rare differences from what most of it hold.
 
 Every pair at or above the threshold is found or lies within one group already, so the components
 are exact. No step emits the pairs within a group. Null or wordless texts have no tokens and are
@@ -167,44 +168,106 @@ def _between_groups(sets: DataFrame, groups: DataFrame, percent: int) -> DataFra
     # many as leave fewer than the threshold behind them.
     rank = F.row_number().over(Window.partitionBy("doc").orderBy("df", "token"))
     count = F.count("*").over(Window.partitionBy("doc"))
+    sizes = groups.groupBy("group").agg(F.count("*").alias("size"))
     rarest = stored(member.withColumns({"rank": rank, "m": count}).where(
         F.col("rank") <= F.col("m") - least_overlap(F.col("n"), percent) + 1)
-        .select("doc", "n", "group", "token"))
+        .select("doc", "n", "group", "token", "rank", "m").join(sizes, "group"))
     found = rarest.groupBy("token", F.col("group").alias("other")).agg(
-        F.min("n").alias("small"), F.max("n").alias("large"))
-    # a pair of groups is looked at from one side: from the larger id
+        F.min("n").alias("small"), F.max("n").alias("large"), F.min("size").alias("others_size"))
+    # no member that fits is smaller than this, so a similar one shares so many tokens at least
+    fitting = F.greatest("small", least_overlap(F.col("n"), percent))
+    needed = F.ceil(percent * (F.col("n") + fitting) / (100 + percent)).cast("long")
+    # a pair of groups is looked at from one side: from the smaller, of equal ones the larger id
     candidates = stored(rarest.join(found, "token").where(
-        (F.col("group") > F.col("other"))
+        ((F.col("size") < F.col("others_size"))
+         | ((F.col("size") == F.col("others_size")) & (F.col("group") > F.col("other"))))
+        & (F.col("group") != F.col("other"))
         & (100 * F.col("n") >= percent * F.col("small"))
-        & (100 * F.col("large") >= percent * F.col("n"))).select("doc", "other").distinct())
+        & (100 * F.col("large") >= percent * F.col("n"))
+        & (F.col("rank") <= F.col("m") - needed + 1))
+        .groupBy("doc", "other").agg(F.min(needed).alias("needed")))
     unions = member.select("token", F.col("group").alias("other")).distinct()
-    opened = stored(member.select("doc", "n", "token").join(candidates, "doc")
-                    .join(unions, ["token", "other"]).groupBy("doc", "other", "n")
-                    .agg(F.count("*").alias("bound"))
-                    .where(F.col("bound") >= least_overlap(F.col("n"), percent))
+    opened = stored(member.select("doc", "token").join(candidates, "doc")
+                    .join(unions, ["token", "other"]).groupBy("doc", "other", "needed")
+                    .agg(F.count("*").alias("bound")).where("bound >= needed")
                     .select("doc", "other"))
     # one link joins a class to a group: first its smallest id and a few others, and what is joined
     # by these needs no more looking at
     heads = groups.groupBy("group").agg(F.array_distinct(F.array(
         F.min("doc"), *(F.min_by("doc", F.xxhash64("doc", F.lit(k))) for k in range(LIKELY - 1))))
-        .alias("heads")).withColumnRenamed("group", "other")
+        .alias("heads"), F.count("*").alias("size")).withColumnRenamed("group", "other")
     likely = opened.join(heads, "other").select("doc", "other", F.explode("heads").alias("b"))
     first = stored(_verified(likely, sets, percent))
     joined = labelled(groups.select(F.col("group").alias("doc")).distinct(), first.join(
         groups, "doc").select(F.col("group").alias("a"), F.col("other").alias("b")))
     joined = stored(joined)
-    apart = opened.join(groups, "doc").join(
+    apart = stored(opened.join(heads.where(F.size("heads") < F.col("size")).select("other"), "other")
+                   .join(groups, "doc").join(
         joined.select(F.col("doc").alias("group"), F.col("group").alias("now")), "group").join(
         joined.select(F.col("doc").alias("other"), F.col("group").alias("others_now")),
-        "other").where("now <> others_now").select("doc", "other")
-    inside = rarest.select("token", F.col("group").alias("other"), F.col("doc").alias("b"),
-                           F.col("n").alias("n2"))
-    fits = (100 * F.col("n") >= percent * F.col("n2")) \
-        & (100 * F.col("n2") >= percent * F.col("n"))
-    rest = apart.join(rarest.select("doc", "n", "token"), "doc").join(
-        inside, ["token", "other"]).where(fits).select("doc", "other", "b").distinct()
+        "other").where("now <> others_now").select("doc", "other"))
     return first.select(F.col("doc").alias("a"), "b").union(
-        _verified(rest, sets, percent).select(F.col("doc").alias("a"), "b"))
+        _in_opened(apart, rows, sets, groups, percent).select(F.col("doc").alias("a"), "b"))
+
+
+def _in_opened(apart: DataFrame, rows: DataFrame, sets: DataFrame, groups: DataFrame,
+               percent: int) -> DataFrame:
+    """Links of ``(doc, other)`` to members of the group ``other``.
+
+    A group's core are the tokens that most of its members have. Two sets whose differences from
+    the core have d1 and d2 tokens, o of them in common, differ in d1 + d2 - 2 o tokens. So a class
+    near the core is surely similar to the member nearest to it; any other must share o > 0 tokens
+    of these differences, which few do even where all members have nearly the same tokens.
+    """
+    size = groups.groupBy(F.col("group").alias("other")).agg(F.count("*").alias("size"))
+    size = apart.select("other").distinct().join(size, "other")
+    use = stored(rows.select(F.col("group").alias("other"), "token").join(
+        size, "other").groupBy("other", "token").agg(F.count("*").alias("use"),
+                                                     F.first("size").alias("size"))
+        .withColumn("core", 2 * F.col("use") > F.col("size")))
+    core = size.select("other").join(use.where("core").groupBy("other").agg(
+        F.collect_list("token").alias("core")), "other", "left").withColumn(
+        "core", F.coalesce("core", F.array().cast("array<bigint>")))
+    # of two sets with these weights, at least (weight + weight) / (2 (100 + percent)) differences
+    # are common
+    weight = (100 + percent) * F.size("d") - (100 - percent) * F.col("n")
+    differing = F.concat(F.array_except("tokens", "core"), F.array_except("core", "tokens"))
+
+    def differences(named: DataFrame) -> DataFrame:
+        return stored(named.join(sets.select("doc", "n", "tokens"), "doc").join(core, "other")
+                      .select("doc", "other", "n", differing.alias("d"))
+                      .withColumn("w", weight.cast("long")))
+
+    asking = differences(apart)
+    inside = differences(groups.select("doc", F.col("group").alias("other")).join(
+        size.select("other"), "other"))
+    nearest = inside.groupBy("other").agg(F.min("w").alias("least"),
+                                          F.min_by("doc", F.struct("w", "doc")).alias("b"))
+    asking = asking.join(nearest, "other")
+    sure = asking.where("w + least <= 0").select("doc", "other", "b")
+    asking = asking.where("w + least > 0").drop("b")
+    least_asking = asking.groupBy("other").agg(F.min("w").alias("least"))
+
+    def common(w: Column, v: Column) -> Column:
+        return F.ceil((w + v) / (2 * (100 + percent)))
+
+    def rarest(sets_of: DataFrame) -> DataFrame:
+        """The differences of which one must be common, from those that fewest members have."""
+        met = F.when(F.col("core"), F.col("size") - F.col("use")).otherwise(F.col("use"))
+        rank = F.row_number().over(Window.partitionBy("doc", "other").orderBy("met", "token"))
+        return sets_of.withColumn("m", F.size("d")).withColumn("token", F.explode("d")).drop(
+            "d").join(use, ["other", "token"], "left").withColumn(
+            "met", F.coalesce(met, F.lit(0))).withColumn("rank", rank).withColumn(
+            "after", F.col("m") - F.col("rank") + 1).where(
+            F.col("after") >= common(F.col("w"), F.col("least"))).where("met > 0").select(
+            "doc", "other", "token", "w", "after")
+
+    members = rarest(inside.join(least_asking, "other")).withColumnsRenamed(
+        {"doc": "b", "w": "v", "after": "after_b"})
+    pairs = rarest(asking).join(members, ["other", "token"]).where(
+        F.least("after", "after_b") >= common(F.col("w"), F.col("v"))).select(
+        "doc", "other", "b").distinct()
+    return sure.union(_verified(pairs, sets, percent))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
