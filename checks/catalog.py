@@ -441,6 +441,11 @@ def title_mix(spark: SparkSession, sf: str) -> DataFrame:
     return insights.most_common(shown, "title", 12)
 
 
+def titles_of_best(spark: SparkSession, sf: str) -> DataFrame:
+    """The six most common titles among the best, flagged ones included."""
+    return insights.most_common(ranking(spark, sf).audit(TOP), "title", 6)
+
+
 def score_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return insights.histogram(everyone(spark, sf), "score", 25)
 
@@ -505,6 +510,32 @@ def _wide(df: DataFrame) -> DataFrame:
         ["excel"].alias("excel"))
 
 
+def validate_file(spark: SparkSession, sf: str) -> DataFrame:
+    """A damaged CSV file with one row for each order, read and checked.
+
+    Damage: a wrong header, blank lines, empty and repeated ids, missing cells, scores that only
+    Java reads as numbers. Commas, doubled quotes and one very long text in quoted cells are fine.
+    """
+    o, k = b.table(spark, sf, "orders"), F.col("o_orderkey")
+    ident = F.when(k % 50 == 7, "").when(k % 50 == 9, "CAND_0000001").otherwise(
+        b.candidate_id("o_orderkey"))
+    score = F.when(k % 60 == 11, "0.5d").when(k % 60 == 12, "1f").otherwise(
+        F.floor(F.col("o_totalprice") / 50000.0).cast("string"))
+    text = F.when(k % 9 == 4, '"one, ""two"", three"').when(
+        k == 500, F.concat(F.lit('"'), F.repeat(F.lit("long, "), 20_000), F.lit('"'))).otherwise("text")
+    line = F.concat_ws(",", ident, (k + 1).cast("string"), score,
+                       F.when(k % 70 != 13, text))
+    lines = o.select(k.alias("at"), F.explode(F.when(k % 90 == 17, F.array(line, F.lit(" ,,,")))
+                                              .otherwise(F.array(line))).alias("value"))
+    header = spark.range(1).select(F.lit(-1).cast(o.schema["o_orderkey"].dataType).alias("at"),
+                                   F.lit("candidate_id,rank,score,why").alias("value"))
+    path = _folder(spark)
+    lines.union(header).repartitionByRange("at").sortWithinPartitions("at").select(
+        "value").write.text(path)
+    names, rows = contract.read_rows(spark, path)
+    return contract.violations(rows, names, o.count() + 3)
+
+
 def jsonl_tolerant(spark: SparkSession, sf: str) -> DataFrame:
     """Every record once, plus a damaged and a blank line per record."""
     path = _folder(spark)
@@ -598,7 +629,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     negative_penalty, job_hopping, recency, availability, corroboration,
     integrity_rules, integrity_verdict, row_parts, weighted_base, final_score,
     weight_override, topk_ranking, rank_all, topk_per_group, phrases, explanation, audit,
-    flags, contributions, post_rank_filter, candidate_detail, kpis, title_mix,
+    flags, contributions, post_rank_filter, candidate_detail, kpis, title_mix, titles_of_best,
     score_histogram, scatter, country_mix, experience_bands, score_summary, leaders,
-    validate_ok, validate_broken, jsonl_tolerant, jsonl_rejected, jsonl_strict, json_array,
+    validate_ok, validate_broken, validate_file, jsonl_tolerant, jsonl_rejected, jsonl_strict, json_array,
     nested_ranking, csv_roundtrip, audit_json, vectors_parquet, jd_files)}

@@ -673,6 +673,8 @@ _o["kpis"] = query(f"""select count(*) as candidates,
  count(*) filter (where honeypot) as flagged, {tidy('avg(yoe) filter (where rank <= 10)')} as top10_yoe from audited""", "audited")
 _o["title_mix"] = query("""select title, count(*) as "count" from (select * from audited where not honeypot and stuffer >= 0.9
  order by rank limit 100) where title is not null group by title order by count(*) desc, title limit 12""", "audited")
+_o["titles_of_best"] = query("""select title, count(*) as "count" from audited where rank <= 100 and title is not null
+ group by title order by count(*) desc, title limit 6""", "audited")
 _o["score_histogram"] = query("""select cast(coalesce(least(floor((score - lo) / nullif((hi - lo) / 25, 0)), 24), 0) as int) as bin, count(*) as "count"
  from audited, (select min(score) as lo, max(score) as hi from audited) group by 1""", "audited")
 _o["scatter"] = query("select candidate_id, title, yoe, score, role_fit from audited", "audited")
@@ -706,6 +708,27 @@ _o["validate_broken"] = query("""select 'row_count' as rule, null::bigint as row
  union all select 'score_order', row, 'score must not increase by rank: rank ' || n || ' < rank ' || n2 from dpair where s < s2
  union all select 'tie_break', row, 'equal scores at ranks ' || n || ' and ' || n2 || ' need ascending candidate_id' from dpair where s = s2 and id > id2""",
                               "dmg", "dm", "dpair")
+piece("fdmg", """select row_number() over (order by o_orderkey) + 1 as row, case when o_orderkey % 50 = 7 then ''
+  when o_orderkey % 50 = 9 then 'CAND_0000001' else printf('CAND_%07d', o_orderkey) end as id, o_orderkey + 1 as n,
+ case when o_orderkey % 60 not in (11, 12) then floor(o_totalprice / 50000.0) end as s,
+ o_orderkey % 70 = 13 as short, count(*) over () + 3 as wanted from orders""")
+piece("fpair", """select *, lead(n) over (order by n, row) as n2, lead(s) over (order by n, row) as s2,
+ lead(id) over (order by n, row) as id2 from fdmg where not short and s is not null and id <> ''""", "fdmg")
+_o["validate_file"] = query("""select 'row_count' as rule, null::bigint as row,
+  'expected ' || max(wanted) || ' data rows, found ' || count(*) as message from fdmg
+ union all select 'header', 1, 'header must be exactly candidate_id,rank,score,reasoning'
+ union all select 'cell_count', row, 'Row ' || row || ': expected 4 columns, got 3' from fdmg where short
+ union all select 'id_required', row, 'Row ' || row || ': candidate_id is required' from fdmg where not short and id = ''
+ union all select 'id_duplicate', row, 'Row ' || row || ': duplicate candidate_id ' || id from (select *,
+  row_number() over (partition by id order by row) as k from fdmg where not short and id <> '') where k > 1
+ union all select 'rank_range', row, 'Row ' || row || ': rank must be between 1 and ' || wanted from fdmg
+  where not short and n not between 1 and wanted
+ union all select 'score_float', row, 'Row ' || row || ': score must be a float' from fdmg where not short and s is null
+ union all select 'rank_missing', null, 'missing rank ' || i from (select unnest(range(1, (select count(*) + 4 from orders))) as i)
+  where i not in (select n from fdmg where not short)
+ union all select 'score_order', row, 'score must not increase by rank: rank ' || n || ' < rank ' || n2 from fpair where s < s2
+ union all select 'tie_break', row, 'equal scores at ranks ' || n || ' and ' || n2 || ' need ascending candidate_id' from fpair
+  where s = s2 and id > id2""", "fdmg", "fpair")
 _wide = """select candidate_id, title as current_title, nyoe as years_of_experience, 3 as roles, 6 as skills,
  (row_id % 80)::double as excel from nown"""
 for _n in ("jsonl_tolerant", "jsonl_strict", "json_array"):
