@@ -6,18 +6,20 @@ Text is handled as UTF-8 bytes in numpy arrays. A word is a run of bytes other t
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import zipfile
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
+from functools import lru_cache, wraps
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rosterlens.sources.scratch import materialise
+from rosterlens.sources.scratch import Scratch, materialise
 
 CHUNK_BYTES = 1 << 20  # bytes handled at once inside a task; arrays take about 100 times that
 BLOCK_BYTES = 16 << 20  # text of one block of documents
@@ -54,12 +56,40 @@ def doc_crc(modulus: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
+_RUN: ContextVar[Scratch | None] = ContextVar("run", default=None)
+
+
+def operator(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator on a DataFrame, its first argument, that keeps tables in between.
+
+    The workers get the package. Tables that it stores live in a folder of the run, which goes
+    once the result is written; an operator called by another one shares its run.
+    """
+    @wraps(function)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        hand_out(docs.sparkSession)
+        if _RUN.get() is not None:
+            return function(docs, *args, **kwargs)
+        with Scratch(docs.sparkSession) as scratch:
+            token = _RUN.set(scratch)
+            try:
+                return materialise(function(docs, *args, **kwargs))
+            finally:
+                _RUN.reset(token)
+    return run
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared scratch folder, then let Spark drop shuffle files nobody needs."""
-    out = materialise(df)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    """Write ``df`` to the folder of the run and read it back."""
+    run = _RUN.get()
+    return materialise(df) if run is None else run.keep(df)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete stored tables that the run reads no more."""
+    run = _RUN.get()
+    if run is not None:
+        run.drop(*tables)
 
 
 def block_count(docs: DataFrame, each: int = BLOCK_BYTES) -> int:
@@ -115,6 +145,34 @@ def pieces(pdf: pd.DataFrame, limit: int = CHUNK_BYTES) -> Iterator[pd.DataFrame
         yield pdf.iloc[begin:]
 
 
+def slices(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows holding about ``limit`` bytes of text; a longer text stands alone.
+
+    Unlike pandas columns, those of Arrow hold nullable integers exactly.
+    """
+    for batch in batches:
+        size = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_numpy(
+            zero_copy_only=False)
+        begin, held = 0, 0
+        for i, n in enumerate(size):
+            if held and held + n > limit:
+                yield batch.slice(begin, i - begin)
+                begin, held = i, 0
+            held += n
+        if begin < batch.num_rows:
+            yield batch.slice(begin)
+
+
+def bytes_of(batch: pa.RecordBatch) -> list[bytes]:
+    """UTF-8 of each text; a null one is empty."""
+    return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+
+
+def rows(**columns) -> pa.RecordBatch:
+    """A batch of Arrow, numpy or list columns."""
+    return pa.RecordBatch.from_pydict(columns)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit values (a bijection)."""
     x = x ^ (x >> U64(32))

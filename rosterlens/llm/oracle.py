@@ -2,6 +2,7 @@
 
 from rosterlens.llm.host_rules import HOST_RATE
 from rosterlens.llm.mixing import BLOCK, CYCLE
+from rosterlens.llm.vector_codes import ENTRIES, LARGEST, PARTS, ROUNDS, SCALE
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -13,7 +14,49 @@ reach as (
   select reach.a, links.b from reach join links on links.a = reach.b)
 """
 
+
+
+def _plain_rounds() -> str:
+    """Codes by plain k-means rounds: every part against every entry."""
+    def assigned(r: int) -> str:
+        return f"""
+a{r} as materialized (
+  select vec_id, label, p, e, d from (
+    select vec_id, label, x.p, e, sum((x.v - c{r}.v) * (x.v - c{r}.v))::bigint d
+    from x join c{r} on c{r}.p = x.p and c{r}.i = x.i group by all)
+  qualify row_number() over (partition by vec_id, p order by d, e) = 1)"""
+
+    def moved(r: int) -> str:
+        return f"""
+c{r + 1} as materialized (
+  select p, e, i, coalesce(((s - ((s % n) + n) % n) // n)::bigint, c{r}.v) v
+  from c{r} left join (
+    select a{r}.p, e, i, sum(v) s, count(*) n from a{r} join x using (vec_id, p) group by all)
+  using (p, e, i))"""
+
+    rounds = ",".join(assigned(r) + "," + moved(r) for r in range(ROUNDS))
+    return f"""
+with kept as (
+  select vec_id, label, embedding, row_number() over (order by vec_id) - 1 e from embeddings
+  where len(embedding) > 0 and len(embedding) % {PARTS} = 0 and len(list_filter(embedding,
+    lambda y: coalesce(isfinite(y) and abs(y) * {SCALE} < {LARGEST}, false))) = len(embedding)),
+x as materialized (
+  select vec_id, label, e as nth, i // (len(embedding) // {PARTS}) p,
+    i % (len(embedding) // {PARTS}) i, floor({SCALE} * embedding[i + 1]::double)::bigint v
+  from (select *, unnest(range(len(embedding))) i from kept)),
+c0 as materialized (select p, nth e, i, v from x where nth < {ENTRIES}),
+{rounds},{assigned(ROUNDS)},
+coded as (
+  select vec_id, label, string_agg(format('{{:02x}}', e), '' order by p) code,
+    sum(d)::bigint error from a{ROUNDS} group by 1, 2)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint label_error,
+  (select sha256(string_agg(v::varchar, ',' order by p, e, i)) from c{ROUNDS}) codebooks_sha256
+from coded
+"""
+
+
 ORACLE = {
+    "op11_ball_kmeans_codes": _plain_rounds(),
     "op4_token_group_join": f"""
 with recursive words as (
   select doc_id, regexp_extract_all(coalesce({_LOWER}, ''), '[^\\x20\\x09-\\x0D]+') w

@@ -5,13 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rosterlens.llm import (ctw, host_rules, jaccard, language_id, mixing, packing, substrings,
-                            suffix_dedup, token_counts, vectors)
+from rosterlens.llm import (alignment, ctw, host_rules, jaccard, language_id, mixing, packing,
+                            quality, substrings, suffix_dedup, token_counts, vector_codes, vectors)
 from rosterlens.llm.common import doc_crc, table
 from rosterlens.llm.oracle import ORACLE
 
 PACKED_WITH = "byte_bpe_50k.json"
 COUNTED_WITH = "word_bpe_49k.json"
+ALIGNED_WITH = "piece_bpe_32k.model"
 LIMIT = 2048
 
 
@@ -71,8 +72,30 @@ def op10_whole_token_counts(spark: SparkSession, sf: str) -> DataFrame:
                                      public_tokenizers.path(COUNTED_WITH), LIMIT)
 
 
+def op11_ball_kmeans_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf, "embeddings")).select(
+        "vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_incidence_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.align(
+        table(spark, sf, "documents"), public_tokenizers.path(PACKED_WITH),
+        public_tokenizers.path(ALIGNED_WITH)).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256",
+        "n_shared")
+
+
+def op13_subword_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs, out = table(spark, sf, "documents").select("doc_id", "text"), held_out(3, 1)
+    labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    scored = quality.score(docs, quality.fit(docs, labels, ~out))
+    return scored.select("doc_id", out.alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_context_tree_weighting, op3_best_two_fit, op4_token_group_join,
     op5_host_rules, op6_cover_tree, op7_pfair_mix, op8_seed_and_extend, op9_interval_expansion,
-    op10_whole_token_counts)}
+    op10_whole_token_counts, op11_ball_kmeans_codes, op12_incidence_alignment,
+    op13_subword_quality)}
 __all__ = ["ORACLE", "QUERIES"]
