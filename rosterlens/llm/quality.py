@@ -7,9 +7,9 @@ a softmax. Vectors and output are trained together by stochastic gradient descen
 
 Output is linear in the mean, so for prediction each bucket is reduced to one number a class, and
 a text costs one look-up an n-gram. Whole texts are read in both steps. The training sample is
-bounded by ``ROWS`` rows a class and ``BYTES`` of text in all, drawn by a hash of the id from the
-texts that take at most a 64th of these bytes; classes drawn at different rates are put right by
-their counts in the corpus.
+bounded by about ``ROWS`` rows a class and ``BYTES`` of text in all, drawn by a hash of the id from
+the texts that take at most a 64th of these bytes; classes drawn at different rates are put right
+by their counts in the corpus.
 
 Null, empty and wordless texts have the end mark alone and get its score. Where nothing is
 labelled every score is 0.5; where one class is, it is certain. Rows that repeat an id are scored
@@ -25,15 +25,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rosterlens.llm.common import U64, hand_out, mixed, powers, rows, slices
 
 BUCKETS_LOG2 = 17
 DIMENSIONS = 16
 NGRAMS = (3, 4, 5)       # characters, the edges of a word included
-ROWS = 4_000             # labelled rows a class that are learned from, at most
-BYTES = 16 << 20         # bytes of their texts, at most
+ROWS = 4_000             # labelled rows a class that are learned from, at most about
+BYTES = 8 << 20          # bytes of their texts, at most about, half for each class
 EPOCHS = 8
 RATE = 0.5
 END = 0                  # bucket of the mark that every text has
@@ -126,11 +126,11 @@ def trained(bags_of: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, cl
     rng = np.random.default_rng(1)
     vectors = rng.uniform(-1, 1, (1 << BUCKETS_LOG2, DIMENSIONS)).astype(np.float32) / DIMENSIONS
     output = np.zeros((classes, DIMENSIONS), np.float32)
-    share = [(c / c.sum())[:, None] for _, c in bags_of]
     steps, step = epochs * len(bags_of), 0
     for _ in range(epochs):
         for i in rng.permutation(len(bags_of)):
-            bucket, weight = bags_of[i][0], share[i]
+            bucket, count = bags_of[i]
+            weight = (count / count.sum())[:, None]
             hidden = (vectors[bucket] * weight).sum(0)
             miss = -softmax(output @ hidden)
             miss[target[i]] += 1
@@ -143,18 +143,6 @@ def trained(bags_of: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, cl
     return vectors.astype(np.float64) @ output.T.astype(np.float64)
 
 
-def sample(labelled: DataFrame, rows_per_class: int, total_bytes: int) -> DataFrame:
-    """``doc_id, label`` to learn from: by a hash of the id, within both bounds."""
-    order = [F.xxhash64("doc_id", F.lit("quality")), "doc_id"]
-    per_class = Window.partitionBy("label").orderBy(*order)
-    drawn = labelled.select("doc_id", "label", F.octet_length("text").alias("bytes")) \
-        .where(F.col("bytes") <= total_bytes // 64).withColumn(
-        "place", F.row_number().over(per_class)).where(F.col("place") <= rows_per_class)
-    held = F.sum("bytes").over(per_class.rowsBetween(Window.unboundedPreceding, 0))
-    return drawn.withColumn("held", held).where(F.col("held") <= total_bytes // 2).select(
-        "doc_id", "label").distinct()
-
-
 def fit(docs: DataFrame, labels: DataFrame, train: Column, rows_per_class: int = ROWS,
         total_bytes: int = BYTES) -> Model:
     """Learn from texts of ``docs`` at ``train`` and ``doc_id, label`` (0 or 1) of ``labels``."""
@@ -163,9 +151,17 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, rows_per_class: int =
         .groupBy("doc_id").agg(F.min("label").cast("int").alias("label"),
                                F.max("label").alias("most")).where("label = most").drop("most")
     texts = docs.where(train).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    labelled = texts.join(agreed, "doc_id")
-    counts = dict(labelled.groupBy("label").count().collect())   # one row a class
-    chosen = sample(labelled, rows_per_class, total_bytes)
+    sizes = texts.select("doc_id", F.octet_length("text").alias("bytes")).join(agreed, "doc_id")
+    short = F.col("bytes") <= total_bytes // 64
+    found = sizes.groupBy("label").agg(
+        F.count("*").alias("n"), F.count_if(short).alias("short"),
+        F.sum(F.when(short, F.col("bytes"))).alias("bytes")).collect()   # one row a class
+    share = F.lit(0.0)
+    for r in found:
+        least = min(rows_per_class / max(r["short"], 1), total_bytes / 2 / max(r["bytes"] or 0, 1))
+        share = F.when(F.col("label") == r["label"], least).otherwise(share)
+    place = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30)) / float(1 << 30)
+    chosen = sizes.where(short & (place < share)).select("doc_id", "label").distinct()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -174,20 +170,21 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, rows_per_class: int =
                        bucket=pa.array([b.tobytes() for b, _ in found], pa.binary()),
                        count=pa.array([c.tobytes() for _, c in found], pa.binary()))
 
-    # at most 2 x ROWS rows and the buckets of BYTES of text; 2 x ROWS ids are broadcast
+    # about 2 x ROWS ids are broadcast, and the buckets of about BYTES of text come back
     got = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(
-        counted, "doc_id long, label int, bucket binary, count binary").toPandas()
-    got = got.sort_values(["doc_id", "bucket"], ignore_index=True)
-    classes = sorted(int(x) for x in got["label"].unique())
+        counted, "doc_id long, label int, bucket binary, count binary").toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("bucket", "ascending")])
+    label = got.column("label").to_numpy()
+    classes = sorted(set(label.tolist()))
     if len(classes) < 2:
         return Model(classes or [0, 1], np.zeros((1 << BUCKETS_LOG2, len(classes) or 2)),
                      np.zeros(len(classes) or 2))
-    target = np.searchsorted(classes, got["label"].to_numpy())
-    found = [(np.frombuffer(b, np.uint32), np.frombuffer(c, np.float32))
-             for b, c in zip(got["bucket"], got["count"])]
-    drawn = np.bincount(target)
-    return Model(classes, trained(found, target, len(classes)),
-                 np.log([counts[c] / n for c, n in zip(classes, drawn)]))
+    target = np.searchsorted(classes, label)
+    drawn = [(np.frombuffer(b, np.uint32), np.frombuffer(c, np.float32))
+             for b, c in zip(got.column("bucket").to_pylist(), got.column("count").to_pylist())]
+    size = {r["label"]: r["n"] for r in found}
+    return Model(classes, trained(drawn, target, len(classes)), np.log(
+        [size[c] / n for c, n in zip(classes, np.bincount(target))]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -266,9 +266,11 @@ def test_classes_drawn_at_different_rates_keep_their_odds(spark):
     labels = spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, label int")
     model = quality.fit(docs, labels, F.lit(True), rows_per_class=20)
     ones = sum(y for _, _, y in data)
-    assert model.prior == pytest.approx(np.log([(400 - ones) / 20, ones / 20]))
-    few = quality.sample(docs.join(labels, "doc_id"), 400, 64 * 200)
-    assert 0 < few.count() < 400   # bounded by bytes
+    drawn = [(400 - ones) / np.exp(model.prior[0]), ones / np.exp(model.prior[1])]
+    assert all(n == pytest.approx(round(n)) and 8 <= n <= 36 for n in drawn)
+    few = quality.fit(docs, labels, F.lit(True), total_bytes=64 * 200)   # bounded by bytes
+    drawn = [(400 - ones) / np.exp(few.prior[0]), ones / np.exp(few.prior[1])]
+    assert all(20 <= n <= 70 for n in drawn)
 
 
 def test_classifier_takes_odd_rows(spark):
