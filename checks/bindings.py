@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from checks.parameters import LEXICON, ROLE_HEAD, SETTINGS
 from rosterlens.operators import facts as fx
 from rosterlens.operators.dense import dense_cosine
+from rosterlens.operators.text_features import with_text_features
 from rosterlens.settings import JobSpec
+from rosterlens.sources.scratch import materialise
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -89,12 +91,9 @@ def role_facts(spark: SparkSession, sf: str, spec: JobSpec) -> DataFrame:
     """Role and skill facts per customer in one pass over the lines."""
     own = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("row_id"), years(F.col("c_custkey")).alias("yoe"))
-    marked = fx.role_marks(roles(spark, sf, spec), LEXICON, SETTINGS).join(own, "row_id")
-    per_person = marked.groupBy("row_id").agg(
-        *fx.role_aggregates(LEXICON), *fx.offender_aggregates(),
-        F.sum("skill_hits").alias("skill_hits"), F.sum("mastery_zero").alias("mastery_zero"),
-        F.date_format(F.max("ordered"), "yyyy-MM-dd").alias("last_active"))
-    return fx.unpacked(per_person, LEXICON)
+    found = fx.role_facts(roles(spark, sf, spec), own, LEXICON, SETTINGS,
+                          sums=("skill_hits", "mastery_zero"), latest=("ordered",))
+    return found.withColumn("last_active", F.date_format("ordered", "yyyy-MM-dd")).drop("ordered")
 
 
 def assessment_facts(spark: SparkSession, sf: str, spec: JobSpec) -> DataFrame:
@@ -104,12 +103,17 @@ def assessment_facts(spark: SparkSession, sf: str, spec: JobSpec) -> DataFrame:
     return scores.groupBy("user_id").agg(*fx.assessment_aggregates(spec))
 
 
-def pool(spark: SparkSession, sf: str, spec: JobSpec) -> DataFrame:
-    """Facts of every customer."""
+def text_features(spark: SparkSession, sf: str, keywords) -> DataFrame:
+    """What is read from the documents, written in the stage that scans them."""
+    return materialise(with_text_features(prose(spark, sf), "prose", LEXICON, keywords, SETTINGS))
+
+
+def pool(spark: SparkSession, sf: str, spec: JobSpec, features: DataFrame) -> DataFrame:
+    """Facts of every customer, with the narrow features of their texts."""
     own = people(spark, sf).join(assessment_facts(spark, sf, spec), "user_id", "left")
-    joined = fx.table_facts(own, [role_facts(spark, sf, spec), prose(spark, sf)],
-                            "row_id", LEXICON)
-    return joined.withColumn("prose", F.coalesce("prose", F.lit(""))).drop("user_id")
+    return fx.table_facts(
+        own, [role_facts(spark, sf, spec), features.select("row_id", "term_hits", "found")],
+        "row_id", LEXICON).drop("user_id")
 
 
 def role_text(spark: SparkSession, sf: str) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -17,11 +18,13 @@ from rosterlens.operators import audit as views, contract, facts as fx, insights
 from rosterlens.operators.dense import one_per_key
 from rosterlens.operators.ranking import top_per_group
 from rosterlens.operators.scoring import local_parts
+from rosterlens.operators.text_features import with_terms
 from rosterlens.operators.tfidf import percentile_scaled, similarities
 from rosterlens.plans.rank_pool import Ranking, rank_facts
 from rosterlens.settings import JobSpec
 from rosterlens.sources import candidates as src, tables as sinks
-from rosterlens.sources.scratch import materialise, scratch_root
+from rosterlens.sources.scratch import materialise, session_folder
+from rosterlens.sources.vectors import dense_of, read_vectors, write_vectors
 
 TOP = 100
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,11 +69,20 @@ def role(spark: SparkSession, sf: str) -> JobSpec:
 
 
 @once
-def ranking(spark: SparkSession, sf: str) -> Ranking:
+def features(spark: SparkSession, sf: str) -> DataFrame:
+    return b.text_features(spark, sf, role(spark, sf).keywords)
+
+
+def ranked(spark: SparkSession, sf: str, dense: DataFrame) -> Ranking:
     """The whole run: parse the role, score every customer."""
-    spec = role(spark, sf)
-    return rank_facts(b.pool(spark, sf, spec), role_text(spark, sf), LEXICON, SETTINGS,
-                      one_per_key(b.dense(spark, sf), "candidate_id"), spec)
+    spec, texts = role(spark, sf), features(spark, sf)
+    return rank_facts(b.pool(spark, sf, spec, texts), role_text(spark, sf), LEXICON, SETTINGS,
+                      dense, spec, texts)
+
+
+@once
+def ranking(spark: SparkSession, sf: str) -> Ranking:
+    return ranked(spark, sf, one_per_key(b.dense(spark, sf), "candidate_id"))
 
 
 @once
@@ -168,13 +180,19 @@ def lexicon_term_match(spark: SparkSession, sf: str) -> DataFrame:
                         listed(lx.term_counts(F.col("m"), LEXICON)).alias("counts"))
 
 
+def _hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Term hits of each document: the text stays in the stage of its scan."""
+    return b.prose(spark, sf).select("row_id", lx.text_hits(F.col("prose"), LEXICON)
+                                     .alias("term_hits"))
+
+
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     facts = fx.table_facts(
-        b.people(spark, sf), [b.role_facts(spark, sf, role(spark, sf)), b.prose(spark, sf)],
+        b.people(spark, sf), [b.role_facts(spark, sf, role(spark, sf)), _hits(spark, sf)],
         "row_id", LEXICON)
     return facts.select("candidate_id", lx.domain_vector(
-        lower_text(F.col("title")), F.col("past_hits"),
-        F.coalesce("prose", F.lit("")), LEXICON).alias("vector"))
+        lower_text(F.col("title")), F.col("past_hits"), F.col("term_hits"), LEXICON)
+        .alias("vector"))
 
 
 def domain_vector(spark: SparkSession, sf: str) -> DataFrame:
@@ -198,7 +216,7 @@ def top_domains(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- role descriptions -------------------------------------------------------
 def jd_title(spark: SparkSession, sf: str) -> DataFrame:
-    return b.jobs(spark, sf).select("jd_id", jb.title(F.col("text")).alias("title"))
+    return b.jobs(spark, sf).select("jd_id", jb.title(F.col("text"), SETTINGS).alias("title"))
 
 
 def jd_experience_band(spark: SparkSession, sf: str) -> DataFrame:
@@ -230,16 +248,28 @@ def jd_spec(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # --- similarity --------------------------------------------------------------
+def _terms(spark: SparkSession, sf: str) -> DataFrame:
+    texts = b.prose(spark, sf)
+    return materialise(with_terms(texts, "prose", SETTINGS.stop_words).select("row_id", "terms"))
+
+
 def _similar(spark: SparkSession, sf: str) -> DataFrame:
-    return similarities(b.prose(spark, sf), "row_id", "prose", role_text(spark, sf), SETTINGS)
+    return similarities(_terms(spark, sf), "row_id", role_text(spark, sf), SETTINGS)
 
 
 def tfidf_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return tidy(_similar(spark, sf).select(F.col("row_id").alias("doc_id"), "tfidf"), "tfidf")
 
 
+def tfidf_uncapped(spark: SparkSession, sf: str) -> DataFrame:
+    """Every term of at least two documents counts, however many there are."""
+    sims = similarities(_terms(spark, sf), "row_id", role_text(spark, sf),
+                        replace(SETTINGS, max_features=None))
+    return tidy(sims.select(F.col("row_id").alias("doc_id"), "tfidf"), "tfidf")
+
+
 def percentile_scaling(spark: SparkSession, sf: str) -> DataFrame:
-    scaled = percentile_scaled(materialise(_similar(spark, sf)), "tfidf", "scaled")
+    scaled = percentile_scaled(materialise(_similar(spark, sf)), "tfidf", "scaled", SETTINGS)
     return tidy(scaled.select(F.col("row_id").alias("doc_id"), "scaled"), "scaled")
 
 
@@ -294,9 +324,9 @@ def company_type(spark: SparkSession, sf: str) -> DataFrame:
 def stuffing_penalty(spark: SparkSession, sf: str) -> DataFrame:
     spec = role(spark, sf)
     facts = fx.table_facts(b.people(spark, sf), [b.role_facts(spark, sf, spec),
-                                                 b.prose(spark, sf)], "row_id", LEXICON)
+                                                 _hits(spark, sf)], "row_id", LEXICON)
     fit = scores.role_fit(lx.dot(lx.domain_vector(
-        lower_text(F.col("title")), F.col("past_hits"), F.coalesce("prose", F.lit("")), LEXICON),
+        lower_text(F.col("title")), F.col("past_hits"), F.col("term_hits"), LEXICON),
         F.array(*[F.lit(v) for v in spec.vector])))
     return facts.withColumn("fit", fit).select(
         "candidate_id", "skill_hits",
@@ -305,10 +335,11 @@ def stuffing_penalty(spark: SparkSession, sf: str) -> DataFrame:
 
 def negative_penalty(spark: SparkSession, sf: str) -> DataFrame:
     spec = role(spark, sf)
-    facts = b.people(spark, sf).join(b.prose(spark, sf), "row_id", "left")
-    score = scores.evidence(scores.evidence_found(F.coalesce("prose", F.lit("")), spec), spec)
+    found = b.prose(spark, sf).select("row_id", scores.evidence_found(F.col("prose"), spec)
+                                      .alias("found"))
+    facts = fx.table_facts(b.people(spark, sf), [found], "row_id", LEXICON)
     return facts.select("candidate_id", scores.excluded_specialty(
-        F.col("title"), score, spec).alias("negative"))
+        F.col("title"), scores.evidence(F.col("found"), spec), spec).alias("negative"))
 
 
 def job_hopping(spark: SparkSession, sf: str) -> DataFrame:
@@ -362,7 +393,7 @@ def integrity_verdict(spark: SparkSession, sf: str) -> DataFrame:
 # --- scores and ranks --------------------------------------------------------
 def row_parts(spark: SparkSession, sf: str) -> DataFrame:
     spec = role(spark, sf)
-    parts = local_parts(b.pool(spark, sf, spec), spec, LEXICON, SETTINGS)
+    parts = local_parts(b.pool(spark, sf, spec, features(spark, sf)), spec, LEXICON, SETTINGS)
     numbers = ("role_fit", "evidence", "experience", "company_type", "location_score",
                "behavioral", "verified", "stuffer", "negative", "hop", "soft")
     return tidy(parts.select("candidate_id", "hard", *numbers), *numbers)
@@ -387,8 +418,7 @@ def topk_ranking(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rank_all(spark: SparkSession, sf: str) -> DataFrame:
-    run = ranking(spark, sf)
-    return run.everyone().select("candidate_id", "rank", "score")
+    return ranking(spark, sf).ranks().select("candidate_id", "rank", "score")
 
 
 def topk_per_group(spark: SparkSession, sf: str) -> DataFrame:
@@ -472,8 +502,11 @@ def leaders(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- output contract ---------------------------------------------------------
 def validate_ok(spark: SparkSession, sf: str) -> DataFrame:
-    ranked = sinks.ranked_output(ranking(spark, sf).top(TOP))
-    return contract.violations(contract.as_rows(ranked), list(ranked.columns))
+    """The library's own output: how many rows were checked, and how many rules they break."""
+    shown = materialise(sinks.ranked_output(ranking(spark, sf).top(TOP)))
+    broken = contract.violations(contract.as_rows(shown), list(shown.columns))
+    return shown.agg(F.count(F.lit(1)).alias("checked")).crossJoin(
+        broken.agg(F.count(F.lit(1)).alias("broken")))
 
 
 def validate_broken(spark: SparkSession, sf: str) -> DataFrame:
@@ -489,13 +522,12 @@ def validate_broken(spark: SparkSession, sf: str) -> DataFrame:
     cells = F.array(ident, rank, score, F.lit("text"))
     damaged = F.when(k % 70 == 13, F.slice(cells, 1, 3)).otherwise(cells)
     rows = o.select((k + 2).alias("row"), damaged.alias("cells"))
-    return contract.violations(rows, None, 10_000).select("rule", "row", "message")
+    return contract.violations(rows, None, o.count() - 7).select("rule", "row", "message")
 
 
 # --- files -------------------------------------------------------------------
 def _folder(spark: SparkSession) -> str:
-    root = scratch_root(spark)
-    return f"{root}/files-{uuid.uuid4().hex}"
+    return f"{session_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
 def _as_lines(df: DataFrame) -> DataFrame:
@@ -546,6 +578,17 @@ def jsonl_tolerant(spark: SparkSession, sf: str) -> DataFrame:
     return _wide(src.with_id(src.read_jsonl(spark, path)))
 
 
+def jsonl_limited(spark: SparkSession, sf: str) -> DataFrame:
+    """The records in the first 1,000 lines of files with a blank and a damaged line a record."""
+    path = _folder(spark)
+    lines = nested(spark, sf).select("candidate_id", F.to_json(F.struct("*")).alias("value"))
+    lines.select("candidate_id", F.posexplode(F.array(
+        "value", F.lit(""), F.substring("value", F.lit(1), F.length("value") - 9))).alias(
+        "at", "value")).repartitionByRange("candidate_id").sortWithinPartitions(
+        "candidate_id", "at").select("value").write.text(path)
+    return _wide(src.read_jsonl(spark, path, limit=1000))
+
+
 def jsonl_rejected(spark: SparkSession, sf: str) -> DataFrame:
     path = _folder(spark)
     lines = _as_lines(nested(spark, sf))
@@ -563,7 +606,8 @@ def jsonl_strict(spark: SparkSession, sf: str) -> DataFrame:
 
 def json_array(spark: SparkSession, sf: str) -> DataFrame:
     """Files that hold one array each; an empty first object takes the comma."""
-    path, files = _folder(spark), 64
+    path = _folder(spark)
+    files = -(-b.table(spark, sf, "customer").count() // 500)   # an array is read by one task
     lines = _as_lines(nested(spark, sf)).select(
         F.pmod(F.xxhash64("value"), F.lit(files)).alias("file"), F.lit(1).alias("at"),
         F.concat(F.lit(","), "value").alias("value"))
@@ -592,6 +636,13 @@ def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.read_ranked_csv(spark, path)
 
 
+def csv_head(spark: SparkSession, sf: str) -> DataFrame:
+    """The head of the whole ranking as a file, whatever a view of it filters out."""
+    path = _folder(spark)
+    sinks.write_ranked_csv(ranking(spark, sf).everyone(), path, 50)
+    return sinks.read_ranked_csv(spark, path)
+
+
 def audit_json(spark: SparkSession, sf: str) -> DataFrame:
     path = _folder(spark)
     rows = ranking(spark, sf).audit(TOP)
@@ -599,16 +650,28 @@ def audit_json(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(rows.schema).json(path)
 
 
+def _artifact(spark: SparkSession, sf: str) -> str:
+    """Path of all vectors, stored with vector 0 as the query."""
+    path, stored = _folder(spark), b.table(spark, sf, "embeddings")
+    query = stored.where("vec_id = 0").select("embedding").first()["embedding"]
+    write_vectors(stored.select(b.candidate_id("vec_id").alias("id"),
+                                F.col("embedding").alias("vector")), query, path)
+    return path
+
+
 def vectors_parquet(spark: SparkSession, sf: str) -> DataFrame:
-    path = _folder(spark)
-    sinks.write_vectors(b.table(spark, sf, "embeddings").select(
-        b.candidate_id("vec_id").alias("id"), F.col("embedding").alias("vector")), path)
-    back = sinks.read_vectors(spark, path)
+    back = read_vectors(spark, _artifact(spark, sf)).vectors
     return back.select("id", F.size("vector").alias("width"),
                        grid(lx.dot(F.col("vector").cast("array<double>"),
                                    F.col("vector").cast("array<double>")), 6).alias("square"))
 
 
+def vectors_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """The ranking with similarities from the stored artifact alone."""
+    run = ranked(spark, sf, dense_of(spark, _artifact(spark, sf)))
+    return run.top(TOP).select("candidate_id", "rank", "score")
+
+
 def jd_files(spark: SparkSession, sf: str) -> DataFrame:
     """Role texts as files, one per region, read back whole and parsed."""
     path = _folder(spark)
@@ -624,12 +687,13 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     prose_projection, nested_facts, lexicon_title_match, lexicon_past_titles,
     lexicon_term_match, domain_vector, role_fit_cosine, top_domains,
     jd_title, jd_experience_band, jd_locations, jd_exclusions, jd_keywords, jd_spec,
-    tfidf_similarity, percentile_scaling, dense_cosine, hybrid_blend,
+    tfidf_similarity, tfidf_uncapped, percentile_scaling, dense_cosine, hybrid_blend,
     experience_score, location_score, keyword_evidence, company_type, stuffing_penalty,
     negative_penalty, job_hopping, recency, availability, corroboration,
     integrity_rules, integrity_verdict, row_parts, weighted_base, final_score,
     weight_override, topk_ranking, rank_all, topk_per_group, phrases, explanation, audit,
     flags, contributions, post_rank_filter, candidate_detail, kpis, title_mix, titles_of_best,
     score_histogram, scatter, country_mix, experience_bands, score_summary, leaders,
-    validate_ok, validate_broken, validate_file, jsonl_tolerant, jsonl_rejected, jsonl_strict, json_array,
-    nested_ranking, csv_roundtrip, audit_json, vectors_parquet, jd_files)}
+    validate_ok, validate_broken, validate_file, jsonl_tolerant, jsonl_limited,
+    jsonl_rejected, jsonl_strict, json_array, nested_ranking, csv_roundtrip, csv_head, audit_json,
+    vectors_parquet, vectors_ranking, jd_files)}

@@ -268,7 +268,7 @@ piece("fit", """select row_id, least(1.0, greatest(0.0, sum(a.v * b.v))) as role
 _stop = ", ".join(q(w) for w in SETTINGS.stop_words)
 
 
-def tfidf(docs: str, pre: str, *needs: str) -> None:
+def tfidf(docs: str, pre: str, *needs: str, cap: str = "limit 40000") -> None:
     """``docs(k, txt)``; key -1 is the role text."""
     piece(pre + "docs", f"{docs} union all select -1, text from jobrole", "jobrole", *needs)
     piece(pre + "tok", f"""select k, pos, w from (select k, unnest(ws) as w, generate_subscripts(ws, 1) as pos
@@ -279,7 +279,7 @@ def tfidf(docs: str, pre: str, *needs: str) -> None:
   from {pre}tok) where nx is not null) group by k, term""", pre + "tok")
     piece(pre + "voc", f"""select term, ln((1.0::double + n) / (1.0::double + df)) + 1.0 as idf from (
  select term, count(*) as df, sum(tf) as cf from {pre}tf group by term having count(*) >= 2
- order by cf desc, term asc limit 40000), (select count(*) as n from {pre}docs)""",
+ order by cf desc, term asc {cap}), (select count(*) as n from {pre}docs)""",
           pre + "tf", pre + "docs")
     piece(pre + "w", f"""select k, term, (1.0 + ln(tf::double)) * idf as w
  from {pre}tf join {pre}voc using (term)""", pre + "tf", pre + "voc")
@@ -296,6 +296,7 @@ def tfidf(docs: str, pre: str, *needs: str) -> None:
 
 
 tfidf("select doc_id as k, text as txt from documents", "d_")
+tfidf("select doc_id as k, text as txt from documents", "u_", cap="")
 tfidf("select row_id as k, coalesce(prose, '') as txt from people left join prose using (row_id)",
       "p_", "people", "prose")
 tfidf("select row_id as k, prose as txt from nprose", "n_", "nprose")
@@ -598,6 +599,7 @@ _o["jd_spec"] = query("""select jd_id, title, array_to_string(labels, ', ') as r
  coalesce(nullif(array_to_string(case when len(cities) > 0 then cities else countries end, ', '), ''), 'any') as places,
  coalesce(nullif(array_to_string(keywords[1:8], ', '), ''), '—') as key_terms,
  len(cities) > 0 or len(countries) > 0 as has_location_pref from j_spec""", "j_spec")
+_o["tfidf_uncapped"] = query(f"select k as doc_id, {tidy('tfidf')} as tfidf from u_sim", "u_sim")
 _o["tfidf_similarity"] = query(f"select k as doc_id, {tidy('tfidf')} as tfidf from d_sim", "d_sim")
 _o["percentile_scaling"] = query(f"select k as doc_id, {tidy('scaled')} as scaled from d_scaled",
                                  "d_scaled")
@@ -649,6 +651,7 @@ _o["final_score"] = query(f"select candidate_id, {tidy('final')} as final, score
 _o["weight_override"] = query("select candidate_id, score from r_ranked", "r_ranked")
 _o["topk_ranking"] = query("select candidate_id, rank, score from s_ranked where rank <= 100",
                            "s_ranked")
+_o["vectors_ranking"] = _o["topk_ranking"]
 _o["rank_all"] = query("select candidate_id, rank, score from s_ranked", "s_ranked")
 _o["topk_per_group"] = query("""select country, candidate_id, r as rank, score from (select *,
  row_number() over (partition by country order by score desc, candidate_id) as r from s_ranked)
@@ -660,6 +663,8 @@ _o["explanation"] = query("select candidate_id, rank, printf('%.4f', score) as s
 _o["audit"] = query("select * from audited where rank <= 100", "audited")
 _o["audit_json"] = _o["audit"]
 _o["csv_roundtrip"] = _o["explanation"]
+_o["csv_head"] = query("select candidate_id, rank, printf('%.4f', score) as score, reasoning "
+                       "from s_told where rank <= 50", "s_told")
 _o["flags"] = query(f"select candidate_id, {FLAG} as flag from audited", "audited")
 _o["contributions"] = query(" union all ".join(
     f"select candidate_id, rank, '{n}' as component, {tidy(f'{n} * {dbl(w)}')} as value "
@@ -684,27 +689,28 @@ _o["experience_bands"] = query("""select case when yoe between 6 and 8 then '6-8
 _o["score_summary"] = query("""select min(score) as score_min, max(score) as score_max, count(*) filter (where honeypot) as flagged
  from audited where rank <= 100""", "audited")
 _o["leaders"] = query("select rank, candidate_id, score from s_ranked where rank <= 5", "s_ranked")
-_o["validate_ok"] = "select 'x' as rule, 1::bigint as row, 'x' as message where false"
+_o["validate_ok"] = query("select count(*) as checked, 0::bigint as broken from s_ranked where rank <= 100",
+                          "s_ranked")
 piece("dmg", """select o_orderkey + 2 as row, case when o_orderkey % 50 = 7 then '' when o_orderkey % 50 = 8 then 'CAND_12'
   when o_orderkey % 50 = 9 then 'CAND_0000001' else printf('CAND_%07d', o_orderkey) end as id,
  case when o_orderkey % 40 = 3 then 'x' when o_orderkey % 40 = 4 then '0' || (o_orderkey + 1)
   when o_orderkey % 40 = 5 then '77' else cast(o_orderkey + 1 as varchar) end as rk,
  case when o_orderkey % 60 = 11 then 'high' else cast(cast(floor(o_totalprice / 50000.0) as bigint) as varchar) end as sc,
- o_orderkey % 70 = 13 as short from orders""")
+ o_orderkey % 70 = 13 as short, count(*) over () - 7 as wanted from orders""")
 piece("dm", """select *, case when rk = cast(try_cast(rk as bigint) as varchar) then try_cast(rk as bigint) end as n,
  try_cast(sc as double) as s, regexp_matches(id, '^CAND_[0-9]{7}$') as good from dmg where not short""", "dmg")
 piece("dpair", """select *, lead(n) over (order by n, row) as n2, lead(s) over (order by n, row) as s2,
  lead(id) over (order by n, row) as id2 from dm where n is not null and s is not null and id <> ''""", "dm")
-_o["validate_broken"] = query("""select 'row_count' as rule, null::bigint as row, 'expected 10000 data rows, found ' || count(*) as message from dmg having count(*) <> 10000
+_o["validate_broken"] = query("""select 'row_count' as rule, null::bigint as row, 'expected ' || max(wanted) || ' data rows, found ' || count(*) as message from dmg
  union all select 'cell_count', row, 'Row ' || row || ': expected 4 columns, got 3' from dmg where short
  union all select 'id_required', row, 'Row ' || row || ': candidate_id is required' from dm where id = ''
  union all select 'id_format', row, 'Row ' || row || ': candidate_id has the wrong form' from dm where id <> '' and not good
  union all select 'id_duplicate', row, 'Row ' || row || ': duplicate candidate_id ' || id from (select *, row_number() over (partition by id order by row) as k from dm where good) where k > 1
  union all select 'rank_integer', row, 'Row ' || row || ': rank must be an integer' from dm where n is null
- union all select 'rank_range', row, 'Row ' || row || ': rank must be between 1 and 10000' from dm where n not between 1 and 10000
- union all select 'rank_duplicate', row, 'Row ' || row || ': duplicate rank ' || n from (select *, row_number() over (partition by n order by row) as k from dm where n between 1 and 10000) where k > 1
+ union all select 'rank_range', row, 'Row ' || row || ': rank must be between 1 and ' || wanted from dm where n not between 1 and wanted
+ union all select 'rank_duplicate', row, 'Row ' || row || ': duplicate rank ' || n from (select *, row_number() over (partition by n order by row) as k from dm where n between 1 and wanted) where k > 1
  union all select 'score_float', row, 'Row ' || row || ': score must be a float' from dm where s is null
- union all select 'rank_missing', null, 'missing rank ' || i from range(1, 10001) t(i) where i not in (select n from dm where n between 1 and 10000)
+ union all select 'rank_missing', null, 'missing rank ' || i from (select unnest(range(1, (select count(*) - 6 from orders))) as i) where i not in (select n from dm where n between 1 and wanted)
  union all select 'score_order', row, 'score must not increase by rank: rank ' || n || ' < rank ' || n2 from dpair where s < s2
  union all select 'tie_break', row, 'equal scores at ranks ' || n || ' and ' || n2 || ' need ascending candidate_id' from dpair where s = s2 and id > id2""",
                               "dmg", "dm", "dpair")
@@ -733,6 +739,7 @@ _wide = """select candidate_id, title as current_title, nyoe as years_of_experie
  (row_id % 80)::double as excel from nown"""
 for _n in ("jsonl_tolerant", "jsonl_strict", "json_array"):
     _o[_n] = query(_wide, "nown")
+_o["jsonl_limited"] = query(_wide + " qualify row_number() over (order by row_id) <= 334", "nown")
 _o["jsonl_rejected"] = "select count(*) as rejected from customer"
 _o["nested_ranking"] = query("select candidate_id, rank, score, reasoning from n_told where rank <= 100",
                              "n_told")

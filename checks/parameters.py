@@ -24,7 +24,7 @@ SETTINGS = Settings(
     product_industries=("economy", "promo", "large"), nontech_industries=("small", "medium"),
     cities=("nation_1", "nation_2", "nation_13"), countries=("asia", "europe"),
     specialties=(*KINDS, "gizmo", "gear"),
-    reference_date="2001-09-20", home_country="asia",
+    reference_date="2001-09-20", home_country="asia", max_features=40_000,
     stop_words=("the", "and", "of", "to", "in", "is", "on", "at", "by", "as", "it", "an", "or",
                 "be", "are", "was", "for", "with", "from"))
 

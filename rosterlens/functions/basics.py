@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, functions as F
@@ -38,20 +39,14 @@ def flag(col: Column) -> Column:
     return F.coalesce(col, F.lit(False))
 
 
-def _quoted(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def strings(values: Iterable[str]) -> Column:
-    """Literal array<string>, parsed in one step instead of one call per entry."""
-    return F.expr("array(" + ", ".join(_quoted(v) for v in values) + ")").cast("array<string>")
+    """Literal array<string>: one literal however long the list, folded by the optimizer."""
+    return F.from_json(F.lit(json.dumps(list(values))), "array<string>")
 
 
 def string_lists(lists: Iterable[Iterable[str]]) -> Column:
     """Literal array<array<string>>."""
-    rows = ["cast(array(" + ", ".join(_quoted(v) for v in values) + ") as array<string>)"
-            for values in lists]
-    return F.expr("array(" + ", ".join(rows) + ")")
+    return F.from_json(F.lit(json.dumps([list(v) for v in lists])), "array<array<string>>")
 
 
 def contains_any(col: Column, needles: Iterable[str]) -> Column:

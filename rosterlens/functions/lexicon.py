@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from rosterlens.functions.basics import let, string_lists, strings
+from rosterlens.functions.basics import let, strings
 from rosterlens.settings import Lexicon
 
 CURRENT_TITLE_WEIGHT = 4.0
@@ -16,20 +16,21 @@ def _quote(ch: str) -> str:
     return ch if ch.isalnum() or ch in " _" else "\\" + ch
 
 
-def _branches(words: set[str]) -> str:
+def _branches(words: set[str], shortest: bool = False) -> str:
     """Alternatives sharing prefixes; a longer word is always tried first.
 
     Words that match at one position are prefixes of each other, so trying the
     deepest branch first is the same as trying the list sorted by length, at
-    the cost of one character test per step instead of one per word.
+    the cost of one character test per step instead of one per word. With
+    ``shortest`` a word ends its branch: enough to see that some word stands here.
     """
     heads: dict[str, set[str]] = {}
     for w in words:
         if w:
             heads.setdefault(w[0], set()).add(w[1:])
-    arms = [_quote(c) + _branches(tails) for c, tails in sorted(heads.items())]
-    if not arms:
+    if not heads or (shortest and "" in words):
         return ""
+    arms = [_quote(c) + _branches(tails, shortest) for c, tails in sorted(heads.items())]
     body = arms[0] if len(arms) == 1 and "" not in words else "(?:" + "|".join(arms) + ")"
     return body + "?" if "" in words else body
 
@@ -40,10 +41,13 @@ def term_pattern(terms: list[str]) -> str:
 
 
 def title_hits(title: Column, lexicon: Lexicon) -> Column:
-    """array<int>, one 0/1 per domain: does the lower-cased title name it?"""
-    phrases = string_lists(d.titles for d in lexicon.domains)
-    return let(title, lambda t: F.transform(phrases, lambda words: F.exists(
-        words, lambda w: F.contains(t, w)).cast("int")))
+    """array<int>, one 0/1 per domain: does the lower-cased title name it?
+
+    The phrases of a domain are one automaton, so the time for a title does not grow with them.
+    """
+    return F.array(*[
+        (title.rlike(_branches(set(d.titles), shortest=True)) if d.titles else F.lit(False))
+        .cast("int") for d in lexicon.domains])
 
 
 def no_hits(lexicon: Lexicon) -> Column:
@@ -60,9 +64,12 @@ def matched_terms(prose: Column, lexicon: Lexicon) -> Column:
 
 def term_counts(matched: Column, lexicon: Lexicon) -> Column:
     """array<int>: matched terms per domain; a term may serve two domains."""
-    lists = string_lists(d.terms for d in lexicon.domains)
-    return let(matched, lambda found: F.transform(lists, lambda terms: F.size(F.filter(
-        terms, lambda t: F.array_contains(found, t)))))
+    def held(found: Column, terms: tuple[str, ...]) -> Column:
+        whole = "^(?:" + _branches(set(terms)) + ")$"
+        return F.size(F.filter(found, lambda t: t.rlike(whole)))
+
+    return let(matched, lambda found: F.array(*[
+        held(found, d.terms) if d.terms else F.lit(0) for d in lexicon.domains]))
 
 
 def unit(vector: Column, size: int) -> Column:
@@ -75,20 +82,25 @@ def unit(vector: Column, size: int) -> Column:
     return let(vector, scaled)
 
 
-def domain_vector(title: Column, past_hits: Column, prose: Column, lexicon: Lexicon) -> Column:
+def domain_vector(title: Column, past_hits: Column, term_hits: Column,
+                  lexicon: Lexicon) -> Column:
     """Unit vector over the domains.
 
     ``title`` is the current title (lower case), ``past_hits`` the number of
-    past titles naming each domain, ``prose`` the lower-cased text.
+    past titles naming each domain, ``term_hits`` that of the terms in the text.
     """
     titles = F.zip_with(title_hits(title, lexicon), past_hits,
                         lambda now, past: now * F.lit(CURRENT_TITLE_WEIGHT) + past)
-    raw = F.zip_with(
-        titles, term_counts(matched_terms(prose, lexicon), lexicon),
-        lambda a, n: a + F.least(F.lit(TERM_CAP), F.lit(TERM_WEIGHT) * n))
+    raw = F.zip_with(titles, term_hits,
+                     lambda a, n: a + F.least(F.lit(TERM_CAP), F.lit(TERM_WEIGHT) * n))
     return unit(raw, len(lexicon.domains))
 
 
+def text_hits(text: Column, lexicon: Lexicon) -> Column:
+    """array<int>: lexicon terms per domain in lower-cased text."""
+    return term_counts(matched_terms(text, lexicon), lexicon)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0),
                        lambda acc, x: acc + x)

@@ -6,6 +6,8 @@ the literals of one parsed role. Nothing here shuffles.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, functions as F
 
 from rosterlens import fixed_values as fv
@@ -44,10 +46,14 @@ def location(place: Column, country: Column, relocate: Column, spec: JobSpec,
             .otherwise(0.15))
 
 
+def phrases_found(text: Column, phrases: Iterable[str]) -> Column:
+    """Which of the phrases the text holds, in their order."""
+    return let(text, lambda t: F.filter(strings(phrases), lambda k: F.contains(t, k)))
+
+
 def evidence_found(prose: Column, spec: JobSpec) -> Column:
     """Keywords of the role that occur in the prose, in keyword order."""
-    return let(prose, lambda p: F.filter(
-        strings(spec.keywords), lambda k: F.contains(p, k)))
+    return phrases_found(prose, spec.keywords)
 
 
 def evidence(found: Column, spec: JobSpec) -> Column:

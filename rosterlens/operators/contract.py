@@ -8,39 +8,50 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rosterlens import fixed_values as fv
 from rosterlens.operators.ordering import number_rows
+from rosterlens.sources.lines import split_lines, with_number
 from rosterlens.sources.scratch import materialise
 
 _FIRST_ROW = 2  # row 1 is the header
 # every cell follows a comma, one of which is put before the line: an empty first cell counts too
-_CELL = r',("[^"]*+(?:""[^"]*+)*+"|[^,]*+)'
+_QUOTED = r'"([^"]*+(?:""[^"]*+)*+)("?)([^,]*+)'
+_CELL = rf',((?:{_QUOTED})|[^,]*+)'
 _FLOAT = (r"(?i)^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|nan|inf|infinity)$")
 
 
 def csv_cells(line: Column) -> Column:
-    """Cells of one CSV line; quoted cells may hold commas and doubled quotes."""
+    """Cells of one CSV line; quoted cells may hold commas and doubled quotes.
+
+    A quote that is not closed holds the rest of the line; text after a closing quote belongs to
+    the cell as it stands.
+    """
+    def plain(cell: Column) -> Column:
+        body = F.replace(F.regexp_extract(cell, _QUOTED, 1), F.lit('""'), F.lit('"'))
+        return F.when(cell.startswith('"'), F.concat(
+            body, F.regexp_extract(cell, _QUOTED, 3))).otherwise(cell)
+
     return F.transform(
-        F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_CELL), F.lit(1)),
-        lambda c: F.when(c.startswith('"'), F.replace(
-            F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+        F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_CELL), F.lit(1)), plain)
 
 
 def read_rows(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
     """Header cells and the data rows ``(row, cells)`` of one CSV file.
 
-    Blank rows are dropped before rows are numbered. Cells may not hold line
-    breaks, which the ranked output never has.
+    Blank rows are dropped before rows are numbered, split by split and without a sort. Cells may
+    not hold line breaks, which the ranked output never has.
     """
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("_f"),
-        F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
-    cells = number_rows(lines, "line", F.asc("_f"), F.asc("_b"), F.asc("_i")).select(
-        "line", csv_cells(F.col("value")).alias("cells"))
-    first = cells.where("line = 1").first()
-    filled = cells.where(F.col("line") > 1).where(
-        F.exists("cells", lambda c: F.trim(c) != ""))
-    numbered = number_rows(filled, "row", F.asc("line")).select(
-        (F.col("row") + _FIRST_ROW - 1).alias("row"), "cells")
-    return (list(first["cells"]) if first else []), numbered
+    lines = split_lines(spark, path).withColumn("_line", F.monotonically_increasing_id())
+    head = lines.groupBy("_file", "_begin").agg(
+        F.min_by(F.struct("_line", "value"), "_line").alias("first")).orderBy(
+        "_file", "_begin").first()
+    if head is None:
+        return [], spark.createDataFrame([], "row bigint, cells array<string>")
+    header = spark.range(1).select(csv_cells(F.lit(head["first"]["value"])).alias("c")).first()["c"]
+    is_header = (F.col("_file") == head["_file"]) & (F.col("_begin") == head["_begin"]) \
+        & (F.col("_line") == head["first"]["_line"])
+    filled = lines.where(~is_header).withColumn("cells", csv_cells(F.col("value"))).where(
+        F.exists("cells", lambda c: F.trim(c) != "")).select("_file", "_begin", "cells")
+    return list(header), with_number(filled, "_row").select(
+        (F.col("_row") + _FIRST_ROW - 1).alias("row"), "cells")
 
 
 def as_rows(ranked: DataFrame) -> DataFrame:

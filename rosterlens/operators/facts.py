@@ -3,10 +3,10 @@
 Two providers give the same columns:
 
 * :func:`nested_facts` folds the arrays of a nested record inside its row;
-* :func:`table_facts` aggregates child tables (roles, skills, assessments) per
-  candidate. Counts and sums are combined in every task before the shuffle, so
-  a candidate that owns a third of all child rows is no bottleneck, and no
-  child list is ever collected.
+* :func:`table_facts` joins what child tables (roles, skills, assessments) give per
+  candidate. Counts and sums are combined in every task before the shuffle, roles that must
+  meet their owner are merged by duration first (:func:`role_facts`), so a candidate that owns
+  a third of all child rows is no bottleneck, and no child list is ever collected.
 
 ``row_id`` is unique per row; ``candidate_id`` may repeat.
 """
@@ -116,54 +116,62 @@ def _tally(condition: Column) -> Column:
     return F.sum(F.when(condition, 1).otherwise(0))
 
 
-def role_marks(roles: DataFrame, lexicon: Lexicon, settings: Settings) -> DataFrame:
-    """Add what the role aggregates look at, so that it is computed once a row."""
-    return roles.withColumns({
-        "_kind": employer_class(F.col("company"), F.col("industry"), settings),
-        "_hits": title_hits(lower_text(F.col("title")), lexicon),
-        "_done": ~flag(F.col("is_current")),
-        "_months": number(F.col("duration_months"))})
-
+def role_facts(roles: DataFrame, owners: DataFrame, lexicon: Lexicon, settings: Settings,
+               sums: tuple[str, ...] = (), latest: tuple[str, ...] = ()) -> DataFrame:
+    """Facts of role rows per owner, in two steps, so that a hot owner is no hot task.
 
-def role_aggregates(lexicon: Lexicon) -> list[Column]:
-    """Counts and sums over marked role rows."""
-    done, months = F.col("_done"), F.col("_months")
-    return [
-        F.count(F.lit(1)).alias("n_roles"),
-        *[_tally(F.col("_kind") == c).alias(f"n_{c}") for c in CLASSES],
-        _tally(done).alias("n_completed"),
-        F.sum(F.when(done, months).otherwise(0.0)).alias("completed_months"),
-        F.sum(months).alias("total_months"),
-        *[F.sum(F.when(done, F.get("_hits", F.lit(i))).otherwise(0)).cast("int")
-          .alias(f"_past_{i}") for i in range(len(lexicon.domains))],
-    ]
+    ``roles`` are ``row_id role_no title company industry is_current duration_months start_year
+    end_year`` and the columns of ``sums`` (added up) and ``latest`` (the largest is kept);
+    ``owners`` are ``row_id yoe``. Whether a role is too long depends on its owner. So roles are
+    first merged by owner and duration, without their owner: of equally long roles, all or none
+    are too long, and only the first of them can be the one that is named. Durations are months:
+    what is left of an owner is one row for each month count, however many roles there were.
+    """
+    return _per_owner(_per_duration(roles, lexicon, settings, sums, latest), owners, lexicon,
+                      sums, latest)
 
 
-def offender_aggregates() -> list[Column]:
-    """First offending role of each kind, over role rows that also carry
-    ``role_no start_year end_year`` and their owner's ``yoe``."""
+def _per_duration(roles: DataFrame, lexicon: Lexicon, settings: Settings, sums, latest):
     months = number(F.col("duration_months"))
-    span = ((F.nullif(F.col("end_year"), F.lit(0)) - F.nullif(F.col("start_year"), F.lit(0)))
-            * 12).cast("int")
+    done = ~flag(F.col("is_current"))
+    marked = roles.withColumns({
+        "_kind": employer_class(F.col("company"), F.col("industry"), settings),
+        "_hits": title_hits(lower_text(F.col("title")), lexicon),
+        "_done": done, "_months": months,
+        "_span": ((F.nullif(F.col("end_year"), F.lit(0))
+                   - F.nullif(F.col("start_year"), F.lit(0))) * 12).cast("int")})
     entry = F.struct("role_no", F.coalesce("title", F.lit("?")).alias("title"),
-                     months.alias("months"), span.alias("span"))
-    long = integrity.overlong(F.col("duration_months"), F.col("yoe"))
-    off = integrity.misdated(F.col("duration_months"), span)
-    return [F.min(F.when(long, entry)).alias("_long"), F.min(F.when(off, entry)).alias("_off")]
-
-
-def unpacked(aggregated: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """Turn the raw role aggregates into the columns of the facts frame."""
-    names = [f"_past_{i}" for i in range(len(lexicon.domains))]
-    long, off = F.col("_long"), F.col("_off")
-    return aggregated.withColumns({
-        "past_hits": F.array(*[F.col(n) for n in names]),
+                     F.col("_months").alias("months"), F.col("_span").alias("span"))
+    return marked.groupBy("row_id", "_months").agg(
+        F.count(F.lit(1)).alias("n_roles"),
+        *[_tally(F.col("_kind") == c).alias(f"n_{c}") for c in CLASSES],
+        _tally(F.col("_done")).alias("n_completed"),
+        *[F.sum(F.when(F.col("_done"), F.get("_hits", F.lit(i))).otherwise(0)).alias(f"_past_{i}")
+          for i in range(len(lexicon.domains))],
+        F.min(entry).alias("_first"),
+        F.min(F.when(integrity.misdated(F.col("_months"), F.col("_span")), entry)).alias("_off"),
+        *[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in latest])
+
+
+def _per_owner(merged: DataFrame, owners: DataFrame, lexicon: Lexicon, sums, latest):
+    past = [f"_past_{i}" for i in range(len(lexicon.domains))]
+    months, long, off = F.col("_months"), F.col("_long"), F.col("_off")
+    added = ("n_roles", *[f"n_{c}" for c in CLASSES], "n_completed", *sums)
+    too_long = F.min(F.when(integrity.overlong(months, F.col("yoe")), F.col("_first")))
+    owned = merged.join(owners.select("row_id", "yoe"), "row_id").groupBy("row_id").agg(
+        *[F.sum(c).alias(c) for c in added], *[F.sum(c).cast("int").alias(c) for c in past],
+        F.sum(F.col("n_completed") * months).alias("completed_months"),
+        F.sum(F.col("n_roles") * months).alias("total_months"),
+        too_long.alias("_long"), F.min("_off").alias("_off"),
+        *[F.max(c).alias(c) for c in latest])
+    return owned.withColumns({
+        "past_hits": F.array(*[F.col(n) for n in past]),
         "overlong": F.when(long.isNotNull(), F.struct(
             long["title"].alias("title"), long["months"].alias("months"))).cast(OVERLONG),
         "misdated": F.when(off.isNotNull(), F.struct(
             off["title"].alias("title"), off["months"].alias("months"),
             off["span"].alias("span"))).cast(MISDATED),
-    }).drop(*names, "_long", "_off")
+    }).drop(*past, "_long", "_off")
 
 
 def skill_aggregates(spec: JobSpec) -> list[Column]:
@@ -196,6 +204,8 @@ def table_facts(people: DataFrame, children: list[DataFrame], key: str,
     present = set(df.columns)
     fill = {c: F.coalesce(F.col(c), F.lit(0).cast("bigint")) for c in ZERO_COUNTS if c in present}
     fill |= {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ZERO_SUMS if c in present}
-    if "past_hits" in present:
-        fill["past_hits"] = F.coalesce("past_hits", no_hits(lexicon))
+    fill |= {c: F.coalesce(c, no_hits(lexicon)) for c in ("past_hits", "term_hits")
+             if c in present}
+    if "found" in present:
+        fill["found"] = F.coalesce("found", F.array().cast("array<string>"))
     return df.withColumns(fill)

@@ -8,19 +8,19 @@ from rosterlens import fixed_values as fv
 from rosterlens.functions.basics import (
     SPACE, as_word, contains_any, let, string_lists, strings, strip)
 from rosterlens.functions.lexicon import (
-    domain_vector, label_of, no_hits, top_domains, top_positions)
+    domain_vector, label_of, no_hits, text_hits, top_domains, top_positions)
 from rosterlens.settings import JobSpec, Lexicon, Settings
 
 _LINE_END = r"\n\r\x0B\f\x1c-\x1e\x85\u2028\u2029"
 
 
-def title(text: Column) -> Column:
+def title(text: Column, settings: Settings) -> Column:
     """What follows a title label on the first non-blank line, else the line."""
     line = strip(F.regexp_extract(text, rf"(?U)^{SPACE}*([^{_LINE_END}]*)", 1))
     return let(line, lambda first: F.substring(
         F.when(first.rlike(fv.TITLE_LABEL),
                strip(F.regexp_extract(first, fv.TITLE_LABEL, 1))).otherwise(first),
-        1, fv.TITLE_LENGTH))
+        1, settings.title_length))
 
 
 def experience_band(text: Column) -> Column:
@@ -52,7 +52,7 @@ def places(text: Column, gazetteer: tuple[str, ...]) -> Column:
 def exclusions(text: Column, settings: Settings) -> Column:
     """Specialties named in or shortly after an exclusion marker.
 
-    A fold over the clauses: a marker opens a window of 16 clauses, and a later
+    A fold over the clauses: a marker opens a window of clauses, and a later
     marker extends it. The state is one counter and at most one entry per known
     specialty, so it stays small for any length of text.
     """
@@ -62,7 +62,7 @@ def exclusions(text: Column, settings: Settings) -> Column:
 
     def step(acc: Column, clause: Column) -> Column:
         left = F.when(contains_any(clause, settings.exclusion_markers),
-                      fv.EXCLUSION_WINDOW).otherwise(acc["left"])
+                      settings.exclusion_window).otherwise(acc["left"])
         return let(left, lambda n: F.struct(
             F.greatest(n - 1, F.lit(0)).alias("left"),
             F.when(n > 0, F.array_union(acc["found"], named(clause)))
@@ -73,13 +73,13 @@ def exclusions(text: Column, settings: Settings) -> Column:
                        lambda acc: acc["found"])
 
 
-def keywords(text: Column, vector: Column, lexicon: Lexicon) -> Column:
-    """Phrases of the three leading domains found in the text, at most 40."""
+def keywords(text: Column, vector: Column, lexicon: Lexicon, settings: Settings) -> Column:
+    """Phrases of the three leading domains found in the text, at most ``keyword_cap``."""
     phrases = string_lists(d.terms + d.titles for d in lexicon.domains)
     offered = F.flatten(F.transform(top_positions(vector, 3, 0.12),
                                     lambda p: F.get(phrases, p)))
     return let(F.lower(text), lambda t: F.slice(F.array_distinct(F.filter(
-        offered, lambda k: t.contains(k) & (F.length(k) > 2))), 1, fv.KEYWORD_CAP))
+        offered, lambda k: t.contains(k) & (F.length(k) > 2))), 1, settings.keyword_cap))
 
 
 def job_specs(jobs: DataFrame, lexicon: Lexicon, settings: Settings) -> DataFrame:
@@ -88,17 +88,17 @@ def job_specs(jobs: DataFrame, lexicon: Lexicon, settings: Settings) -> DataFram
     first = top_domains(F.col("vector"), lexicon, 3, 0.15)
     return (
         jobs
-        .withColumn("title", title(text))
+        .withColumn("title", title(text, settings))
         .withColumn("_band", experience_band(text))
         .withColumn("cities", places(text, settings.cities))
         .withColumn("countries", places(text, settings.countries))
         .withColumn("excluded", exclusions(text, settings))
         .withColumn("vector", domain_vector(
-            F.lower("title"), no_hits(lexicon), F.lower(text), lexicon))
+            F.lower("title"), no_hits(lexicon), text_hits(F.lower(text), lexicon), lexicon))
         .withColumn("target_domains", let(first, lambda d: F.when(F.size(d) > 0, d).otherwise(
             top_domains(F.col("vector"), lexicon, 1, 0.0))))
         .withColumn("keywords", F.array_except(
-            keywords(text, F.col("vector"), lexicon), F.col("excluded")))
+            keywords(text, F.col("vector"), lexicon, settings), F.col("excluded")))
         .select("*", "_band.*").drop("_band")
         .withColumn("has_location_pref", (F.size("cities") > 0) | (F.size("countries") > 0)))
 

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rosterlens.sources.scratch import materialise
+from rosterlens.sources.scratch import Scratch, materialise
 
 _INDEX_BITS = 33  # monotonically_increasing_id: task number above, row below
 
 
-def _sorted_slices(df: DataFrame, *order: Column) -> DataFrame:
+def _sorted_slices(df: DataFrame, *order: Column, scratch: Scratch | None = None) -> DataFrame:
     """Range-sort, remember each row's slice and place, and keep the result.
 
     The sample that picks the range bounds may differ between two runs of the
     same plan; the written copy pins slice numbers down.
     """
     ordered = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())
-    return (materialise(ordered)
+    keep = materialise if scratch is None else scratch.keep
+    return (keep(ordered)
             .withColumn("_slice", F.shiftright("_at", _INDEX_BITS))
             .withColumn("_place", F.col("_at").bitwiseAND(F.lit(2 ** _INDEX_BITS - 1)))
             .drop("_at"))
@@ -29,20 +30,22 @@ def _offsets(slices: DataFrame, size: Column) -> DataFrame:
             .select("_slice", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before")))
 
 
-def number_rows(df: DataFrame, name: str, *order: Column) -> DataFrame:
+def number_rows(df: DataFrame, name: str, *order: Column,
+                scratch: Scratch | None = None) -> DataFrame:
     """Add a dense 1-based position in the global order of ``order``.
 
     One range shuffle; hot sort values are split as long as ``order`` ends in a
     distinguishing column.
     """
-    slices = _sorted_slices(df, *order)
+    slices = _sorted_slices(df, *order, scratch=scratch)
     offsets = _offsets(slices, F.count(F.lit(1)))
     return (slices.join(F.broadcast(offsets), "_slice")
             .withColumn(name, F.col("_before") + F.col("_place") + 1)
             .drop("_slice", "_place", "_before"))
 
 
-def exact_percentile(df: DataFrame, column: str, percent: Column | float) -> DataFrame:
+def exact_percentile(df: DataFrame, column: str, percent: Column | float,
+                     scratch: Scratch | None = None) -> DataFrame:
     """One row ``(n, value)``: the linearly interpolated percentile of a column.
 
     Equal values are merged before the sort, so a value shared by a third of
@@ -51,7 +54,7 @@ def exact_percentile(df: DataFrame, column: str, percent: Column | float) -> Dat
     """
     share = percent if isinstance(percent, Column) else F.lit(float(percent))
     values = df.groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    slices = _sorted_slices(values, F.col("_v"))
+    slices = _sorted_slices(values, F.col("_v"), scratch=scratch)
     total = slices.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"))
     rank = (F.col("n") - 1) * (share / 100.0)
     target = total.select("n", F.floor(rank).alias("_lo"), F.ceil(rank).alias("_hi"),

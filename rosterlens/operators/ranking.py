@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from rosterlens.functions.basics import grid
 from rosterlens.operators.ordering import number_rows
+from rosterlens.sources.scratch import Scratch
 
 
 def normalised(scored: DataFrame) -> DataFrame:
@@ -39,6 +40,10 @@ def top_per_group(scores: DataFrame, group: str, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
-def all_ranked(scores: DataFrame) -> DataFrame:
-    """Every row with its rank in the global order."""
-    return number_rows(scores, "rank", *_order(scores))
+def all_ranked(scores: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """``row_id, candidate_id, score, rank`` of every row in the global order.
+
+    Only these are sorted and written; what is shown of a row is joined to its rank.
+    """
+    narrow = scores.select("row_id", "candidate_id", "score")
+    return number_rows(narrow, "rank", *_order(narrow), scratch=scratch)

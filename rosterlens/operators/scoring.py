@@ -16,26 +16,27 @@ WEIGHT_OF = dict(zip(COMPONENTS, ("role_fit", "semantic", "evidence", "experienc
 
 def local_parts(facts: DataFrame, spec: JobSpec, lexicon: Lexicon,
                 settings: Settings) -> DataFrame:
-    """Every component and gate that needs the row alone. No shuffle, no UDF."""
+    """Every component and gate that needs the row alone. No shuffle, no UDF.
+
+    ``term_hits`` and ``found`` stand for the text (see ``text_features``).
+    """
     c = F.col
     role_vector = F.array(*[F.lit(v) for v in spec.vector])
     offences = (c("overlong"), c("n_roles"), c("total_months"), c("mastery_zero"),
                 c("misdated"), c("yoe"))
-    found = scores.evidence_found(c("prose"), spec)
     return (
         facts
         .withColumn("domain_vector", domain_vector(
-            F.lower(F.coalesce("title", F.lit(""))), c("past_hits"), c("prose"), lexicon))
+            F.lower(F.coalesce("title", F.lit(""))), c("past_hits"), c("term_hits"), lexicon))
         .withColumns({
             "role_fit": scores.role_fit(dot(c("domain_vector"), role_vector)),
-            "_found": found,
             "hard": integrity.hard_finding(*offences),
             "n_reasons": integrity.finding_count(*offences),
             "avg_assessment": scores.assessment_mean(
                 c("rel_n"), c("rel_sum"), c("all_n"), c("all_sum"))})
-        .withColumn("evidence", scores.evidence(c("_found"), spec))
+        .withColumn("evidence", scores.evidence(c("found"), spec))
         .withColumns({
-            "evidence_terms": F.slice("_found", 1, 6),
+            "evidence_terms": F.slice("found", 1, 6),
             "experience": scores.experience(c("yoe"), spec),
             "company_type": scores.company_type(
                 c("n_roles"), c("n_consulting"), c("n_product"), c("n_nontech"),
@@ -52,7 +53,7 @@ def local_parts(facts: DataFrame, spec: JobSpec, lexicon: Lexicon,
             "github_shown": F.when(c("github") >= 0, c("github")),
             "n_assessments": F.when(c("rel_n") > 0, c("rel_n")).otherwise(c("all_n")),
             "soft": integrity.soft_penalty(c("n_reasons"))})
-        .drop("_found"))
+        .drop("found", "term_hits"))
 
 
 def with_reasons(parts: DataFrame) -> DataFrame:

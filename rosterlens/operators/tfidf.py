@@ -1,127 +1,109 @@
-"""Exact TF-IDF cosine of one role text against a corpus.
+"""Exact TF-IDF cosine of a role text against a corpus of counted terms.
 
-Two passes over the texts, both without a shuffle on the document:
+The corpus is the table of text features (see ``text_features``): tokenised once, read twice.
 
-1. each row counts its own terms; terms are merged over the corpus, combined
-   in every task first, into document and corpus frequencies;
-2. each row counts its terms again, meets the vocabulary and sums its own dot
-   product and norm; what is shuffled is one partial sum per document.
+1. terms are merged over the corpus, combined in every task first, into document and corpus
+   frequencies;
+2. each row's terms meet the vocabulary and give partial sums of its dot product and norm; what
+   is shuffled is one partial sum per document.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rosterlens import fixed_values as fv
 from rosterlens.operators.ordering import exact_percentile
+from rosterlens.operators.text_features import stop_words, with_terms
 from rosterlens.settings import Settings
-from rosterlens.sources.scratch import materialise
+from rosterlens.sources.scratch import Scratch, materialise
 
-# A capped vocabulary of at most this many terms is small enough to send to
-# every task; without a cap, or above it, the join is left to the optimizer.
 
+def counted(features: DataFrame, key: str) -> DataFrame:
+    """``(key, term, tf)`` of the counted terms."""
+    return features.select(key, F.inline("terms"))
 
-def english_stop_words() -> tuple[str, ...]:
-    from pyspark.ml.feature import StopWordsRemover
-    return tuple(StopWordsRemover.loadDefaultStopWords("english"))
 
+def role_terms(roles: DataFrame, key: str, text: str, settings: Settings) -> DataFrame:
+    """``(key, term, tf)`` of role texts."""
+    return counted(with_terms(roles, text, stop_words(settings)), key)
 
-def _head(array: Column, start: int) -> Column:
-    """All but one element: from ``start``, one shorter than the array."""
-    return F.slice(array, start, F.greatest(F.size(array) - 1, F.lit(0)))
 
+def frequencies(counts: DataFrame) -> DataFrame:
+    """``(term, df, cf)`` of ``(term, tf)`` rows, one a document and term."""
+    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
-def term_counts(docs: DataFrame, key: str, text: str, stop_words: tuple[str, ...]) -> DataFrame:
-    """``(key, term, tf)`` for words and word pairs, counted inside each row.
 
-    Stop words leave before pairs are formed, so pairs bridge them. Counting
-    is a sort of the row's terms followed by run lengths.
+def most_frequent(terms: DataFrame, most: int) -> DataFrame:
+    """The ``most`` terms by corpus frequency of a written table; ties at the cut go by term.
+
+    The frequency at the cut is found from the count of terms of each frequency; only terms that
+    have just this one are put in order.
     """
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(fv.TOKEN), F.lit(0))
-    if stop_words:
-        words = F.filter(words, lambda w: ~w.isin(*stop_words))
-    u = F.col("_u")
-    pairs = F.zip_with(_head(u, 1), _head(u, 2), lambda a, b: F.concat(a, F.lit(" "), b))
-    s, n = F.col("_s"), F.size("_s")
-    changed = F.zip_with(
-        s, F.concat(F.array(F.lit(None).cast("string")), _head(s, 1)),
-        lambda now, last: ~now.eqNullSafe(last))
-    starts = F.filter(F.zip_with(F.sequence(F.lit(0), n - 1), changed,
-                                 lambda i, new: F.when(new, i)), lambda i: i.isNotNull())
-    b = F.col("_b")
-    lengths = F.zip_with(b, F.concat(_head(b, 2), F.array(n)), lambda i, j: j - i)
-    return (docs.select(key, words.alias("_u"))
-            .select(key, F.sort_array(F.concat(u, pairs)).alias("_s"))
-            .select(key, "_s", starts.alias("_b"))
-            .select(key, F.inline(F.arrays_zip(
-                F.array_distinct(s).alias("term"), lengths.alias("tf"))))
-            # a text without terms yields one null entry; a filter on the array
-            # instead would be pushed down and build the array again
-            .where(F.col("term").isNotNull()))
-
-
-def vocabulary(counts: DataFrame, n_docs: Column, min_df: int,
-               max_features: int | None) -> DataFrame:
-    """``(term, idf)`` of the kept terms; ties at the cut go by term."""
-    terms = (counts.groupBy("term")
-             .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-             .where(F.col("df") >= min_df))
-    if max_features is not None:
-        # find the frequency at the cut; only terms that have just this one are put in order
-        terms = materialise(terms)
-        above = F.sum("n").over(Window.orderBy(F.desc("cf"))) - F.col("n")
-        cut = (terms.groupBy("cf").agg(F.count(F.lit(1)).alias("n"))
-               .select("cf", above.alias("above")).where(F.col("above") < max_features)
-               .agg(F.min_by(F.struct("cf", "above"), "cf").alias("cut")).first()["cut"])
-        if cut is not None:
-            ties = terms.where(F.col("cf") == cut["cf"]).orderBy("term").limit(
-                max_features - cut["above"])
-            terms = terms.where(F.col("cf") > cut["cf"]).unionByName(ties)
-    idf = F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
-    return terms.select("term", idf.alias("idf"))
-
-
-def _weight(tf: Column, idf: Column) -> Column:
-    return (1.0 + F.log(tf.cast("double"))) * idf
-
-
-def similarities(docs: DataFrame, key: str, text: str, role_text: str,
-                 settings: Settings) -> DataFrame:
+    above = F.sum("n").over(Window.orderBy(F.desc("cf"))) - F.col("n")
+    cut = (terms.groupBy("cf").agg(F.count(F.lit(1)).alias("n"))
+           .select("cf", above.alias("above")).where(F.col("above") < most)
+           .agg(F.min_by(F.struct("cf", "above"), "cf").alias("cut")).first()["cut"])
+    if cut is None:
+        return terms
+    ties = terms.where(F.col("cf") == cut["cf"]).orderBy("term").limit(most - cut["above"])
+    return terms.where(F.col("cf") > cut["cf"]).unionByName(ties)
+
+
+def idf(n_docs: Column, df: Column) -> Column:
+    return F.log((1.0 + n_docs) / (1.0 + df)) + 1.0
+
+
+def weight(tf: Column, idf_of: Column) -> Column:
+    return (1.0 + F.log(tf.cast("double"))) * idf_of
+
+
+def similarities(features: DataFrame, key: str, role_text: str, settings: Settings,
+                 pool: DataFrame | None = None, scratch: Scratch | None = None) -> DataFrame:
     """``(key, tfidf)`` for every document; no shared term gives 0.
 
-    ``key`` must be unique. The role text is one document of the fitted corpus.
+    ``features`` is a written table of ``key`` (unique) and ``terms``. ``pool`` may name more
+    documents than have terms. The role text is one document of the fitted corpus.
     """
-    spark = docs.sparkSession
-    stop = settings.stop_words if settings.stop_words is not None else english_stop_words()
-    role = spark.range(1).select(F.lit(role_text).alias("_text"))
-    role_counts = term_counts(role.withColumn("_role", F.lit(0)), "_role", "_text", stop)
-    counts = term_counts(docs, key, text, stop)
-
+    spark = features.sparkSession
+    keep = materialise if scratch is None else scratch.keep
+    docs = (features if pool is None else pool).select(key)
+    role = role_terms(spark.range(1).select(F.lit(role_text).alias("_text"),
+                                            F.lit(0).alias("_role")), "_role", "_text", settings)
+    counts = counted(features, key)
     n_docs = docs.agg((F.count(F.lit(1)) + 1).alias("n")).scalar()
-    kept = materialise(vocabulary(
-        counts.select("term", "tf").unionByName(role_counts.select("term", "tf")),
-        n_docs, settings.min_df, settings.max_features))
+    terms = keep(frequencies(counts.select("term", "tf").unionByName(role.select("term", "tf")))
+                 .where(F.col("df") >= settings.min_df))
+    kept = terms if settings.max_features is None else most_frequent(terms, settings.max_features)
+    kept = kept.select("term", idf(n_docs, F.col("df")).alias("idf"))
 
-    asked = role_counts.join(kept, "term").select(
-        "term", _weight(F.col("tf"), F.col("idf")).alias("_w"))
+    asked = role.join(kept, "term").select("term", weight(F.col("tf"), F.col("idf")).alias("_w"))
     length = asked.agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_l")).scalar()
-    terms = kept.join(asked, "term", "left").select(
+    # the terms of one text, which the driver holds
+    wanted = kept.join(F.broadcast(asked), "term", "left").select(
         "term", "idf", F.coalesce(F.col("_w") / length, F.lit(0.0)).alias("_q"))
-
-    weight = _weight(F.col("tf"), F.col("idf"))
-    sums = (counts.join(terms, "term")
-            .select(key, weight.alias("_w"), "_q")
+    sums = (counts.join(wanted, "term")
+            .select(key, weight(F.col("tf"), F.col("idf")).alias("_w"), "_q")
             .groupBy(key)
             .agg(F.sum(F.col("_w") * F.col("_q")).alias("_dot"),
                  F.sum(F.col("_w") * F.col("_w")).alias("_sq")))
     hit = sums.where("_dot > 0").select(key, (F.col("_dot") / F.sqrt("_sq")).alias("tfidf"))
-    return docs.select(key).join(hit, key, "left").select(
-        key, F.coalesce("tfidf", F.lit(0.0)).alias("tfidf"))
+    return docs.join(hit, key, "left").select(key, F.coalesce("tfidf", F.lit(0.0)).alias("tfidf"))
+
+
+def scale_percent(n: Column, settings: Settings) -> Column:
+    """Percentile that counts as 1: the maximum for few rows."""
+    return F.when(n >= settings.scale_min_rows, settings.scale_percentile).otherwise(100.0)
+
+
+def scaled_by(value: Column, top: Column) -> Column:
+    """Divided by ``top``, clipped to 0..1; 0 where the top is nothing."""
+    return F.when(top <= 1e-9, 0.0).otherwise(
+        F.least(F.lit(1.0), F.greatest(F.lit(0.0), value / top)))
 
 
-def percentile_scaled(sims: DataFrame, column: str, out: str) -> DataFrame:
+def percentile_scaled(sims: DataFrame, column: str, out: str, settings: Settings,
+                      scratch: Scratch | None = None) -> DataFrame:
     """Divide by the 99th percentile (the maximum below 50 rows), clip to 0..1."""
-    percent = F.when(F.col("n") >= fv.SCALE_MIN_ROWS, fv.SCALE_PERCENTILE).otherwise(100.0)
-    top = exact_percentile(sims, column, percent).select("value").scalar()
-    scaled = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(column) / top))
-    return sims.withColumn(out, F.when(top <= 1e-9, 0.0).otherwise(scaled))
+    top = exact_percentile(sims, column, scale_percent(F.col("n"), settings), scratch).select(
+        "value").scalar()
+    return sims.withColumn(out, scaled_by(F.col(column), top))

@@ -26,7 +26,6 @@ class Lexicon:
     domains: tuple[Domain, ...]
     technical: frozenset[str] = frozenset(fv.TECH_DOMAINS)
 
-
     @property
     def names(self) -> list[str]:
         return [d.name for d in self.domains]
@@ -74,8 +73,13 @@ class Settings:
     reference_date: str = fv.REFERENCE_DATE
     home_country: str = fv.HOME_COUNTRY
     stop_words: tuple[str, ...] | None = None   # None: Spark's English list
+    title_length: int = fv.TITLE_LENGTH
+    keyword_cap: int = fv.KEYWORD_CAP
+    exclusion_window: int = fv.EXCLUSION_WINDOW
     min_df: int = fv.MIN_DF
-    max_features: int | None = fv.MAX_FEATURES
+    max_features: int | None = None             # None: every term; fv.MAX_FEATURES for a cap
+    scale_percentile: float = fv.SCALE_PERCENTILE
+    scale_min_rows: int = fv.SCALE_MIN_ROWS
 
     def normalised_weights(self) -> dict[str, float]:
         """Weights divided by their sum, as a re-weighting run uses them."""

@@ -6,6 +6,8 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from rosterlens.sources.lines import first_lines
+
 _ROLE = ("title STRING, description STRING, industry STRING, company STRING, "
          "is_current BOOLEAN, duration_months DOUBLE, start_date STRING, end_date STRING")
 _SIGNALS = ("willing_to_relocate BOOLEAN, open_to_work_flag BOOLEAN, verified_email BOOLEAN, "
@@ -105,9 +107,12 @@ def rejected_lines(spark: SparkSession, path: str, signals_field: str = "signals
     return _parsed(spark, path, signals_field, None).where(_rejected()).select("value")
 
 
+def _lines(spark: SparkSession, path: str, limit: int | None) -> DataFrame:
+    return spark.read.text(path) if limit is None else first_lines(spark, path, limit)
+
+
 def _parsed(spark: SparkSession, path: str, signals_field: str, limit: int | None) -> DataFrame:
-    lines = spark.read.text(path)
-    lines = lines if limit is None else lines.limit(limit)
+    lines = _lines(spark, path, limit)
     schema = _text_schema(signals_field).add(CORRUPT, "string")
     record = F.from_json("value", schema, {
         "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, **_JSON})
@@ -128,8 +133,7 @@ def _rejected():
 def read_jsonl_strict(spark: SparkSession, path: str, signals_field: str = "signals",
                       limit: int | None = None) -> DataFrame:
     """JSON lines; a malformed line fails the job, blank lines are skipped."""
-    lines = spark.read.text(path)
-    lines = (lines if limit is None else lines.limit(limit)).where(F.trim("value") != "")
+    lines = _lines(spark, path, limit).where(F.trim("value") != "")
     whole = F.when(_one_value(F.col("value")), F.col("value")).otherwise(
         F.raise_error(F.concat(F.lit("malformed line: "), F.substring("value", 1, 80))))
     record = F.from_json(whole, _text_schema(signals_field), {"mode": "FAILFAST", **_JSON})

@@ -105,6 +105,9 @@ class Scratch:
             _, path = self._kept.pop(id(table))
             delete_folder(self.spark, path)
 
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        self.drop(*(t for t, _ in list(self._kept.values()) if not any(t is x for x in tables)))
+
     def close(self) -> None:
         self._kept.clear()
         delete_folder(self.spark, self.folder)

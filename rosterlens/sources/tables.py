@@ -1,11 +1,9 @@
-"""Role texts, vectors, and the result sinks."""
+"""Role texts and the result sinks."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rosterlens.sources.candidates import _exists
-
 
 def read_jobs(spark: SparkSession, path: str) -> DataFrame:
     """``(jd_id, text)``: one role description per file, whole file as text."""
@@ -13,19 +11,6 @@ def read_jobs(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_name").alias("jd_id"), F.col("value").alias("text"))
 
 
-def write_vectors(vectors: DataFrame, path: str) -> None:
-    """``(id, vector array<float>)`` as Parquet; ids keep their full length."""
-    vectors.select(F.col("id").cast("string").alias("id"),
-                   F.col("vector").cast("array<float>").alias("vector")).write.parquet(path)
-
-
-def read_vectors(spark: SparkSession, path: str | None) -> DataFrame | None:
-    """Stored vectors, or ``None`` where there are none: they are optional."""
-    if not path or not _exists(spark, path):
-        return None
-    return spark.read.parquet(path)
-
-
 def ranked_output(ranked: DataFrame) -> DataFrame:
     """The four output columns, the score with four decimals."""
     return ranked.select("candidate_id", "rank",

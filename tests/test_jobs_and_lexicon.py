@@ -1,9 +1,11 @@
+import itertools
 import re
 
 from conftest import ROLE_TEXT
 from helpers import c, evaluate, same
+from pyspark.sql import functions as F
 
-from rosterlens import Settings
+from rosterlens import Domain, Lexicon, Settings
 from rosterlens.functions import lexicon as lx
 from rosterlens.operators import jobs
 
@@ -13,7 +15,7 @@ S = Settings()
 def test_title(spark):
     rows = [("\n  \n Job  Description :  Data Lead \nmore",), ("Plain first line\nRole: no",),
             ("We hire. Position - Cook",), ("  \n ",), ("x" * 200,)]
-    assert evaluate(spark, "t STRING", rows, jobs.title(c("t"))) == [
+    assert evaluate(spark, "t STRING", rows, jobs.title(c("t"), Settings())) == [
         "Data Lead", "Plain first line", "Cook", "", "x" * 120]
 
 
@@ -90,7 +92,7 @@ def test_shared_prefix_pattern_equals_sorted_alternation():
 def test_domain_vector(spark, lexicon):
     rows = [("ai engineer", [0, 1, 0, 0], "stakeholder api database"), ("", [0, 0, 0, 0], "")]
     got = evaluate(spark, "t STRING, p ARRAY<INT>, x STRING", rows,
-                   lx.domain_vector(c("t"), c("p"), c("x"), lexicon))
+                   lx.domain_vector(c("t"), c("p"), lx.text_hits(c("x"), lexicon), lexicon))
     norm = (16 + 1.8 ** 2 + 0.4 ** 2 + 0.4 ** 2) ** 0.5
     assert same(got[0], [4 / norm, 1.8 / norm, 0.4 / norm, 0.4 / norm])
     assert got[1] == [0.0] * 4
@@ -117,3 +119,32 @@ def test_lexicon_from_table(spark, lexicon):
     table = spark.createDataFrame(
         rows, "domain_idx INT, domain STRING, label STRING, kind STRING, phrase_idx INT, phrase STRING")
     assert type(lexicon).from_frame(table.orderBy("phrase")) == lexicon
+
+
+def test_shortest_branches_tell_whether_a_phrase_is_contained():
+    phrases = {"ai", "ai engineer", "data", "database", "c++", "dev"}
+    folded = re.compile(lx._branches(phrases, shortest=True))
+    for text in ("retail", "database admin", "c++", "c+", "", "engineer", "ai engineer", "devops"):
+        assert bool(folded.search(text)) == any(p in text for p in phrases)
+
+
+def big_lexicon(phrases):
+    """A lexicon of two domains whose phrases are made by rule."""
+    names = [f"{a}{b} {c}{i}x" for i, (a, b, c) in enumerate(itertools.islice(
+        itertools.cycle(itertools.product("bcdfgh", "aeiou", "klmnp")), phrases))]
+    half = len(names) // 2
+    return Lexicon((Domain("one", "One", tuple(names[:half]), tuple(names[:half])),
+                    Domain("two", "Two", tuple(names[half:]), tuple(names[half:]))),
+                   frozenset({"one"}))
+
+
+def test_a_hundred_thousand_phrases(spark):
+    lexicon = big_lexicon(50_000)   # each a title phrase and a term
+    first, last = lexicon.domains[0].terms[7], lexicon.domains[1].terms[-1]
+    rows = [(f"senior {first} person", f"knows {first} and {last}, {last}"), ("none", "none")]
+    got = evaluate(spark, "t STRING, x STRING", rows, F.struct(
+        lx.title_hits(c("t"), lexicon).alias("t"), lx.text_hits(c("x"), lexicon).alias("x")))
+    assert [tuple(r) for r in got] == [([1, 0], [1, 1]), ([0, 0], [0, 0])]
+    other = lexicon.domains[1].terms[-2]
+    spec = jobs.parse_job(spark, f"Role: {first}\nuses {last}, {other}", lexicon, Settings())
+    assert spec.keywords == (first, other, last) and spec.target_domains == ("one", "two")

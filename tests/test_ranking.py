@@ -1,3 +1,6 @@
+import os
+import re
+
 import pytest
 from conftest import ROLE_TEXT, person, write_lines
 from pyspark.sql import functions as F
@@ -7,7 +10,10 @@ from rosterlens.operators import audit as views, facts as fx, insights
 from rosterlens.operators.jobs import parse_job
 from rosterlens.operators.ranking import normalised, top_per_group, top_ranked
 from rosterlens.operators.scoring import local_parts, with_reasons
+from rosterlens.operators.text_features import with_text_features
 from rosterlens.sources.candidates import read_jsonl
+from rosterlens.sources.scratch import Scratch
+from rosterlens.sources.vectors import write_vectors
 
 S = Settings(stop_words=("the", "of"))
 
@@ -121,9 +127,10 @@ def test_child_tables_give_the_facts_of_nested_records(spark, people, lexicon):
         .withColumns({"start_year": F.substring("start_date", 1, 4).try_cast("int"),
                       "end_year": F.substring("end_date", 1, 4).try_cast("int")})
     owners = people.select("candidate_id", F.col("profile.years_of_experience").alias("yoe"))
-    role_facts = fx.unpacked(
-        fx.role_marks(roles, lexicon, S).join(owners, "candidate_id").groupBy("candidate_id")
-        .agg(*fx.role_aggregates(lexicon), *fx.offender_aggregates()), lexicon)
+    role_facts = fx.role_facts(
+        roles.withColumnRenamed("candidate_id", "row_id"),
+        owners.withColumnRenamed("candidate_id", "row_id"), lexicon, S).withColumnRenamed(
+        "row_id", "candidate_id")
     skills = people.select("candidate_id", F.explode("skills").alias("k")).select("candidate_id", "k.*") \
         .groupBy("candidate_id").agg(*fx.skill_aggregates(spec))
     scores = people.select("candidate_id", F.explode("signals.skill_assessment_scores")
@@ -164,11 +171,82 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_hot_owner_is_merged_before_it_meets_its_roles(spark, lexicon):
+    """One owner has a third of all roles; of these leave as many rows as there are durations."""
+    roles = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("row_id"),
+        F.col("id").alias("role_no"), F.concat(F.lit("developer "), "id").alias("title"),
+        F.lit("Acme").alias("company"), F.lit("Software").alias("industry"),
+        (F.col("id") % 2 == 0).alias("is_current"),
+        (F.col("id") % 50).cast("double").alias("duration_months"),
+        F.lit(2010).alias("start_year"), F.lit(2011).alias("end_year"))
+    owners = roles.select("row_id").distinct().withColumn("yoe", F.lit(2.5))
+    merged = fx._per_duration(roles, lexicon, S, (), ())
+    assert merged.where("row_id = 0").count() == 50
+    plan = plan_of(fx.role_facts(roles, owners, lexicon, S))
+    assert "partial_count" in plan and "hashpartitioning(row_id" in plan
+    got = fx.role_facts(roles, owners, lexicon, S).where("row_id = 0").first()
+    assert (got["n_roles"], got["n_product"], got["n_completed"]) == (10_000, 10_000, 5_000)
+    assert got["total_months"] == sum(i % 50 for i in range(0, 30_000, 3))
+    assert got["past_hits"] == [0, 5_000, 0, 0]
+    # longer than 2.5 years and a year: 43 months and more, first in the order of the roles
+    assert got["overlong"].title == "developer 45" and got["misdated"].title == "developer 45"
+
+
+def exchanged(df):
+    """Output columns of every exchange of a plan."""
+    text = df._jdf.queryExecution().explainString(
+        df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", text)
+
+
+def test_no_exchange_carries_a_text(spark, people, lexicon):
+    """The run writes tables; the plans that write them are caught and looked at."""
+    plans, write = [], Scratch.keep
+    try:
+        Scratch.keep = lambda self, df, *by: (plans.append(df), write(self, df, *by))[1]
+        with rank_pool(people, ROLE_TEXT, lexicon, S) as run:
+            ranks = run.ranks()
+            plans += [ranks, run.top(3)]
+            sent = [column for df in plans for columns in exchanged(df)
+                    for column in columns.split(", ")]
+            widest = max(columns.count(",") + 1 for columns in exchanged(plans[-3]))
+    finally:
+        Scratch.keep = write
+    assert len(plans) >= 7 and sent
+    assert not [x for x in sent if re.match("(prose|terms|_u|_s|_b|value)#", x)]
+    assert widest <= 4   # what is sorted to rank everything
+
+
+def test_a_closed_run_leaves_nothing(people, lexicon):
+    with rank_pool(people, ROLE_TEXT, lexicon, S) as run:
+        folder = run.scratch.folder.removeprefix("file:")
+        assert run.top(3).count() == 3 and len(os.listdir(folder)) == 1
+        assert run.reweighted({**S.weights, "role_fit": 1.0}).top(2).count() == 2
+    assert not os.path.exists(folder)
+
+
+def test_vectors_are_taken_from_their_artifact(spark, people, lexicon, run, tmp_path):
+    rows = [("CAND_0000001", [1.0, 1.0]), ("CAND_0000002", [0.0, 3.0])]
+    write_vectors(spark.createDataFrame(rows, "id string, vector array<double>"), [0.0, 2.0],
+                  str(tmp_path / "v"))
+    with rank_pool(people, ROLE_TEXT, lexicon, S, vectors=str(tmp_path / "v")) as near:
+        got = {r["candidate_id"][-1]: (r["semantic"], r["tfidf"]) for r in near.parts.collect()}
+    assert got["2"][0] == pytest.approx(0.5 * got["2"][1] + 0.5)
+    assert got["1"][0] == pytest.approx(0.5 * got["1"][1] + 0.5 / 2 ** 0.5)
+    assert got["3"][0] == got["3"][1]
+    with rank_pool(people, ROLE_TEXT, lexicon, S, vectors=str(tmp_path / "none")) as plain:
+        pick = ("candidate_id", "rank", "score")
+        assert plain.top(8).select(*pick).collect() == run.top(8).select(*pick).collect()
+
+
 def test_plans(run, spark, people, lexicon):
     assert "TakeOrderedAndProject" in plan_of(run.top(5))
     assert "WindowGroupLimit" in plan_of(top_per_group(run.scores, "country", 2))
     spec = parse_job(spark, ROLE_TEXT, lexicon, S)
-    local = plan_of(local_parts(fx.nested_facts(people, spec, lexicon, S), spec, lexicon, S))
+    facts = with_text_features(fx.nested_facts(people, spec, lexicon, S), "prose", lexicon,
+                               spec.keywords, S)
+    local = plan_of(local_parts(facts, spec, lexicon, S))
     assert "hashpartitioning" not in local and "Python" not in local
     for df in (run.top(5), run.everyone(), run.audit(3)):
         text = plan_of(df)

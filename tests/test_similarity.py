@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rosterlens import Settings
 from rosterlens.operators.dense import dense_cosine, one_per_key
 from rosterlens.operators.ordering import exact_percentile, number_rows
+from rosterlens.operators.text_features import stop_words, with_terms, with_text_features
 from rosterlens.operators.tfidf import percentile_scaled, similarities
 
 STOP = ("the", "of")
@@ -40,14 +41,15 @@ def brute_force(texts, query, min_df=2, cap=None):
 @pytest.mark.parametrize("cap", [None, 40000, 4])
 def test_tfidf_equals_brute_force(spark, cap):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "k INT, t STRING").repartition(3)
-    got = similarities(df, "k", "t", QUERY, Settings(stop_words=STOP, max_features=cap))
+    settings = Settings(stop_words=STOP, max_features=cap)
+    got = similarities(with_terms(df, "t", STOP), "k", QUERY, settings)
     values = [r["tfidf"] for r in got.orderBy("k").collect()]
     assert np.allclose(values, brute_force(TEXTS, QUERY, cap=cap), atol=1e-12)
 
 
 def test_default_stop_words(spark):
     df = spark.createDataFrame([(1, "the the and"), (2, "the pear")], "k INT, t STRING")
-    got = similarities(df, "k", "t", "the and", Settings())
+    got = similarities(with_terms(df, "t", stop_words(Settings())), "k", "the and", Settings())
     assert [r["tfidf"] for r in got.collect()] == [0.0, 0.0]
 
 
@@ -64,9 +66,9 @@ def test_exact_percentile(spark, n, p):
 
 def test_percentile_scaling_small_and_zero(spark):
     few = spark.createDataFrame([(1, 0.2), (2, 0.4)], "k INT, x DOUBLE")
-    assert [r["y"] for r in percentile_scaled(few, "x", "y").orderBy("k").collect()] == [0.5, 1.0]
+    assert [r["y"] for r in percentile_scaled(few, "x", "y", Settings()).orderBy("k").collect()] == [0.5, 1.0]
     none = spark.createDataFrame([(1, 0.0), (2, 0.0)], "k INT, x DOUBLE")
-    assert [r["y"] for r in percentile_scaled(none, "x", "y").collect()] == [0.0, 0.0]
+    assert [r["y"] for r in percentile_scaled(none, "x", "y", Settings()).collect()] == [0.0, 0.0]
 
 
 def test_number_rows_with_a_hot_value(spark):
@@ -85,3 +87,17 @@ def test_dense_cosine(spark):
     assert got == {("a", 1.0), ("b", 0.707107), ("c", 0.0), ("a", 0.707107)}
     once = one_per_key(dense_cosine(df, "id", "v", [2.0, 0.0]), "id").collect()
     assert sorted(r["id"] for r in once) == ["a", "b", "c"]
+
+
+def test_text_features_replace_the_text(spark, lexicon):
+    rows = [(1, "machine learning and a rest api; api"), (2, None), (3, "")]
+    df = spark.createDataFrame(rows, "k INT, t STRING")
+    got = {r["k"]: r for r in with_text_features(
+        df, "t", lexicon, ("api", "learning", "none"), Settings(stop_words=("and",))).collect()}
+    assert "t" not in got[1].asDict()
+    assert got[1]["term_hits"] == [1, 2, 0, 0] and got[1]["found"] == ["api", "learning"]
+    assert {(x["term"], x["tf"]) for x in got[1]["terms"]} == {
+        ("machine", 1), ("learning", 1), ("rest", 1), ("api", 2), ("machine learning", 1),
+        ("learning rest", 1), ("rest api", 1), ("api api", 1)}
+    for k in (2, 3):
+        assert got[k]["term_hits"] == [0] * 4 and got[k]["found"] == [] and got[k]["terms"] == []

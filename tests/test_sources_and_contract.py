@@ -1,4 +1,6 @@
+import csv
 import json
+import os
 
 import pytest
 from conftest import person, write_lines
@@ -6,8 +8,9 @@ from pyspark.sql import functions as F
 
 from rosterlens import fixed_values as fv
 from rosterlens.operators import contract
-from rosterlens.sources import candidates as src, tables
-from rosterlens.sources.scratch import materialise, scratch_root
+from rosterlens.sources import candidates as src, tables, vectors
+from rosterlens.sources.lines import first_lines, split_lines, with_number
+from rosterlens.sources.scratch import Scratch, materialise, scratch_root
 
 
 def ids(df):
@@ -56,11 +59,49 @@ def test_role_files_and_vectors(spark, tmp_path):
     (tmp_path / "jd").mkdir()
     (tmp_path / "jd" / "one.txt").write_text("Role: A\n\nbody")
     assert tables.read_jobs(spark, str(tmp_path / "jd")).first()["text"] == "Role: A\n\nbody"
-    assert tables.read_vectors(spark, str(tmp_path / "none")) is None
+    assert vectors.read_vectors(spark, str(tmp_path / "none")) is None
     long_id = "CAND_" + "9" * 30
-    tables.write_vectors(spark.createDataFrame([(long_id, [1.0, 2.0])], "id STRING, vector ARRAY<DOUBLE>"),
-                         str(tmp_path / "v"))
-    assert tables.read_vectors(spark, str(tmp_path / "v")).first()["id"] == long_id
+    rows = [(long_id, [0.0, 2.0]), (long_id, [2.0, 0.0]), ("b", [3.0, 4.0])]
+    vectors.write_vectors(spark.createDataFrame(rows, "id STRING, vector ARRAY<DOUBLE>"),
+                          [0.0, 1.0], str(tmp_path / "v"))
+    artifact = vectors.read_vectors(spark, str(tmp_path / "v"))
+    assert artifact.query == (0.0, 1.0)
+    near = {r["candidate_id"]: r["dense"] for r in artifact.similarities().collect()}
+    assert near[long_id] == pytest.approx(1.0) and near["b"] == pytest.approx(0.8)
+    artifact.vectors.write.parquet(str(tmp_path / "half" / "vectors"))
+    with pytest.raises(ValueError, match="no query vector"):
+        vectors.read_vectors(spark, str(tmp_path / "half"))
+
+
+def test_scan_limit_counts_lines_in_order(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for n, name in enumerate(("a.txt", "b c.txt", "d.txt")):
+        (tmp_path / "in" / name).write_text(
+            "".join(f"{n}-{i}\n" if i % 3 else "\n" for i in range(50)))
+    every = [f"{n}-{i}" if i % 3 else "" for n in range(3) for i in range(50)]
+    for limit in (0, 1, 49, 50, 51, 149, 150, 500):
+        got = first_lines(spark, str(tmp_path / "in"), limit)
+        assert sorted(r["value"] for r in got.collect()) == sorted(every[:limit])
+
+
+def test_lines_are_numbered_without_a_sort(spark, tmp_path):
+    wide = tmp_path / "wide"
+    spark.range(20000).select(F.concat(F.lit("line "), "id").alias("value")).repartitionByRange(
+        7, "value").sortWithinPartitions("value").write.text(str(wide))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")   # many splits a file
+        numbered = with_number(split_lines(spark, str(wide)).where("value not like '%7'"), "n")
+        rows = [r["value"] for r in numbered.orderBy("n").select("value").collect()]
+        numbers = [r["n"] for r in numbered.select("n").collect()]
+        assert split_lines(spark, str(wide)).select("_file", "_begin").distinct().count() > 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    lines = [x for f in sorted(wide.glob("part*")) for x in f.read_text().splitlines()]
+    assert rows == [x for x in lines if not x.endswith("7")]
+    assert sorted(numbers) == list(range(1, len(rows) + 1))
+    text = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in text and "Sort" not in text
 
 
 def test_scratch_follows_the_session(spark):
@@ -126,6 +167,13 @@ def test_header_rule(spark):
     assert [(r["rule"], r["row"]) for r in found] == [("header", 1)]
 
 
+def test_csv_cells_with_odd_quotes(spark):
+    given = ['"abc,def', '"a"b,c', 'a"b,c', '"a""b', '"",x', '"a" ,"b"x"y', '"']
+    lines = spark.createDataFrame(list(enumerate(given)), "i int, line string")
+    got = [r[0] for r in lines.orderBy("i").select(contract.csv_cells(F.col("line"))).collect()]
+    assert got == [next(csv.reader([x])) for x in given]
+
+
 def test_csv_cells_keep_an_empty_first_cell_and_long_quoted_ones(spark):
     long_cell = '"' + "a,\"\"b" * 20_000 + '"'
     lines = spark.createDataFrame([(0, ",1,0.5,x"), (1, f"{long_cell},2,,"), (2, "")],
@@ -159,3 +207,25 @@ def test_lines_that_only_look_like_json_are_rejected(spark, tmp_path):
         path = write_lines(tmp_path / f"bad{i}.jsonl", [line])
         with pytest.raises(Exception):
             src.read_jsonl_strict(spark, path).collect()
+
+
+def files_in(folder):
+    path = str(folder).removeprefix("file:")
+    return sum(len(names) for _, _, names in os.walk(path))
+
+
+def test_scratch_goes_with_its_run(spark):
+    with Scratch(spark) as scratch:
+        first = scratch.keep(spark.range(1000))
+        second = scratch.keep(first.groupBy((F.col("id") % 7).alias("k")).count())
+        both = files_in(scratch.folder)
+        scratch.drop(first)
+        assert 0 < files_in(scratch.folder) < both
+        assert second.agg(F.sum("count")).first()[0] == 1000
+        left = materialise(second)
+    assert files_in(scratch.folder) == 0 and left.count() == 7
+    with pytest.raises(ZeroDivisionError):
+        with Scratch(spark) as scratch:
+            scratch.keep(spark.range(10))
+            1 / 0
+    assert files_in(scratch.folder) == 0
