@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from checks.parameters import LEXICON, ROLE_HEAD, SETTINGS
+from rosterlens.functions.scores import bare_name
 from rosterlens.operators import facts as fx
 from rosterlens.operators.dense import dense_cosine
 from rosterlens.operators.text_features import with_text_features
+from rosterlens.plans.rank_many import NO_ROLE
 from rosterlens.settings import JobSpec
 from rosterlens.sources.scratch import materialise
 
@@ -96,11 +98,15 @@ def role_facts(spark: SparkSession, sf: str, spec: JobSpec) -> DataFrame:
     return found.withColumn("last_active", F.date_format("ordered", "yyyy-MM-dd")).drop("ordered")
 
 
+def assessments(spark: SparkSession, sf: str) -> DataFrame:
+    """Score of each user by name of the assessment."""
+    return (table(spark, sf, "events").where(F.col("event_type") != "error")
+            .groupBy("user_id", F.col("event_type").alias("name"))
+            .agg(F.least(F.lit(100.0), F.avg("value")).alias("score")))
+
+
 def assessment_facts(spark: SparkSession, sf: str, spec: JobSpec) -> DataFrame:
-    scores = (table(spark, sf, "events").where(F.col("event_type") != "error")
-              .groupBy("user_id", F.col("event_type").alias("name"))
-              .agg(F.least(F.lit(100.0), F.avg("value")).alias("score")))
-    return scores.groupBy("user_id").agg(*fx.assessment_aggregates(spec))
+    return assessments(spark, sf).groupBy("user_id").agg(*fx.assessment_aggregates(spec))
 
 
 def text_features(spark: SparkSession, sf: str, keywords) -> DataFrame:
@@ -116,6 +122,27 @@ def pool(spark: SparkSession, sf: str, spec: JobSpec, features: DataFrame) -> Da
         "row_id", LEXICON).drop("user_id")
 
 
+def pool_for_roles(spark: SparkSession, sf: str, keywords: tuple[str, ...],
+                   features: DataFrame) -> DataFrame:
+    """Facts of every customer for many roles: skills and assessments by name, where a role asks.
+
+    A customer has at most one entry for each keyword, whatever its number of lines.
+    """
+    named = (table(spark, sf, "lineitem")
+             .join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+             .join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+             .groupBy(F.col("o_custkey").alias("row_id"), bare_name(F.col("p_name")).alias("name"))
+             .agg(F.count(F.lit(1)).alias("n")).where(F.col("name").isin(*keywords)))
+    skills = named.groupBy("row_id").agg(F.collect_list(F.struct("name", "n")).alias("skill_counts"))
+    every = assessment_facts(spark, sf, NO_ROLE).drop("rel_n", "rel_sum")
+    scores = assessments(spark, sf).where(F.col("name").isin(*keywords)).groupBy("user_id").agg(
+        F.collect_list(F.struct("name", "score")).alias("assessed"))
+    own = people(spark, sf).join(every, "user_id", "left").join(scores, "user_id", "left")
+    return fx.table_facts(own, [
+        role_facts(spark, sf, NO_ROLE).drop("skill_hits"), skills,
+        features.select("row_id", "term_hits", "found")], "row_id", LEXICON).drop("user_id")
+
+
 def role_text(spark: SparkSession, sf: str) -> str:
     """The one role text of the run."""
     item = table(spark, sf, "benchmark").where("item_id = 0").select("text").first()

@@ -20,6 +20,7 @@ from rosterlens.operators.ranking import top_per_group
 from rosterlens.operators.scoring import local_parts
 from rosterlens.operators.text_features import with_terms
 from rosterlens.operators.tfidf import percentile_scaled, similarities
+from rosterlens.plans import rank_many
 from rosterlens.plans.rank_pool import Ranking, rank_facts
 from rosterlens.settings import JobSpec
 from rosterlens.sources import candidates as src, tables as sinks
@@ -421,6 +422,21 @@ def rank_all(spark: SparkSession, sf: str) -> DataFrame:
     return ranking(spark, sf).ranks().select("candidate_id", "rank", "score")
 
 
+def topk_per_jd(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best customers for each role text, one for each part, in one plan.
+
+    No SQL: it is tested against runs for single roles.
+    """
+    settings = replace(SETTINGS, max_features=None)
+    roles = materialise(jb.job_specs(b.jobs(spark, sf), LEXICON, settings))
+    keywords = rank_many.asked_keywords(roles)
+    texts = b.text_features(spark, sf, keywords)
+    best = rank_many.best_per_role(
+        b.pool_for_roles(spark, sf, keywords, texts), roles, LEXICON, settings, 10, texts,
+        one_per_key(b.dense(spark, sf), "candidate_id"))
+    return best.select("jd_id", "rank", "candidate_id", "score")
+
+
 def topk_per_group(spark: SparkSession, sf: str) -> DataFrame:
     return top_per_group(ranking(spark, sf).scores, "country", 10).select(
         "country", "candidate_id", "rank", "score")
@@ -691,7 +707,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     experience_score, location_score, keyword_evidence, company_type, stuffing_penalty,
     negative_penalty, job_hopping, recency, availability, corroboration,
     integrity_rules, integrity_verdict, row_parts, weighted_base, final_score,
-    weight_override, topk_ranking, rank_all, topk_per_group, phrases, explanation, audit,
+    weight_override, topk_ranking, rank_all, topk_per_jd, topk_per_group, phrases, explanation, audit,
     flags, contributions, post_rank_filter, candidate_detail, kpis, title_mix, titles_of_best,
     score_histogram, scatter, country_mix, experience_bands, score_summary, leaders,
     validate_ok, validate_broken, validate_file, jsonl_tolerant, jsonl_limited,

@@ -1,7 +1,7 @@
 """Score components, gates and their combination.
 
-Every function takes columns of the facts frame (see ``operators.facts``) and
-the literals of one parsed role. Nothing here shuffles.
+Every function takes columns of the facts frame (see ``operators.facts``) and a
+role: the literals of a parsed one, or columns of the row. Nothing here shuffles.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, functions as F
 from rosterlens import fixed_values as fv
 from rosterlens.functions.basics import (
     clamp, contains_any, flag, let, lower_text, number, strings)
+from rosterlens.functions.roles import Role, columns_of
 from rosterlens.settings import JobSpec, Lexicon, Settings
 
 
@@ -20,28 +21,34 @@ def role_fit(cosine: Column) -> Column:
     return clamp(cosine, 0.0, 1.0)
 
 
-def experience(yoe: Column, spec: JobSpec) -> Column:
-    lo, hi = spec.exp_min, spec.exp_max
-    if lo <= 0 and hi >= 50:
-        return F.lit(0.7)
-    centre = spec.exp_ideal if spec.exp_ideal > 0 else (lo + hi) / 2.0
-    half = max(1.0, (hi - lo) / 2.0)
+def experience(yoe: Column, role: Role) -> Column:
+    r = columns_of(role)
+    lo, hi = r.exp_min, r.exp_max
+    centre = F.when(r.exp_ideal > 0, r.exp_ideal).otherwise((lo + hi) / 2.0)
+    half = F.greatest(F.lit(1.0), (hi - lo) / 2.0)
     years = number(yoe)
-    within = F.greatest(F.lit(0.82), 1.0 - F.lit(0.18) * F.abs(years - centre) / F.lit(half))
+    within = F.greatest(F.lit(0.82), 1.0 - F.lit(0.18) * F.abs(years - centre) / half)
     gap = F.when(years < lo, lo - years).otherwise(years - hi)
     outside = F.greatest(F.lit(0.08), 0.80 - F.lit(0.13) * gap)
-    return F.when(years.between(lo, hi), within).otherwise(outside)
+    return (F.when((lo <= 0) & (hi >= 50), 0.7)
+            .when(years.between(lo, hi), within).otherwise(outside))
 
 
-def location(place: Column, country: Column, relocate: Column, spec: JobSpec,
+def holds_any(text: Column, needles: Column) -> Column:
+    """Unbounded substring test against an array."""
+    return let(text, lambda t: F.exists(needles, lambda n: F.contains(t, n)))
+
+
+def location(place: Column, country: Column, relocate: Column, role: Role,
              settings: Settings) -> Column:
-    if not spec.has_location_pref:
-        return F.lit(0.7)
-    countries = spec.countries or (settings.home_country.lower(),)
-    at_home = (F.when(flag(relocate), 0.78).otherwise(0.68) if spec.cities
-               else F.lit(0.82))
-    return (F.when(contains_any(lower_text(place), spec.cities), 1.0)
-            .when(contains_any(lower_text(country), countries), at_home)
+    r = columns_of(role)
+    countries = F.when(F.size(r.countries) > 0, r.countries).otherwise(
+        strings([settings.home_country.lower()]))
+    at_home = F.when(F.size(r.cities) > 0, F.when(flag(relocate), 0.78).otherwise(0.68)
+                     ).otherwise(0.82)
+    return (F.when((F.size(r.cities) == 0) & (F.size(r.countries) == 0), 0.7)
+            .when(holds_any(lower_text(place), r.cities), 1.0)
+            .when(holds_any(lower_text(country), countries), at_home)
             .when(flag(relocate), 0.35)
             .otherwise(0.15))
 
@@ -56,11 +63,10 @@ def evidence_found(prose: Column, spec: JobSpec) -> Column:
     return phrases_found(prose, spec.keywords)
 
 
-def evidence(found: Column, spec: JobSpec) -> Column:
-    if not spec.keywords:
-        return F.lit(0.5)
-    enough = min(10.0, max(5.0, len(spec.keywords) * 0.4))
-    return F.least(F.lit(1.0), F.size(found) / F.lit(enough))
+def evidence(found: Column, role: Role) -> Column:
+    asked = F.size(columns_of(role).keywords)
+    enough = F.least(F.lit(10.0), F.greatest(F.lit(5.0), asked * F.lit(0.4)))
+    return F.when(asked == 0, 0.5).otherwise(F.least(F.lit(1.0), F.size(found) / enough))
 
 
 def employer_class(company: Column, industry: Column, settings: Settings) -> Column:
@@ -75,10 +81,8 @@ def employer_class(company: Column, industry: Column, settings: Settings) -> Col
 
 
 def company_type(n_roles: Column, consulting: Column, product: Column, nontech: Column,
-                 industry: Column, spec: JobSpec, lexicon: Lexicon,
+                 industry: Column, role: Role, lexicon: Lexicon,
                  settings: Settings) -> Column:
-    if not spec.is_technical(lexicon):
-        return F.lit(0.65)
     n = F.nullif(n_roles, F.lit(0))
     share = (0.45 + F.lit(0.55) * (product / n) - F.lit(0.30) * (consulting / n)
              - F.lit(0.45) * (nontech / n))
@@ -88,7 +92,8 @@ def company_type(n_roles: Column, consulting: Column, product: Column, nontech:
                     F.least(capped, F.lit(0.20))).otherwise(capped)
     no_roles = F.when(contains_any(lower_text(industry), settings.product_industries),
                       0.5).otherwise(0.3)
-    return F.when(n_roles == 0, no_roles).otherwise(clamp(capped, 0.0, 1.0))
+    typed = F.when(n_roles == 0, no_roles).otherwise(clamp(capped, 0.0, 1.0))
+    return F.when(columns_of(role).is_technical(lexicon), typed).otherwise(0.65)
 
 
 def stuffing(skill_hits: Column, fit: Column) -> Column:
@@ -97,11 +102,9 @@ def stuffing(skill_hits: Column, fit: Column) -> Column:
                   1.0 - F.lit(fv.STUFFING_MAX) * severity).otherwise(F.lit(1.0))
 
 
-def excluded_specialty(title: Column, evidence_score: Column, spec: JobSpec) -> Column:
-    if not spec.excluded:
-        return F.lit(1.0)
+def excluded_specialty(title: Column, evidence_score: Column, role: Role) -> Column:
     softened = F.when(evidence_score >= 0.9, 0.80).otherwise(0.60)
-    return F.when(contains_any(lower_text(title), spec.excluded), softened).otherwise(1.0)
+    return F.when(holds_any(lower_text(title), columns_of(role).excluded), softened).otherwise(1.0)
 
 
 def job_hopping(n_completed: Column, completed_months: Column) -> Column:
@@ -154,12 +157,11 @@ def assessment_mean(rel_n: Column, rel_sum: Column, all_n: Column, all_sum: Colu
         all_sum / F.nullif(all_n, F.lit(0)))
 
 
-def corroboration(mean: Column, github: Column, spec: JobSpec, lexicon: Lexicon) -> Column:
+def corroboration(mean: Column, github: Column, role: Role, lexicon: Lexicon) -> Column:
     # least and greatest skip nulls, so a missing mean needs its own branch
     assessed = F.when(mean.isNotNull(), clamp((mean - 55.0) / 35.0, -0.5, 1.0)).otherwise(0.0)
-    shown = F.when(github >= 0, clamp((github - 35.0) / 45.0, -0.3, 1.0)).otherwise(0.0)
-    if not spec.is_technical(lexicon):
-        shown = F.lit(0.0)
+    shown = F.when((github >= 0) & columns_of(role).is_technical(lexicon),
+                   clamp((github - 35.0) / 45.0, -0.3, 1.0)).otherwise(0.0)
     return clamp(1.0 + F.lit(0.05) * assessed + F.lit(0.03) * shown, 0.95, 1.08)
 
 
@@ -182,9 +184,13 @@ def blended(tfidf: Column, dense: Column) -> Column:
     return F.coalesce(F.lit(0.5) * tfidf + F.lit(0.5) * dense, tfidf)
 
 
+def bare_name(name: Column) -> Column:
+    """A skill name as it is compared with keywords: trimmed, in lower case."""
+    return F.lower(F.btrim(F.coalesce(name, F.lit("")), F.lit(" \t\n\r\x0b\x0c")))
+
+
 def keyword_match(name: Column, spec: JobSpec) -> Column:
     """Exact match of a trimmed, lower-cased skill name with a role keyword."""
     if not spec.keywords:
         return F.lit(False)
-    bare = F.lower(F.btrim(F.coalesce(name, F.lit("")), F.lit(" \t\n\r\x0b\x0c")))
-    return bare.isin(list(spec.keywords))
+    return bare_name(name).isin(list(spec.keywords))

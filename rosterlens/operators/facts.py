@@ -16,10 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rosterlens.functions import integrity
-from rosterlens.functions.basics import flag, let, lower_text, number
+from rosterlens.functions.basics import flag, let, lower_text, number, strings
 from rosterlens.functions.lexicon import no_hits, title_hits
 from rosterlens.functions.prose import candidate_prose
-from rosterlens.functions.scores import employer_class, keyword_match
+from rosterlens.functions.roles import Role, columns_of
+from rosterlens.functions.scores import bare_name, employer_class, keyword_match
 from rosterlens.settings import JobSpec, Lexicon, Settings
 
 CLASSES = ("consulting", "product", "nontech")
@@ -39,10 +40,44 @@ def _or_empty(array: Column, kind: str) -> Column:
     return F.coalesce(array, F.array().cast(f"array<{kind}>"))
 
 
+def counted_skills(skills: Column, keywords: tuple[str, ...]) -> Column:
+    """``(name, n)`` of skills that some role asks for, and how often each is listed."""
+    names = F.filter(F.transform(skills, lambda k: bare_name(k["name"])),
+                     lambda n: F.array_contains(strings(keywords), n))
+    return let(names, lambda held: F.transform(F.array_distinct(held), lambda n: F.struct(
+        n.alias("name"), _count(F.filter(held, lambda x: x == n)).alias("n"))))
+
+
+def named_scores(scores: Column, keywords: tuple[str, ...]) -> Column:
+    """``(name, score)`` of assessments that some role asks for."""
+    pairs = F.transform(F.map_entries(scores), lambda e: F.struct(
+        bare_name(e["key"]).alias("name"), e["value"].alias("score")))
+    return F.coalesce(F.filter(pairs, lambda e: F.array_contains(strings(keywords), e["name"])),
+                      F.array().cast("array<struct<name:string,score:double>>"))
+
+
+def facts_for_role(facts: DataFrame, role: Role) -> DataFrame:
+    """Counts that depend on the keywords of the row's role, from ``skill_counts assessed found``.
+
+    These hold names that some role asks for, each once, and are no longer than the keywords.
+    """
+    asked = columns_of(role).keywords
+    rated = F.filter("assessed", lambda e: F.array_contains(asked, e["name"]) & e["score"].isNotNull())
+    return facts.withColumns({
+        "skill_hits": F.aggregate("skill_counts", F.lit(0).cast("bigint"), lambda acc, e: acc + F.when(
+            F.array_contains(asked, e["name"]), e["n"]).otherwise(0)),
+        "rel_n": _count(rated), "rel_sum": _total(F.transform(rated, lambda e: e["score"])),
+        "found": F.filter(asked, lambda k: F.array_contains("found", k))}).drop(
+        "skill_counts", "assessed")
+
+
 def nested_facts(candidates: DataFrame, spec: JobSpec, lexicon: Lexicon,
-                 settings: Settings) -> DataFrame:
+                 settings: Settings, keywords: tuple[str, ...] | None = None) -> DataFrame:
     """Facts of nested candidate records. No shuffle.
 
+    With ``keywords``, those of many roles, there are also ``skill_counts`` and ``assessed``, from
+    which :func:`facts_for_role` takes what depends on the role.
+
     ``row_id`` is drawn here, so keep the result (:func:`materialise`) before
     it is read twice.
     """
@@ -109,6 +144,9 @@ def nested_facts(candidates: DataFrame, spec: JobSpec, lexicon: Lexicon,
         _total(_or_empty(relevant, "double")).alias("rel_sum"),
         F.coalesce(_count(every), F.lit(0).cast("bigint")).alias("all_n"),
         _total(_or_empty(every, "double")).alias("all_sum"),
+        *([] if keywords is None else [
+            counted_skills(skills, keywords).alias("skill_counts"),
+            named_scores(scores, keywords).alias("assessed")]),
     ).select("*", *[F.col(f"_classes.{c}").alias(f"n_{c}") for c in CLASSES]).drop("_classes")
 
 
@@ -206,6 +244,8 @@ def table_facts(people: DataFrame, children: list[DataFrame], key: str,
     fill |= {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ZERO_SUMS if c in present}
     fill |= {c: F.coalesce(c, no_hits(lexicon)) for c in ("past_hits", "term_hits")
              if c in present}
-    if "found" in present:
-        fill["found"] = F.coalesce("found", F.array().cast("array<string>"))
+    for name, kind in (("found", "string"), ("skill_counts", "struct<name:string,n:bigint>"),
+                       ("assessed", "struct<name:string,score:double>")):
+        if name in present:
+            fill[name] = _or_empty(F.col(name), kind)
     return df.withColumns(fill)

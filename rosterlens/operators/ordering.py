@@ -78,3 +78,36 @@ def exact_percentile(df: DataFrame, column: str, percent: Column | float,
     value = F.when(F.col("t") >= 0.5, F.col("b") - step * (1.0 - F.col("t"))).otherwise(
         F.col("a") + step * F.col("t"))
     return picked.select(F.coalesce("n", F.lit(0)).alias("n"), value.alias("value"))
+
+
+def grouped_percentiles(df: DataFrame, group: str, column: str, rows: Column, percent: Column,
+                        scratch: Scratch | None = None) -> DataFrame:
+    """``(group, value)``: the linearly interpolated percentile of each group's positive values.
+
+    Each group has ``rows`` values, of which ``df`` holds those above 0. Groups and values are
+    sorted together and positions are counted by slices, so no group is put into one task.
+    """
+    values = df.groupBy(group, F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    slices = _sorted_slices(values, F.col(group), F.col("_v"), scratch=scratch)
+    running = Window.partitionBy("_slice").orderBy("_place").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    upto = slices.withColumn("_run", F.sum("_n").over(running)).join(
+        F.broadcast(_offsets(slices, F.sum("_n"))), "_slice").select(
+        group, "_v", (F.col("_before") + F.col("_run")).alias("_upto"))
+    before = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)   # one row a group
+    sizes = slices.groupBy(group).agg(F.sum("_n").alias("_held")).select(
+        group, (rows - F.col("_held")).alias("_zeros"),
+        F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_start"))
+    rank = (rows - 1) * (percent / 100.0)
+    # position of a rank among the positive values of all groups; below 0 in its own: a zero
+    low, high = (F.col("_start") + f(rank) - F.col("_zeros") for f in (F.floor, F.ceil))
+
+    def at(position: Column) -> Column:
+        found = F.min(F.when(F.col("_upto") > position, F.col("_v")))
+        return F.when(F.max(position) < F.max("_start"), 0.0).otherwise(found)
+
+    step = F.col("b") - F.col("a")
+    t = rank - F.floor(rank)
+    value = F.when(t >= 0.5, F.col("b") - step * (1.0 - t)).otherwise(F.col("a") + step * t)
+    return upto.join(F.broadcast(sizes), group).groupBy(group).agg(
+        at(low).alias("a"), at(high).alias("b")).select(group, value.alias("value"))

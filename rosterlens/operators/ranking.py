@@ -20,6 +20,17 @@ def normalised(scored: DataFrame) -> DataFrame:
     return scored.withColumn("score", grid(F.col("final") / divisor, 4))
 
 
+def normalised_per_group(scored: DataFrame, group: str) -> DataFrame:
+    """``score`` as :func:`normalised`, over the largest final of the row's group.
+
+    The largest are combined in every task first: one row a group, joined back to the rows.
+    """
+    tops = scored.groupBy(group).agg(F.max("final").alias("_top"))
+    divisor = F.when(F.col("_top") == 0.0, F.lit(1.0)).otherwise(F.col("_top"))
+    return scored.join(tops, group).withColumn(
+        "score", grid(F.col("final") / divisor, 4)).drop("_top")
+
+
 _KEYS = ((F.desc, "score"), (F.asc, "candidate_id"), (F.asc, "row_id"))
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from rosterlens.functions import integrity, scores
 from rosterlens.functions.lexicon import domain_vector, dot
-from rosterlens.settings import JobSpec, Lexicon, Settings
+from rosterlens.functions.roles import Role, columns_of
+from rosterlens.settings import Lexicon, Settings
 
 COMPONENTS = ("role_fit", "semantic", "evidence", "experience", "company_type", "location_score")
 # component column -> name of its weight
@@ -14,22 +15,28 @@ WEIGHT_OF = dict(zip(COMPONENTS, ("role_fit", "semantic", "evidence", "experienc
                                   "company_type", "location")))
 
 
-def local_parts(facts: DataFrame, spec: JobSpec, lexicon: Lexicon,
+def with_domain_vector(facts: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """Put the domain vector in the place of the term hits: it is the same for every role."""
+    return facts.withColumn("domain_vector", domain_vector(
+        F.lower(F.coalesce("title", F.lit(""))), F.col("past_hits"), F.col("term_hits"),
+        lexicon)).drop("term_hits")
+
+
+def local_parts(facts: DataFrame, spec: Role, lexicon: Lexicon,
                 settings: Settings) -> DataFrame:
     """Every component and gate that needs the row alone. No shuffle, no UDF.
 
     ``term_hits`` and ``found`` stand for the text (see ``text_features``).
     """
     c = F.col
-    role_vector = F.array(*[F.lit(v) for v in spec.vector])
+    if "term_hits" in facts.columns:
+        facts = with_domain_vector(facts, lexicon)
     offences = (c("overlong"), c("n_roles"), c("total_months"), c("mastery_zero"),
                 c("misdated"), c("yoe"))
     return (
         facts
-        .withColumn("domain_vector", domain_vector(
-            F.lower(F.coalesce("title", F.lit(""))), c("past_hits"), c("term_hits"), lexicon))
         .withColumns({
-            "role_fit": scores.role_fit(dot(c("domain_vector"), role_vector)),
+            "role_fit": scores.role_fit(dot(c("domain_vector"), columns_of(spec).vector)),
             "hard": integrity.hard_finding(*offences),
             "n_reasons": integrity.finding_count(*offences),
             "avg_assessment": scores.assessment_mean(
@@ -53,7 +60,7 @@ def local_parts(facts: DataFrame, spec: JobSpec, lexicon: Lexicon,
             "github_shown": F.when(c("github") >= 0, c("github")),
             "n_assessments": F.when(c("rel_n") > 0, c("rel_n")).otherwise(c("all_n")),
             "soft": integrity.soft_penalty(c("n_reasons"))})
-        .drop("found", "term_hits"))
+        .drop("found"))
 
 
 def with_reasons(parts: DataFrame) -> DataFrame:
@@ -70,9 +77,11 @@ def combined(parts: DataFrame, weights: dict[str, float]) -> DataFrame:
                              "hop", "soft", "hard")]))
 
 
-def semantic(parts: DataFrame, tfidf: DataFrame, dense: DataFrame | None, key: str) -> DataFrame:
-    """Attach the scaled TF-IDF similarity and, where present, the dense one."""
-    df = parts.join(tfidf, key, "left").withColumn("tfidf", F.coalesce("tfidf", F.lit(0.0)))
+def semantic(parts: DataFrame, tfidf: DataFrame | None, dense: DataFrame | None,
+             key: str) -> DataFrame:
+    """Attach the scaled TF-IDF similarity, unless it is there, and, where present, the dense one."""
+    df = parts if tfidf is None else parts.join(tfidf, key, "left").withColumn(
+        "tfidf", F.coalesce("tfidf", F.lit(0.0)))
     if dense is None:
         return df.withColumn("semantic", F.col("tfidf"))
     return df.join(dense, "candidate_id", "left").withColumn(

@@ -1,6 +1,8 @@
 import os
+import random
 import re
 
+import numpy as np
 import pytest
 from conftest import ROLE_TEXT, person, write_lines
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from rosterlens.operators import audit as views, facts as fx, insights
 from rosterlens.operators.jobs import parse_job
 from rosterlens.operators.ranking import normalised, top_per_group, top_ranked
 from rosterlens.operators.scoring import local_parts, with_reasons
+from rosterlens.operators.ordering import grouped_percentiles
+from rosterlens.plans import rank_many
 from rosterlens.operators.text_features import with_text_features
 from rosterlens.sources.candidates import read_jsonl
 from rosterlens.sources.scratch import Scratch
@@ -251,3 +255,38 @@ def test_plans(run, spark, people, lexicon):
     for df in (run.top(5), run.everyone(), run.audit(3)):
         text = plan_of(df)
         assert "CartesianProduct" not in text and "BatchEvalPython" not in text
+
+
+MORE_ROLES = (ROLE_TEXT, "Role: Marketing Manager\n3 years. SEO campaign for stakeholder groups.",
+              "Cook wanted", "Position: Software Developer\nminimum 4 years in Germany. Api, "
+              "rest api, database, React. We avoid marketing.", "Product manager: roadmap, scrum")
+
+
+def test_many_roles_equal_single_runs(spark, people, lexicon, monkeypatch):
+    monkeypatch.setattr(rank_many, "ROLE_BLOCK", 2)
+    jobs = spark.createDataFrame(list(enumerate(MORE_ROLES)), "jd_id long, text string")
+    dense = spark.createDataFrame([("CAND_0000003", 0.7)], "candidate_id string, dense double")
+    for near in (None, dense):
+        got = {}
+        for r in rank_many.rank_pool_for_roles(people, jobs, lexicon, S, 5, near).collect():
+            got.setdefault(r["jd_id"], []).append((r["rank"], r["candidate_id"], r["score"]))
+        for i, text in enumerate(MORE_ROLES):
+            with rank_pool(people, text, lexicon, S, near) as alone:
+                want = alone.top(5).select("rank", "candidate_id", "score").collect()
+            assert sorted(got[i]) == sorted(tuple(r) for r in want), text
+    assert rank_many.rank_pool_for_roles(people, jobs.limit(0), lexicon, S).count() == 0
+    with pytest.raises(ValueError, match="one by one"):
+        rank_many.rank_pool_for_roles(people, jobs, lexicon, Settings(max_features=10))
+
+
+def test_percentiles_of_groups(spark):
+    rng = random.Random(1)
+    groups = {g: [rng.choice([0.0, rng.random(), 0.5]) for _ in range(57)] for g in range(6)}
+    groups[6], groups[7] = [0.0] * 56 + [0.3], [0.25] * 57
+    rows = [(g, v) for g, values in groups.items() for v in values if v > 0]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(5)
+    for p in (99, 100, 50, 0, 12.5):
+        got = {r["g"]: r["value"] for r in grouped_percentiles(
+            df, "g", "v", F.lit(57), F.lit(float(p))).collect()}
+        assert got == {g: pytest.approx(float(np.percentile(v, p)), abs=1e-15)
+                       for g, v in groups.items()}
