@@ -98,10 +98,20 @@ def block_count(docs: DataFrame, each: int = BLOCK_BYTES) -> int:
     return max(12, -(-total // each))
 
 
+def named(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` with ``doc_id`` as text: pandas would make floats of integers beside a null."""
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), *columns)
+
+
+def numbered(found: DataFrame) -> DataFrame:
+    """Put the ids of :func:`named` back."""
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def blocked(docs: DataFrame, blocks: int, *columns: str) -> DataFrame:
-    """Documents dealt to blocks by a hash of id and text length, so no key is hot."""
+    """Documents, named by text, dealt to blocks by a hash of id and text length: no key is hot."""
     block = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int")
-    return docs.select(block.alias("block"), "doc_id", *columns,
+    return docs.select(block.alias("block"), F.col("doc_id").cast("string").alias("doc_id"), *columns,
                        F.coalesce("text", F.lit("")).alias("text")).repartition(blocks, "block")
 
 
@@ -238,13 +248,23 @@ class Words:
 
 
 def windows(values: np.ndarray, width: int, which: int = 0) -> np.ndarray:
-    """Hash of each run of ``width`` consecutive values, wherever it stands."""
+    """Hash of each run of ``width`` consecutive values, wherever it stands.
+
+    Runs of twice the length are put together from two neighbouring ones.
+    """
     if len(values) < width:
         return np.zeros(0, U64)
-    n = len(values) + 1
-    total = np.concatenate((np.zeros(1, U64), np.cumsum(values * powers(n, which)[:-1],
-                                                        dtype=U64)))
-    return mixed((total[width:] - total[:-width]) * powers(n, which, True)[:n - width])
+    base, total, held, span = int(_BASES[which]), None, 0, 1
+    run = values
+    while True:
+        if width & span:
+            total = run if total is None else \
+                total[:len(run) - held] + run[held:] * U64(pow(base, held, 1 << 64))
+            held += span
+        if held == width:
+            return mixed(total[:len(values) - width + 1])
+        run = run[:-span] + run[span:] * U64(pow(base, span, 1 << 64))
+        span *= 2
 
 
 def sequence_prints(values: np.ndarray, first: np.ndarray, which: int) -> np.ndarray:
@@ -256,18 +276,29 @@ def sequence_prints(values: np.ndarray, first: np.ndarray, which: int) -> np.nda
     return mixed(whole + np.diff(first).astype(U64) * _STEP)
 
 
+PLACE_BITS = 30
+
+
 def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
-    """Place of the leftmost smallest value in each run of ``width`` values."""
+    """Place of the leftmost smallest value in each run of ``width`` values.
+
+    Values count by their upper bits; the lower ones hold the place, so that minima of neighbouring
+    runs are plain minima of arrays. Beyond 2 ** PLACE_BITS values the runs are taken in stretches.
+    """
     if len(values) < width:
         return np.zeros(0, np.int64)
-    place = np.arange(len(values))
-    best, span = place, 1
+    stretch = (1 << PLACE_BITS) - width
+    if len(values) > 1 << PLACE_BITS:
+        return np.concatenate([begin + leftmost_minima(values[begin:begin + stretch + width - 1],
+                                                       width)
+                               for begin in range(0, len(values) - width + 1, stretch)])
+    low = U64((1 << PLACE_BITS) - 1)
+    best, span = (values & ~low) | np.arange(len(values), dtype=U64), 1
     while span < width:  # doubling: the smallest of two overlapping runs
         step = min(span, width - span)
-        a, b = best[:-step], best[step:]
-        best = np.where(values[b] < values[a], b, a)
+        best = np.minimum(best[:-step], best[step:])
         span += step
-    return best
+    return (best & low).astype(np.int64)
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -18,9 +18,10 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rosterlens.llm.common import U64, mixed, pieces
+from rosterlens.llm.common import U64, hand_out, mixed, named, numbered, pieces, slices
 
 UNKNOWN = "und"
 BUCKETS = 1 << 15  # hashed n-grams: the model has BUCKETS x bits weights whatever the input
@@ -98,6 +99,7 @@ def fit(docs: DataFrame, train: Column, rows_per_language: int = ROWS_PER_LANGUA
     At most about ``rows_per_language`` rows of a language are used, chosen by a hash of the id,
     so a language with a third of all rows costs no more than others.
     """
+    hand_out(docs.sparkSession)
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # one row a language
     languages = sorted(counts)
@@ -171,6 +173,7 @@ def judged(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarra
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, lang_pred, score, ambiguous`` from the text alone."""
+    hand_out(docs.sparkSession)
     handed = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x bits floats
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -180,8 +183,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": name, "score": score,
                                     "ambiguous": unsure})
 
-    return docs.select("doc_id", "text").mapInPandas(
-        of, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    return numbered(named(docs, "text").mapInPandas(
+        of, "doc_id string, lang_pred string, score double, ambiguous boolean"))
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
@@ -190,12 +193,13 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     Rejected are texts without letters and those as near to a second codeword. Where nothing
     could be learned, nothing is rejected.
     """
+    hand_out(docs.sparkSession)
     handed = docs.sparkSession.sparkContext.broadcast(model)
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for pdf in pieces(batch):
-                name, _, unsure = judged(handed.value, list(pdf["text"]))
-                yield pdf[(name != UNKNOWN) & ~unsure] if handed.value.languages else pdf
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            name, _, unsure = judged(handed.value, batch.column("text").to_pylist())
+            sure = (name != UNKNOWN) & ~unsure
+            yield batch.filter(pa.array(sure)) if handed.value.languages else batch
 
-    return docs.mapInPandas(of, docs.schema)
+    return docs.mapInArrow(of, docs.schema)

@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rosterlens.llm.common import pieces, stored
+from rosterlens.llm.common import named, numbered, operator, pieces, stored
 from rosterlens.llm.token_counts import byte_letters
 
 CAPACITY = 2048
@@ -102,8 +102,8 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
                             for k, (a, b) in enumerate(zip(edges, edges[1:]))]
                 yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInPandas(
-        of, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return numbered(named(docs, "text").mapInPandas(
+        of, "doc_id string, piece int, start long, length long, ids_crc32 long"))
 
 
 # --- plan ------------------------------------------------------------------------------------
@@ -217,10 +217,13 @@ def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             pdf["offset"] = table["offset"].to_numpy()[at]
             yield pdf.drop(columns="rank")
 
-    kinds = ", ".join(f"`{c}` {t}" for c, t in ordered.drop("rank").dtypes)
-    return ordered.mapInPandas(placed, f"{kinds}, sequence_id long, offset long")
+    kinds = ", ".join(f"`{c}` {'string' if c == 'doc_id' else t}"
+                      for c, t in ordered.drop("rank").dtypes)
+    return numbered(named(ordered, *[c for c in ordered.columns if c != "doc_id"]).mapInPandas(
+        placed, f"{kinds}, sequence_id long, offset long"))
 
 
+@operator
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """Cut, plan and place all documents."""
     return packed(stored(cut(docs, tokenizer, capacity)), capacity)

@@ -16,11 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from rosterlens.llm.common import pieces
+from rosterlens.llm.common import hand_out, named, numbered, pieces
 
-#: the file's own normalisation and split pattern (fixed values)
-WHITE_SPACE = r"\s+"
-PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 REMEMBERED = 400_000
 
@@ -29,51 +26,55 @@ class Counts:
     """Number of tokens of texts.
 
     Tokens never hold white space, so what lies between two spaces counts by itself and is
-    looked at once while it is remembered.
+    looked at once while it is remembered. Normalisation and pre-tokens are those of the file, by
+    the library that reads it: its Unicode tables decide what a letter is.
     """
 
     def __init__(self, path: str):
-        import regex
+        import re
+
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.normal = self.tokenizer.normalizer.normalize_str
+        self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.merge = self.tokenizer.model.tokenize
-        self.letters = {b: c for c, b in byte_letters().items()}
-        self.split = regex.compile(PRE_TOKENS).findall
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.around = regex.compile("|".join(map(regex.escape, special))).split if special \
+        self.around = re.compile("|".join(map(re.escape, special))).split if special \
             else lambda x: [x]
         self.whole = self.proven()
         self.merged: dict[str, int] = {}
         self.units: dict[str, int] = {}
 
     def proven(self) -> frozenset[str]:
-        """Pre-tokens whose text alone encodes to one token: that of the vocabulary string."""
+        """Pre-tokens, as the vocabulary writes them, whose text alone encodes to one token."""
         letters = byte_letters()
-        texts, ids = [], []
+        written, texts, ids = [], [], []
         for entry, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             if not entry.endswith(WORD_END):
                 continue
+            own = entry[:-len(WORD_END)]
             try:
-                text = bytes(letters[c] for c in entry[:-len(WORD_END)]).decode()
+                text = bytes(letters[c] for c in own).decode()
             except (KeyError, UnicodeDecodeError):
                 continue
-            if text and self.split(text) == [text]:
+            if text and [p for p, _ in self.split(text)] == [own]:
+                written.append(own)
                 texts.append(text)
                 ids.append(i)
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return frozenset(t for t, i, e in zip(texts, ids, found) if e.ids == [i])
+        return frozenset(w for w, i, e in zip(written, ids, found) if e.ids == [i])
 
     def word(self, x: str) -> int:
         if x in self.whole:
             return 1
         if x not in self.merged:
-            self.merged[x] = len(self.merge(x.encode().decode("latin-1").translate(self.letters)))
+            self.merged[x] = len(self.merge(x))
         return self.merged[x]
 
     def unit(self, x: str) -> int:
         parts = self.around(x)
-        return len(parts) - 1 + sum(self.word(w) for p in parts for w in self.split(self.normal(p)))
+        return len(parts) - 1 + sum(self.word(w) for p in parts
+                                    for w, _ in self.split(self.normal(p)))
 
     def of(self, texts: list[str]) -> list[int]:
         for store in (self.merged, self.units):
@@ -115,5 +116,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int) -> DataFrame:
                                     "n_bytes": [len(t.encode()) for t in texts],
                                     "n_tokens": n, "over_limit": n > limit})
 
-    return docs.select("doc_id", "text").mapInPandas(
-        of, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    hand_out(docs.sparkSession)
+    return numbered(named(docs, "text").mapInPandas(
+        of, "doc_id string, n_bytes long, n_tokens long, over_limit boolean"))

@@ -15,12 +15,13 @@ have no cosine and do not link.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from rosterlens.llm.common import stored
+from rosterlens.llm.common import operator, stored
 from rosterlens.llm.components import components
 
 COSINE = 0.98
@@ -144,6 +145,11 @@ def spanning(linked: np.ndarray, ids: np.ndarray, other: np.ndarray) -> np.ndarr
 
 # --- on tables -------------------------------------------------------------------------------
 
+@lru_cache(maxsize=16)
+def _directions(width: int) -> np.ndarray:
+    return np.random.default_rng(width).standard_normal((SIGNS, width))
+
+
 def _usable(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Unit vectors of usable rows and the signs of their products with fixed directions."""
     for pdf in batches:
@@ -154,7 +160,7 @@ def _usable(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             x = x / np.abs(x).max()  # no overflow of squares
             x = x / np.sqrt((x * x).sum())
-            directions = np.random.default_rng(len(x)).standard_normal((SIGNS, len(x)))
+            directions = _directions(len(x))
             keep.append(i)
             unit.append(x)
             signs.append(int(((directions @ x > 0) << np.arange(SIGNS)).sum()))
@@ -201,6 +207,7 @@ def _linked(cosine: float):
     return of
 
 
+@operator
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, leaf: int = LEAF) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each row of ``vec_id, embedding, label``."""
     classes = stored(vectors.groupBy("label", "embedding").agg(

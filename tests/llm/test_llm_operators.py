@@ -380,7 +380,7 @@ def test_classes_are_those_of_equal_prefixes():
     reads = ["".join(rng.choices("ab", k=60)).encode() for _ in range(30)]
     reads += [r[7:] + b"zz" for r in reads[:10]]
     starts = np.array([len(r) - 11 for r in reads])
-    read, offset, later = suffix_dedup.later_starts(reads, starts, np.arange(len(reads)), 12)
+    read, offset, later = suffix_dedup.later_starts(reads, starts, 12)
     seen = set()
     for r, o, late in zip(read, offset, later):
         assert (reads[r][o:o + 12] in seen) == late
