@@ -23,9 +23,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from rosterlens.llm.common import (Words, block_count, by_id, id_block, leftmost_minima, only,
-                                   pieces, sequence_prints, shared, signed, stored, texts_of,
-                                   windows)
+from rosterlens.llm.common import (Words, block_count, by_id, dropped, id_block, leftmost_minima,
+                                   named, numbered, only, operator, pieces, sequence_prints,
+                                   shared, signed, stored, texts_of, windows)
 
 WINDOW = 50      # words of a repeat
 ANCHOR = 18      # words of an anchor
@@ -118,11 +118,12 @@ def _removed(window: int):
     return of
 
 
+@operator
 def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` of each row."""
     prints = ["print0", "print1", "n_words"]
-    whole = stored(docs.select("doc_id", "text").mapInPandas(
-        _whole, "doc_id long, n_words long, print0 long, print1 long, whole_sha256 string"))
+    whole = stored(numbered(named(docs, "text").mapInPandas(
+        _whole, "doc_id string, n_words long, print0 long, print1 long, whole_sha256 string")))
     long_ones = whole.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
     heads = stored(long_ones.groupBy(*prints).agg(F.min("doc_id").alias("head")))
     blocks = block_count(docs)
