@@ -28,8 +28,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rosterlens.llm.common import (U64, Words, mixed, pieces, sequence_prints, signed, stored,
-                                   texts_of, windows)
+from rosterlens.llm.common import (U64, Words, mixed, named, numbered, operator, pieces,
+                                   sequence_prints, signed, stored, texts_of, windows)
 from rosterlens.llm.components import components
 
 SHINGLE = 5
@@ -280,14 +280,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         similar(common, F.col("n1"), F.col("n2"), percent)).select("doc", "other", "b")
 
 
+@operator
 def similar_groups(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
     """``doc_id, n_shingles, class_id, component_id`` for each row of documents.
 
     ``class_id`` is the smallest id with the same set. Ids are taken to name one text each.
     """
-    all_docs = stored(docs.select("doc_id", "text").mapInPandas(
-        _summaries(width), "doc_id long, n long, print0 long, print1 long, keys array<long>, "
-                           "sample array<long>"))
+    all_docs = stored(numbered(named(docs, "text").mapInPandas(
+        _summaries(width), "doc_id string, n long, print0 long, print1 long, keys array<long>, "
+                           "sample array<long>")))
     prints = ["print0", "print1", "n"]
     classes = all_docs.where("n > 0 and doc_id is not null").groupBy(*prints).agg(
         F.min("doc_id").alias("class_id"))
