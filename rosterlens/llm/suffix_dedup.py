@@ -26,8 +26,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from rosterlens.llm.common import (U64, block_count, by_id, id_block, leftmost_minima, mixed, only,
-                                   pieces, shared, signed, stored, texts_of, windows)
+from rosterlens.llm.common import (U64, block_count, by_id, dropped, id_block, leftmost_minima,
+                                   mixed, named, numbered, only, operator, pieces, shared, signed,
+                                   stored, texts_of, windows)
 
 LENGTH = 100
 ANCHOR = 24            # bytes of an anchor
@@ -38,20 +39,28 @@ MOST_OF_ANCHOR = 100   # different surroundings of an anchor that go to one arra
 # --- suffix arrays ---------------------------------------------------------------------------
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Order of all suffixes by their first ``depth`` symbols, by prefix doubling."""
+    """Order of all suffixes by their first ``depth`` symbols, by prefix doubling.
+
+    Seven symbols of nine bits make the first key. Suffixes alike in ``depth`` symbols stand in
+    any order.
+    """
     n = len(symbols)
-    rank, known = symbols.astype(np.int64), 1
+    rank, known = np.zeros(n, np.int64), 7
+    for i in range(known):
+        rank <<= 9
+        rank[:n - i] |= symbols[i:].astype(np.int64)
+    order = np.argsort(rank)
     while True:
-        after = np.zeros(n, np.int64)
-        after[:n - known] = rank[known:] + 1
-        key = rank * (int(after.max(initial=0)) + 1) + after
-        order = np.argsort(key, kind="stable")
-        known *= 2
+        sorted_rank = rank[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.concatenate(([0], sorted_rank[1:] != sorted_rank[:-1])))
         if known >= depth:
             return order
-        sorted_key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate(([0], sorted_key[1:] != sorted_key[:-1])))
+        after = np.zeros(n, np.int64)
+        after[:max(n - known, 0)] = rank[known:] + 1
+        rank = rank * (n + 1) + after
+        order = np.argsort(rank)
+        known *= 2
 
 
 def repeat_classes(symbols: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
@@ -72,23 +81,29 @@ def repeat_classes(symbols: np.ndarray, order: np.ndarray, length: int) -> np.nd
     boundary = np.zeros(n, bool)
     boundary[target[previous < 0]] = True     # differ in the first symbol
     open_ = np.flatnonzero(~boundary[target])  # occurrences whose extension has no boundary yet
-    place = np.arange(n)
+    last = previous[open_]
+    new = np.flatnonzero(boundary)             # boundaries found in the last round, in order
     for _ in range(length - 1):
-        if not len(open_):
-            break
-        last = np.maximum.accumulate(np.where(boundary, place, 0))
-        differs = last[open_] > previous[open_]
-        if not differs.any():
+        if not len(open_) or not len(new):
             break
-        boundary[target[open_[differs]]] = True
-        open_ = open_[~differs]
+        # an extension gets a boundary where a new one lies between its two occurrences
+        if 16 * len(open_) < n:
+            differs = np.searchsorted(new, open_, "right") > np.searchsorted(new, last, "right")
+        else:
+            met = np.zeros(n, bool)
+            met[new] = True
+            met = np.cumsum(met, dtype=np.int32)
+            differs = met[open_] > met[last]
+        new = np.sort(target[open_[differs]])
+        boundary[new] = True
+        open_, last = open_[~differs], last[~differs]
     return np.cumsum(boundary)
 
 
-def later_starts(reads: list[bytes], starts: np.ndarray, rank: np.ndarray, length: int):
+def later_starts(reads: list[bytes], starts: np.ndarray, length: int):
     """For the first ``starts[i]`` places of each read: does the same string start earlier?
 
-    ``rank`` orders the reads' own beginnings; within a read, earlier places come first.
+    Reads stand in the order of their age; within a read, earlier places come first.
     """
     sizes = np.fromiter((len(r) for r in reads), np.int64, len(reads))
     begin = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]
@@ -102,16 +117,17 @@ def later_starts(reads: list[bytes], starts: np.ndarray, rank: np.ndarray, lengt
     read = np.repeat(np.arange(len(reads)), starts)
     offset = np.arange(len(read)) - np.repeat(np.cumsum(starts) - starts, starts)
     found = classes[begin[read] + offset]
-    by_age = np.lexsort((offset, rank[read], found))
-    sorted_class = found[by_age]
-    later = np.empty(len(read), bool)
-    later[by_age] = np.concatenate(([False], sorted_class[1:] == sorted_class[:-1])) \
-        if len(read) else False
-    return read, offset, later
+    place = np.arange(len(found))
+    first = np.full(len(symbols), len(found))
+    np.minimum.at(first, found, place)
+    return read, offset, first[found] < place
 
 
 # --- anchors ---------------------------------------------------------------------------------
 
+_VALUES = mixed((np.arange(256, dtype=U64) + U64(1)) * U64(0x9E3779B97F4A7C15))
+
+
 class Bytes:
     """Texts in one buffer with their anchors: each window of ``length`` bytes has one."""
 
@@ -119,8 +135,7 @@ class Bytes:
         self.sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
         self.at = np.concatenate(([0], np.cumsum(self.sizes)))
         self.buffer = np.frombuffer(b"".join(texts), np.uint8)
-        value = mixed((self.buffer.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15))
-        self.values = windows(value, anchor)
+        self.values = windows(_VALUES[self.buffer], anchor)
         choice = leftmost_minima(self.values, length - anchor + 1)
         # windows that lie inside one text
         doc = np.repeat(np.arange(len(texts)), np.maximum(self.sizes - length + 1, 0))
@@ -165,11 +180,11 @@ def _seeds(length: int, anchor: int):
     return of
 
 
-READS = "seed long, surrounding binary, doc_id long, start int, starts int, bytes binary"
+READS = "seed long, surrounding binary, doc_id long, start int, starts int"
 
 
 def _reads(length: int, anchor: int):
-    """Surroundings of shared anchors: the bytes under all windows that the anchor stands for."""
+    """Surroundings of shared anchors, by hash: all windows that the anchor stands for."""
     def of(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         keys = np.sort(known["key"][known["seed"]].to_numpy())
         out = []
@@ -182,16 +197,27 @@ def _reads(length: int, anchor: int):
             first, end, seed = first[found], end[found], seed[found]
             begin, count = data.start[first], end - first
             body = data.buffer.tobytes()
-            read = [body[b:b + n + length - 1] for b, n in zip(begin, count)]
             doc = data.doc[first]
             out.append(pd.DataFrame({
-                "seed": seed, "surrounding": [hashlib.blake2b(r, digest_size=16).digest()
-                                              for r in read],
+                "seed": seed, "surrounding": [
+                    hashlib.blake2b(body[b:b + n + length - 1], digest_size=16).digest()
+                    for b, n in zip(begin, count)],
                 "doc_id": pdf["doc_id"].to_numpy()[doc],
                 "start": (begin - data.at[doc]).astype(np.int32),
-                "starts": count.astype(np.int32), "bytes": read}))
+                "starts": count.astype(np.int32)}))
         return pd.concat(out) if out else pd.DataFrame(
-            columns=["seed", "surrounding", "doc_id", "start", "starts", "bytes"])
+            columns=["seed", "surrounding", "doc_id", "start", "starts"])
+    return of
+
+
+def _fetched(length: int):
+    """The bytes of surroundings, from the texts that they stand in."""
+    def of(docs: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        texts = dict(zip(docs["doc_id"], texts_of(docs))) if len(wanted) else {}
+        out = wanted[["seed", "kinds", "doc_id", "start", "starts"]].copy()
+        out["bytes"] = [texts[d][s:s + n + length - 1] for d, s, n in zip(
+            wanted["doc_id"], wanted["start"], wanted["starts"])]
+        return out
     return of
 
 
@@ -201,7 +227,7 @@ def _arrays(length: int):
         # anchors are told apart by their bytes; order by age so that the result is the same
         pdf = pdf.sort_values(["doc_id", "start"], ignore_index=True)
         read, offset, later = later_starts(pdf["bytes"].to_list(), pdf["starts"].to_numpy(),
-                                           np.arange(len(pdf)), length)
+                                           length)
         read, offset = read[later], offset[later]
         new = np.concatenate(([True], (read[1:] != read[:-1]) | (offset[1:] != offset[:-1] + 1))) \
             if len(read) else np.zeros(0, bool)
@@ -275,21 +301,23 @@ def _runs(docs: DataFrame, heads: DataFrame, length: int, anchor: int) -> DataFr
     known = searched.union(seeds)
     reads = stored(by_id(docs, blocks).groupBy("block").cogroup(known.groupBy("block"))
                    .applyInPandas(_reads(length, anchor), READS))
-    age = F.struct("doc_id", "start")
+    place = F.struct("doc_id", "start", "starts")
     first = stored(reads.groupBy("seed", "surrounding").agg(
-        F.min(age).alias("first"), F.count("*").alias("n")))
+        F.min(place).alias("first"), F.count("*").alias("n")))
     # later uses of equal surroundings
     repeated = first.where("n > 1").select("seed", "surrounding", "first")
-    later = reads.select("seed", "surrounding", "doc_id", "start", "starts").join(
-        repeated, ["seed", "surrounding"]).where(age > F.col("first")).select(
-        "doc_id", "start", "starts")
+    later = stored(reads.join(repeated, ["seed", "surrounding"]).where(
+        place > F.col("first")).select("doc_id", "start", "starts"))
+    dropped(reads)
     # anchors with different surroundings: only the earliest use of each is left to compare
     kinds = first.groupBy("seed").agg(F.count("*").alias("kinds"))
-    several = first.join(kinds.where("kinds > 1"), "seed").select(
-        "seed", "surrounding", "kinds", F.col("first.doc_id").alias("doc_id"),
-        F.col("first.start").alias("start"))
-    compared = stored(reads.join(several, ["seed", "surrounding", "doc_id", "start"])
-                      .dropDuplicates(["seed", "surrounding"]))
+    several = stored(first.join(kinds.where("kinds > 1"), "seed").select(
+        id_block("first.doc_id", blocks), "seed", "kinds", "first.*"))
+    dropped(first)
+    compared = stored(by_id(docs, blocks).groupBy("block").cogroup(several.groupBy("block"))
+                      .applyInPandas(_fetched(length), "seed long, kinds long, doc_id long, "
+                                                       "start int, starts int, bytes binary"))
+    dropped(several)
     small = compared.where(F.col("kinds") <= MOST_OF_ANCHOR)
     total = small.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     arrays = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")),
@@ -306,16 +334,19 @@ def _runs(docs: DataFrame, heads: DataFrame, length: int, anchor: int) -> DataFr
         F.collect_list("first.offset").alias("first"))  # no more than the places of one anchor
     common = many.select("doc_id", "start", "starts").join(
         stay, ["doc_id", "start"], "left").mapInPandas(_rest, "doc_id long, start int, starts int")
-    return stored(later.union(among).union(common).distinct())
+    found = stored(later.union(among).union(common).distinct())
+    dropped(later, compared)
+    return found
 
 
+@operator
 def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, copy, kept_text`` of each row.
 
     ``kept_text`` is null where nothing is removed, or everything (``copy``).
     """
-    whole = stored(docs.select("doc_id", "text").mapInPandas(
-        _whole, "doc_id long, n_bytes long, whole binary, whole_sha256 string"))
+    whole = stored(numbered(named(docs, "text").mapInPandas(
+        _whole, "doc_id string, n_bytes long, whole binary, whole_sha256 string")))
     heads = stored(whole.where((F.col("n_bytes") >= length) & F.col("doc_id").isNotNull())
                    .groupBy("whole").agg(F.min("doc_id").alias("head")))
     runs = _runs(docs, heads, length, anchor)
