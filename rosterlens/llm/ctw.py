@@ -20,11 +20,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rosterlens.llm.common import Words, block_count, blocked, pieces, signed, stored, texts_of
+from rosterlens.llm.common import (Words, block_count, blocked, dropped, numbered, operator, pieces,
+                                   signed, stored, texts_of)
 
 DEPTH = 5
 ROOT = 2   # subtrees below the contexts of this many bytes are worked on in one task each
-BLOCK_BYTES = 40 << 20  # text of a block: larger ones repeat fewer words and grams
+BLOCK_BYTES = 16 << 20  # text of a block: larger ones repeat fewer words and grams
+CHUNK_BYTES = 1 << 18   # text of a block that is taken apart at once
+HELD = 1_500_000        # keys of a block that are held before equal ones are merged
 _HALF = np.log(0.5)
 
 
@@ -48,7 +51,7 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 def summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys in order, and sums of values over equal keys."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)   # the order of equal keys does not matter
     key = key[order]
     begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else \
         np.zeros(0, np.int64)
@@ -157,34 +160,65 @@ def _padded(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.
     return value[np.repeat(begin, sizes) + inside], text, sizes
 
 
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and how often each stands there."""
+    key = np.sort(key)
+    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else \
+        np.zeros(0, np.int64)
+    return key[begin], np.diff(np.concatenate((begin, [len(key)])))
+
+
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     return summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
 
 
-def _dictionary(docs: pd.DataFrame, depth: int):
-    """Sorted distinct word hashes and grams of a block, with their uses in training documents."""
+def _dictionary(docs: pd.DataFrame, depth: int, counted: bool = True):
+    """Sorted distinct word hashes and grams of a block, with their uses in training documents.
+
+    Where they are not ``counted``, the keys alone.
+    """
     held: dict[bool, list] = {True: [], False: []}
-    for pdf in pieces(docs):
-        texts, weight = texts_of(pdf), pdf["trains"].to_numpy(dtype=np.int64)
+    for pdf in pieces(docs, CHUNK_BYTES):
+        texts = texts_of(pdf)
+        trains = pdf["trains"].to_numpy(dtype=bool) if counted else np.zeros(len(pdf), bool)
         words = Words(texts, lower=True)
         gram, text, _ = _padded(texts, depth)
-        for word, key, n in ((True, signed(words.hash), weight[words.doc]),
-                             (False, gram, weight[text])):
-            held[word].append(summed(key, n))
-            if sum(len(k) for k, _ in held[word]) > 4_000_000:
-                held[word] = [_merged(held[word])]
-    return {word: _merged(parts) for word, parts in held.items()}
+        for word, key, used in ((True, signed(words.hash), trains[words.doc]),
+                                (False, gram, trains[text])):
+            if used.any():
+                held[word].append(_runs(key[used]))
+            if not used.all():
+                other = _runs(key[~used])[0]
+                held[word].append((other, np.zeros(len(other), np.int64)))
+            if sum(len(k) for k, _ in held[word][1:]) > HELD:
+                held[word] = [_merged(held[word]) if counted else _distinct(held[word])]
+    none = [(np.zeros(0, np.int64),) * 2]
+    return {word: (_merged if counted else _distinct)(parts or none)
+            for word, parts in held.items()}
+
+
+def _distinct(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return _runs(np.concatenate([p[0] for p in parts]))
+
+
+def _places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where ``wanted`` stand among sorted ``keys``; looked up in their order, which is faster."""
+    order = np.argsort(wanted)
+    out = np.empty(len(wanted), np.int64)
+    out[order] = np.searchsorted(keys, wanted[order])
+    return out
 
 
 def _vocabulary(depth: int):
     """``word, key, block, place, n``: ``place`` is the key's rank in the block's dictionary."""
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for word, (key, n) in _dictionary(pdf, depth).items():
-            out.append(pd.DataFrame({
-                "word": word, "key": key, "block": pdf["block"].iat[0],
-                "place": np.arange(len(key), dtype=np.int32), "n": n}))
-        return pd.concat(out)
+        (words, used), (grams, met) = _dictionary(pdf, depth).values()
+        return pd.DataFrame({
+            "word": np.arange(len(words) + len(grams)) < len(words),
+            "key": np.concatenate((words, grams)), "block": np.int32(pdf["block"].iat[0]),
+            "place": np.concatenate((np.arange(len(words), dtype=np.int32),
+                                     np.arange(len(grams), dtype=np.int32))),
+            "n": np.concatenate((used, met))}, copy=False)
     return of
 
 
@@ -204,16 +238,12 @@ def _aligned(batches: Iterator[pd.DataFrame], least: int = 300_000) -> Iterator[
 
 
 def _trees(depth: int):
-    """Work up the subtrees of sorted grams: root nodes, and what the levels from there say."""
+    """Work up the subtrees of sorted grams: their nodes at ``ROOT``."""
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _aligned(batches):
-            gram, n = pdf["key"].to_numpy(), pdf["n"].to_numpy()
-            levels, (key, zero, one, weighted) = subtree(gram, n, depth, ROOT)
-            yield pd.DataFrame({"node": key, "zero": zero, "one": one, "weighted": weighted,
-                                "gram": 0, "said": None})
-            said = mix_levels(gram, levels, depth, None).astype(np.float32)
-            yield pd.DataFrame({"node": -1, "zero": 0, "one": 0, "weighted": 0.0, "gram": gram,
-                                "said": [x.tobytes() for x in said]})
+            _, (key, zero, one, weighted) = subtree(pdf["key"].to_numpy(), pdf["n"].to_numpy(),
+                                                    depth, ROOT)
+            yield pd.DataFrame({"node": key, "zero": zero, "one": one, "weighted": weighted})
     return of
 
 
@@ -234,13 +264,15 @@ def _tops(nodes: DataFrame) -> list:
 
 
 def _scored_grams(depth: int, tops):
+    """Work up the subtrees once more, mix in the levels above them, and score each gram."""
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            gram = pdf["gram"].to_numpy()
-            said = np.frombuffer(b"".join(pdf["said"]), np.float32).reshape(-1, 8).astype(float)
+        for pdf in _aligned(batches):
+            gram = pdf["key"].to_numpy()
+            levels, _ = subtree(gram, pdf["n"].to_numpy(), depth, ROOT)
+            said = mix_levels(gram, levels, depth, None)
             # the levels handed on have contexts of one byte and none
             one = mix_levels(_short(gram, depth), tops.value, 1, said)
-            yield pd.DataFrame({"key": gram, "value": log10_of(gram, one)})
+            yield pd.DataFrame({"key": gram, "value": log10_of(gram, one).astype(np.float32)})
     return of
 
 
@@ -253,22 +285,22 @@ def _scores(depth: int, total: int, base_unit: float, end_count: int):
     """Score the documents of a block from the values of its own dictionary."""
     def of(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         tables = {}
-        for word, (key, _) in _dictionary(docs, depth).items():
+        for word, (key, _) in _dictionary(docs, depth, counted=False).items():
             own = known[known["word"] == word]
             value = np.zeros(len(key) or 1)
             value[own["place"].to_numpy()] = own["value"].to_numpy()
             tables[word] = key, value
         out = []
-        for pdf in pieces(docs):
+        for pdf in pieces(docs, CHUNK_BYTES):
             texts = texts_of(pdf)
             n = len(texts)
             words = Words(texts, lower=True)
             key, value = tables[True]
-            count = value[np.searchsorted(key, signed(words.hash))]
+            count = value[_places(key, signed(words.hash))]
             unit = np.log10((count + 0.1) / base_unit)
             gram, text, size = _padded(texts, depth)
             key, value = tables[False]
-            score = np.bincount(text, value[np.searchsorted(key, gram)], n)
+            score = np.bincount(text, value[_places(key, gram)], n)
             out.append(pd.DataFrame({
                 "doc_id": pdf["doc_id"].to_numpy(), "held_out": pdf["held_out"].to_numpy(),
                 "n_tokens": words.counts + 1,
@@ -283,10 +315,11 @@ def _scores(depth: int, total: int, base_unit: float, end_count: int):
     return of
 
 
-SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+SCORES = ("doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, "
           "base_score double, score double, bits_per_byte double")
 
 
+@operator
 def score(docs: DataFrame, held_out: Column, depth: int = DEPTH) -> DataFrame:
     """Score all texts with a model of those that are not held out (see ``SCORES``)."""
     spark = docs.sparkSession
@@ -302,17 +335,17 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH) -> DataFrame:
     base_unit = total + 0.1 * (vocabulary + 1)
 
     root = F.shiftright("key", 8 * (1 + depth - ROOT)).alias("root")
-    grams = counts.where("not word").select(root, "key", "n")
-    worked = stored(grams.repartitionByRange("root").sortWithinPartitions("root", "key").mapInPandas(
-        _trees(depth), "node long, zero long, one long, weighted double, gram long, said binary"))
-    tops = spark.sparkContext.broadcast(_tops(worked.where("node >= 0")))
-    values = worked.where("node < 0").select("gram", "said").mapInPandas(
-        _scored_grams(depth, tops), "key long, value double").select(F.lit(False).alias("word"),
-                                                                     "key", "value")
-    values = values.union(counts.where("word").select(
-        "word", "key", F.col("n").cast("double").alias("value")))
-    replies = uses.select("word", "key", "block", "place").join(values, ["word", "key"]).select(
-        "block", "word", "place", "value")
+    # trees are worked up twice, for their tops and for the values, and never written
+    grams = counts.where("not word").select(root, "key", "n").repartitionByRange(
+        "root").sortWithinPartitions("root", "key")
+    nodes = stored(grams.mapInPandas(_trees(depth), "node long, zero long, one long, weighted double"))
+    tops = spark.sparkContext.broadcast(_tops(nodes))
+    of_grams = stored(grams.mapInPandas(_scored_grams(depth, tops), "key long, value float"))
+    values = of_grams.select(F.lit(False).alias("word"), "key", F.col("value").cast("double")).union(
+        counts.where("word").select("word", "key", F.col("n").cast("double")))
+    replies = stored(uses.select("word", "key", "block", "place").join(
+        values, ["word", "key"]).select("block", "word", "place", "value"))
+    dropped(uses, counts, nodes, of_grams)
     again = blocked(columns, blocks, "held_out", "trains")
-    return again.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(
-        _scores(depth, total, base_unit, ends), SCORES)
+    return numbered(again.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(
+        _scores(depth, total, base_unit, ends), SCORES))

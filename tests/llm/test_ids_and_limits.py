@@ -229,3 +229,30 @@ def test_crc_of_a_piece_is_that_of_its_ids(spark):
     row = packing.pack_documents(docs, A).first()
     coded = [*Tokenizer.from_file(A).encode("the cat sat", add_special_tokens=False).ids, 0]
     assert row["ids_crc32"] == zlib.crc32(np.array(coded, "<u4").tobytes())
+
+
+# --- context trees ---------------------------------------------------------------------------------------
+
+def test_dictionary_of_a_block_equals_plain_counts():
+    import pandas as pd
+    texts = ["the cat sat", "", "the the cat", "no no no", "the cat sat"]
+    trains = [True, True, False, True, False]
+    pdf = pd.DataFrame({"text": texts, "trains": trains})
+    counted, distinct = (ctw._dictionary(pdf, 2, c) for c in (True, False))
+    for word in (True, False):
+        want = {}
+        for text, used in zip(texts, trains):
+            raw = text.encode()
+            if word:
+                keys = ctw.signed(ctw.Words([raw], lower=True).hash).tolist()
+            else:
+                keys = ctw._padded([raw], 2)[0].tolist()
+            for key in keys:
+                want[key] = want.get(key, 0) + used
+        key, n = counted[word]
+        assert dict(zip(key.tolist(), n.tolist())) == want and sorted(want) == key.tolist()
+        assert distinct[word][0].tolist() == key.tolist()
+    nothing = ctw._dictionary(pdf[:0], 2)
+    assert len(nothing[True][0]) == len(nothing[False][0]) == 0
+    keys = np.array([3, 5, 9, 12])
+    assert ctw._places(keys, np.array([9, 3, 12, 3, 5])).tolist() == [2, 0, 3, 0, 1]
