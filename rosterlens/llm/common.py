@@ -301,6 +301,13 @@ def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
     return (best & low).astype(np.int64)
 
 
+def among(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the values are among sorted keys."""
+    if not len(keys):
+        return np.zeros(len(values), bool)
+    return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from rosterlens.llm.common import (Words, block_count, by_id, dropped, id_block, leftmost_minima,
+from rosterlens.llm.common import (Words, among, block_count, by_id, dropped, id_block, leftmost_minima,
                                    named, numbered, only, operator, pieces, sequence_prints,
                                    shared, signed, stored, texts_of, windows)
 
@@ -82,7 +82,7 @@ def _stretches(window: int, anchor: int):
             words = Words(texts_of(pdf))
             start, choice, values = anchors_of(words, window, anchor)
             seed = signed(values[choice]) if len(choice) else np.zeros(0, np.int64)
-            found = np.isin(seed, keys)
+            found = among(keys, seed)
             start = start[found]
             again = words.hashes(1)
             first = signed(windows(words.hash, window)[start]) if len(start) else start

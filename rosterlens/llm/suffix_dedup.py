@@ -26,13 +26,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from rosterlens.llm.common import (U64, block_count, by_id, dropped, id_block, leftmost_minima,
+from rosterlens.llm.common import (U64, among, block_count, by_id, dropped, id_block, leftmost_minima,
                                    mixed, named, numbered, only, operator, pieces, shared, signed,
                                    stored, texts_of, windows)
 
 LENGTH = 100
 ANCHOR = 24            # bytes of an anchor
 ARRAY_BYTES = 1 << 19  # surroundings in one suffix array, about
+CHUNK_BYTES = 1 << 19  # text of a block that is taken apart at once
 MOST_OF_ANCHOR = 100   # different surroundings of an anchor that go to one array
 
 
@@ -169,7 +170,7 @@ def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _seeds(length: int, anchor: int):
     def of(docs: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
         parts = [np.zeros(0, np.int64)]
-        for pdf in pieces(only(docs, heads["key"])):
+        for pdf in pieces(only(docs, heads["key"]), CHUNK_BYTES):
             data = Bytes(texts_of(pdf), length, anchor)
             first = data.runs()[0]
             if len(first):
@@ -188,12 +189,12 @@ def _reads(length: int, anchor: int):
     def of(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         keys = np.sort(known["key"][known["seed"]].to_numpy())
         out = []
-        for pdf in pieces(only(docs, known["key"][~known["seed"]])):
+        for pdf in pieces(only(docs, known["key"][~known["seed"]]), CHUNK_BYTES):
             data = Bytes(texts_of(pdf), length, anchor)
             first, end = data.runs()
             seed = signed(data.values[data.choice[first]]) if len(first) else \
                 np.zeros(0, np.int64)
-            found = np.isin(seed, keys)
+            found = among(keys, seed)
             first, end, seed = first[found], end[found], seed[found]
             begin, count = data.start[first], end - first
             body = data.buffer.tobytes()
