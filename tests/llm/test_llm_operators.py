@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -330,15 +331,15 @@ def test_mix_keeps_every_row_and_stays_within_a_block(spark, docs, empty):
     assert mixing.mixed_order(empty, mixing.square_root_weights(empty)).count() == 0
 
 
-def plain_repeats(texts):
+def plain_repeats(texts, width=50):
     first, out = {}, {}
     for i in sorted(texts):
         words = (texts[i] or "").encode().split()
-        own = {tuple(words[k:k + 50]): k for k in range(len(words) - 49)}
+        own = {tuple(words[k:k + width]): k for k in range(len(words) - width + 1)}
         for w in own:
             first.setdefault(w, i)
-        gone = {p for k in range(len(words) - 49) if first[tuple(words[k:k + 50])] < i
-                for p in range(k, k + 50)}
+        gone = {p for k in range(len(words) - width + 1) if first[tuple(words[k:k + width])] < i
+                for p in range(k, k + width)}
         kept = b" ".join(w for k, w in enumerate(words) if k not in gone)
         out[i] = (len(words), len(gone), hashlib.sha256(kept).hexdigest())
     return out
@@ -351,6 +352,57 @@ def test_word_repeats_match_brute_force(docs, rows, empty):
     assert substrings.repeats(empty).count() == 0
 
 
+def test_extensions_equal_a_look_at_all_windows(spark, monkeypatch):
+    """Few words, so that an anchor has many surroundings: the earliest use settles some of them,
+    others meet only among the rest; also anchors at the edges of texts and twice in one."""
+    rng = random.Random(11)
+    passages = [rng.choices("abcd", k=rng.randint(5, 14)) for _ in range(6)]
+    texts = {}
+    for i in range(160):
+        words = []
+        for _ in range(rng.randint(0, 4)):
+            words += rng.choices("abcdefgh", k=rng.randint(0, 9)) + rng.choice(passages)
+        texts[(1 << 53) + 7 * i] = " ".join(words)
+    monkeypatch.setattr(substrings, "ANCHORS_AT_ONCE", 3)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    for window, anchor in ((8, 3), (7, 6)):
+        want = plain_repeats(texts, window)
+        got = by_id(substrings.repeats(docs, window, anchor))
+        assert {i: tuple(r)[1:] for i, r in got.items()} == want
+        assert sum(w[1] > 0 for w in want.values()) > 50
+
+
+def test_extension_stops_at_the_first_other_word_and_at_edges():
+    texts = [b"p q r A B C s t u", b"q r A B C s x u", b"A B C s"]
+    words = substrings.Words(texts)
+    at = np.array([words.first[d] + texts[d].split().index(b"A") for d in range(3)])
+    context, left, right = substrings.around(words, at[:1], 3, 4)
+    assert (left[0], right[0]) == (3, 3)
+    n = substrings.extended(words, at, 3, 4, context.repeat(3, 0), left.repeat(3), right.repeat(3))
+    assert [list(x) for x in n] == [[3, 2, 0], [3, 1, 1]]
+
+
+def test_a_shared_passage_goes_on_as_runs():
+    """A passage in every document leaves one row a document, not one a window."""
+    passage = prose(21, 200)
+    texts = {i: f"{prose(100 + i, 30)} <{i} {passage} {i}> {prose(400 + i, 30)}" for i in range(40)}
+    words = substrings.Words([t.encode() for t in texts.values()])
+    start, choice, values = substrings.anchors_of(words, 50, 18)
+    at = np.unique(choice)
+    context, left, right = substrings.around(words, at, 18, 32)
+    first = np.unique(values[at], return_index=True)[1]  # of each key, in the earliest document
+    keys, head = values[at][first].view(np.int64), words.doc[at][first]
+    docs = pd.DataFrame({"block": 0, "doc_id": list(texts), "text": list(texts.values())})
+    seeds = pd.DataFrame({"key": keys, "block": 0, "seed": True, "head": head, "left": left[first],
+                          "right": right[first], "context": [c.tobytes() for c in context[first]]})
+    heads = pd.DataFrame({"key": list(texts), "block": 0, "seed": False, "head": 0, "left": 0,
+                          "right": 0, "context": b""})
+    found = substrings._extensions(50, 18)(docs, pd.concat([seeds, heads]))
+    runs = found[found["run"] > 0]
+    assert sorted(runs["doc_id"]) == list(range(1, 40)) and set(runs["run"]) == {151}
+    assert set(runs["start"]) == {31}
+
+
 def plain_cuts(texts, length=100):
     seen, out = set(), {}
     for i in sorted(texts):
