@@ -9,7 +9,9 @@ weights, at every depth on the path; a context never met passes its parent's est
 A prediction depends on the last DEPTH bytes and the byte itself only. So all distinct
 (context, byte) grams are scored once, and every block of documents gets the grams it holds.
 
-Null texts count as empty: one end token, score 0. An empty table gives an empty one.
+Null texts count as empty: one end token, score 0. Repeated rows are learned from and scored one by
+one; a null id stays null. An empty table gives an empty one. Other columns, whatever their names, are
+not looked at. A text beyond ``CHUNK_BYTES`` is handled whole, in about 100 times its bytes of memory.
 """
 
 from __future__ import annotations

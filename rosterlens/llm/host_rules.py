@@ -6,7 +6,8 @@ failures is shrunk towards that of all hosts with a beta prior fitted to the hos
 are joined back to the documents.
 
 A null text has no words and fails its own rules. Rows without a host are judged by their own
-rules alone. Repeated rows count as often as they stand there.
+rules alone. Repeated rows count as often as they stand there; a null id stays null. An empty table
+gives an empty one. The words of one text are arrays in memory, however long it is.
 """
 
 from __future__ import annotations

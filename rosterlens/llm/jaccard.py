@@ -17,7 +17,9 @@ threshold, so only groups that pass this bound are opened and their members comp
 
 Every pair at or above the threshold is found or lies within one group already, so the components
 are exact. No step emits the pairs within a group. Null or wordless texts have no tokens and are
-linked with nothing. Rows that repeat an id are one document if their texts agree.
+linked with nothing. Rows that repeat an id are one document if their texts agree. A null id stays
+null. An empty table gives an empty one. Other columns, whatever their names, are not looked at. A text
+beyond ``CHUNK_BYTES`` is handled whole, in about 100 times its bytes of memory.
 """
 
 from __future__ import annotations

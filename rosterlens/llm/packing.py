@@ -9,7 +9,9 @@ pattern uses up a length, which bounds the plan whatever the number of documents
 find their place in the plan by their rank among the pieces of their length, a rank counted in
 shares of the table, so a length that a third of all pieces have is not ranked in one task.
 
-Null texts are empty: one piece of the end token alone. Ties are dealt by id and piece.
+Null texts are empty: one piece of the end token alone. Ties are dealt by id and piece. Repeated rows
+are packed one by one; a null id stays null. An empty table gives an empty one. Other columns, whatever
+their names, are not looked at. The ids of one text stand in memory whole, however long it is.
 """
 
 from __future__ import annotations

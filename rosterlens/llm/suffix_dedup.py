@@ -14,7 +14,9 @@ bounded size. An anchor with more different surroundings than fit one array is s
 of its ``LENGTH``-byte strings, combined where they are made; nothing is left out.
 
 Copies of a whole text are settled beforehand. A null text is empty. A row without an id takes
-no part: nothing is removed from it. Ids are taken to name one text each.
+no part: nothing is removed from it. Ids are taken to name one text each. An empty table gives an empty
+one. Other columns, whatever their names, are not looked at. A text beyond ``CHUNK_BYTES`` is handled
+whole, in about 100 times its bytes of memory.
 """
 
 from __future__ import annotations

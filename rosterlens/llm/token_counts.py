@@ -4,7 +4,9 @@ Offline, every vocabulary string is encoded alone: those that give exactly one t
 are proven whole. A pre-token among them counts one at sight; only the others are merged, each
 once while it is remembered.
 
-A null text is empty: no bytes, no tokens. Other columns are not looked at.
+A null text is empty: no bytes, no tokens. Other columns are not looked at. Repeated rows are counted
+one by one; a null id stays null. An empty table gives an empty one. The pre-tokens of one text stand in
+memory whole, however long it is.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ points left are compared by cosine in double precision, so the result is exact.
 
 Equal vectors are one point with a weight. Vectors that are null, zero, empty, or hold null or
 non-finite numbers, and those of a null label, link with nothing. Vectors of different lengths
-have no cosine and do not link.
+have no cosine and do not link. Rows of one id with one vector are links of each other. An empty table
+gives an empty one. Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
