@@ -7,13 +7,16 @@ threshold, so only groups that pass this bound are opened and their members comp
 
 1. Equal sets are one class. A class whose tokens are mostly its own cannot be similar to any
    other: this is shown on a fixed quarter of all possible tokens, the same for every document.
-2. The others are grouped: by each of their smallest hashes under a few orders, they are compared
-   with the first class of that hash. What is similar joins its group.
+2. The others are grouped: each is compared with the first class of its smallest hash and joins
+   its group if similar. All other links are for the matrix to find.
 3. Matrix: a token with one group says nothing about others. A class with fewer tokens shared
    between groups than the threshold asks for is done. For the rest, groups are looked up
    by the class's rarest tokens (as many as must meet any similar set), the overlap with each
    group's union is counted, and only groups that reach the threshold are opened. Of an opened
-   group, members are compared that share enough rare differences from what most of it hold.
+   group, a few members are compared first, then those that share enough rare differences from
+   what most of it hold. This is done twice: at first a token shows its largest group alone, so
+   that what belongs to a large group joins it in one step a class; the groups as they are then
+   are looked at in full.
 
 Every pair at or above the threshold is found or lies within one group already, so the components
 are exact. No step emits the pairs within a group. Null or wordless texts have no tokens and are
@@ -30,13 +33,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rosterlens.llm.common import (U64, Words, mixed, named, numbered, operator, pieces,
+from rosterlens.llm.common import (U64, Words, dropped, mixed, named, numbered, operator, pieces,
                                    sequence_prints, signed, stored, texts_of, windows)
 from rosterlens.llm.components import components
 
 SHINGLE = 5
 PERCENT = 80
-ORDERS = 10      # random orders whose smallest hash brings similar documents together
 LIKELY = 8       # members of an opened group that are compared before all others
 SAMPLED = 4      # one in so many possible tokens shows that a document stands alone
 
@@ -74,14 +76,13 @@ def _summaries(width: int):
                 out = pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "n": n})
                 for k in range(2):
                     out[f"print{k}"] = signed(sequence_prints(tokens, first, k))
-                keys = np.zeros((len(pdf), ORDERS), np.int64)
+                key = np.zeros(len(pdf), np.int64)
                 some = n > 0
                 if some.any():
-                    for k in range(ORDERS):
-                        least = np.minimum.reduceat(mixed(tokens + U64(k + 1)), first[:-1][some])
-                        keys[some, k] = signed(least)
+                    key[some] = signed(np.minimum.reduceat(mixed(tokens + U64(1)),
+                                                           first[:-1][some]))
                 sample = tokens % U64(SAMPLED) == 0
-                out["keys"] = list(keys)
+                out["key"] = key
                 out["sample"] = [signed(tokens[a:b][sample[a:b]])
                                  for a, b in zip(first, first[1:])]
                 yield out
@@ -109,42 +110,11 @@ def similar(common: Column, a: Column, b: Column, percent: int) -> Column:
 
 
 def _grouped(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """``doc, group`` and the edges found by comparing classes with heads of their smallest hashes.
-
-    First with the smallest id of the first hash, which joins most of a large group. Those still
-    apart are compared with four members of each of their hashes: smallest and largest by id and
-    by a hash of it.
-    """
-    groups = sets.select("doc", F.col("doc").alias("group"))
-    edges = None
-    own = sets.select("doc", F.col("n").alias("n1"), F.col("tokens").alias("t1"))
-    other = sets.select(F.col("doc").alias("head"), F.col("n").alias("n2"),
-                        F.col("tokens").alias("t2"))
-    fits = (100 * F.col("n1") >= percent * F.col("n2")) \
-        & (100 * F.col("n2") >= percent * F.col("n1"))
-    for orders in (slice(0, 1), slice(0, ORDERS)):
-        keyed = sets.select("doc", F.posexplode(F.slice("keys", 1, orders.stop)).alias(
-            "order", "key")).join(groups, "doc")
-        named = F.struct("doc", "group")
-        mixed_id = F.struct(F.xxhash64("doc"), "doc", "group")
-        heads = keyed.groupBy("order", "key").agg(
-            F.min(named).alias("a"), F.max(named).alias("b"), F.min(mixed_id).alias("c"),
-            F.max(mixed_id).alias("d"), F.min("group").alias("least"),
-            F.max("group").alias("most")).where("least <> most")
-        chosen = F.array("a") if orders.stop == 1 else F.array(
-            "a", "b", *(F.struct(F.col(x)["doc"].alias("doc"), F.col(x)["group"].alias("group"))
-                        for x in "cd"))
-        pairs = keyed.join(heads.select("order", "key", chosen.alias("heads")),
-                           ["order", "key"]).select("doc", "group", F.explode("heads").alias("h"))
-        pairs = pairs.where("group <> h.group").select("doc", F.col("h.doc").alias("head")) \
-            .distinct()
-        common = F.size(F.array_intersect("t1", "t2"))
-        found = stored(pairs.join(own, "doc").join(other, "head").where(fits)
-                       .where(similar(common, F.col("n1"), F.col("n2"), percent))
-                       .select(F.col("doc").alias("a"), F.col("head").alias("b")))
-        edges = found if edges is None else edges.union(found)
-        groups = stored(labelled(sets.select("doc"), edges))
-    return groups, edges
+    """``doc, group`` and the edges of classes that are similar to the first of their hash."""
+    heads = sets.groupBy("key").agg(F.min("doc").alias("b"))
+    pairs = sets.select("doc", "key").join(heads, "key").where("doc <> b").select("doc", "b")
+    edges = stored(_verified(pairs, sets, percent).withColumnRenamed("doc", "a"))
+    return stored(labelled(sets.select("doc"), edges)), edges
 
 
 def labelled(docs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -154,18 +124,25 @@ def labelled(docs: DataFrame, edges: DataFrame) -> DataFrame:
         "group", F.coalesce("_group", "doc")).drop("_group")
 
 
-def _between_groups(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Edges between members of different groups, by way of the token-group matrix."""
-    rows = stored(sets.join(groups, "doc").select("doc", "n", "group",
-                                                  F.explode("tokens").alias("token")))
-    contested = stored(rows.groupBy("token").agg(
+def _contested(rows: DataFrame, percent: int) -> DataFrame:
+    """Of ``doc, n, group, token``, the tokens that several groups hold, with their use ``df``.
+
+    A class is done if the tokens that it shares with other groups are too few.
+    """
+    shown = stored(rows.groupBy("token").agg(
         F.min("group").alias("least"), F.max("group").alias("most"), F.count("*").alias("df"))
         .where("least <> most").select("token", "df"))
-    known = rows.join(contested, "token")
-    # a class is done if the tokens that it shares with other groups are too few
+    known = rows.join(shown, "token")
     left = stored(known.groupBy("doc", "n").agg(F.count("*").alias("m"))
                   .where(F.col("m") >= least_overlap(F.col("n"), percent)).select("doc"))
-    member = stored(known.join(left, "doc"))
+    return stored(known.join(left, "doc"))
+
+
+def _opened(member: DataFrame, groups: DataFrame, percent: int, largest: bool) -> DataFrame:
+    """``doc, other``: the groups whose union of tokens covers a class as far as a link needs.
+
+    With ``largest``, a token shows the largest of its groups only.
+    """
     # Sorted by use, the first token that two similar sets share is among the rarest of both, as
     # many as leave fewer than the threshold behind them.
     rank = F.row_number().over(Window.partitionBy("doc").orderBy("df", "token"))
@@ -176,6 +153,10 @@ def _between_groups(sets: DataFrame, groups: DataFrame, percent: int) -> DataFra
         .select("doc", "n", "group", "token", "rank", "m").join(sizes, "group"))
     found = rarest.groupBy("token", F.col("group").alias("other")).agg(
         F.min("n").alias("small"), F.max("n").alias("large"), F.min("size").alias("others_size"))
+    if largest:
+        found = found.groupBy("token").agg(F.min(F.struct(
+            (-F.col("others_size")).alias("_"), "other", "small", "large", "others_size"))
+            .alias("top")).select("token", "top.*").drop("_")
     # no member that fits is smaller than this, so a similar one shares so many tokens at least
     fitting = F.greatest("small", least_overlap(F.col("n"), percent))
     needed = F.ceil(percent * (F.col("n") + fitting) / (100 + percent)).cast("long")
@@ -188,28 +169,61 @@ def _between_groups(sets: DataFrame, groups: DataFrame, percent: int) -> DataFra
         & (100 * F.col("large") >= percent * F.col("n"))
         & (F.col("rank") <= F.col("m") - needed + 1))
         .groupBy("doc", "other").agg(F.min(needed).alias("needed")))
+    dropped(rarest)
     unions = member.select("token", F.col("group").alias("other")).distinct()
     opened = stored(member.select("doc", "token").join(candidates, "doc")
                     .join(unions, ["token", "other"]).groupBy("doc", "other", "needed")
                     .agg(F.count("*").alias("bound")).where("bound >= needed")
                     .select("doc", "other"))
-    # one link joins a class to a group: first its smallest id and a few others, and what is joined
-    # by these needs no more looking at
-    heads = groups.groupBy("group").agg(F.array_distinct(F.array(
+    dropped(candidates)
+    return opened
+
+
+def _heads(groups: DataFrame) -> DataFrame:
+    """Of each group, ``other``, the smallest id and a few more, and how many it has."""
+    return groups.groupBy(F.col("group").alias("other")).agg(F.array_distinct(F.array(
         F.min("doc"), *(F.min_by("doc", F.xxhash64("doc", F.lit(k))) for k in range(LIKELY - 1))))
-        .alias("heads"), F.count("*").alias("size")).withColumnRenamed("group", "other")
-    likely = opened.join(heads, "other").select("doc", "other", F.explode("heads").alias("b"))
-    first = stored(_verified(likely, sets, percent))
-    joined = labelled(groups.select(F.col("group").alias("doc")).distinct(), first.join(
+        .alias("heads"), F.count("*").alias("size"))
+
+
+def _to_heads(opened: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of classes to the heads of groups opened for them: one link joins two groups."""
+    pairs = opened.join(_heads(groups), "other").select(
+        "doc", "other", F.explode("heads").alias("b"))
+    return stored(_verified(pairs, sets, percent))
+
+
+def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``group, now``: the group that each one is part of with the links ``doc, other``."""
+    joined = labelled(groups.select(F.col("group").alias("doc")).distinct(), links.join(
         groups, "doc").select(F.col("group").alias("a"), F.col("other").alias("b")))
-    joined = stored(joined)
-    apart = stored(opened.join(heads.where(F.size("heads") < F.col("size")).select("other"), "other")
-                   .join(groups, "doc").join(
-        joined.select(F.col("doc").alias("group"), F.col("group").alias("now")), "group").join(
-        joined.select(F.col("doc").alias("other"), F.col("group").alias("others_now")),
-        "other").where("now <> others_now").select("doc", "other"))
-    return first.select(F.col("doc").alias("a"), "b").union(
-        _in_opened(apart, rows, sets, groups, percent).select(F.col("doc").alias("a"), "b"))
+    return stored(joined.select(F.col("doc").alias("group"), F.col("group").alias("now")))
+
+
+def _between_groups(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Edges between members of different groups, by way of the token-group matrix."""
+    rows = stored(sets.join(groups, "doc").select("doc", "n", "group",
+                                                  F.explode("tokens").alias("token")))
+    member = _contested(rows, percent)
+    first = _to_heads(_opened(member, groups, percent, True), groups, sets, percent)
+    groups = stored(groups.join(_merged(groups, first), "group").select(
+        "doc", F.col("now").alias("group")))
+    again = stored(member.select("doc", "n", "token").join(groups, "doc"))
+    dropped(member)
+    full = _contested(again, percent)
+    dropped(again)
+    opened = _opened(full, groups, percent, False)
+    dropped(full)
+    second = _to_heads(opened, groups, sets, percent)
+    # what is joined by the heads needs no more looking at
+    now = _merged(groups, second)
+    apart = stored(opened.join(_heads(groups).where(F.size("heads") < F.col("size"))
+                               .select("other"), "other").join(groups, "doc").join(now, "group")
+                   .join(now.select(F.col("group").alias("other"),
+                                    F.col("now").alias("others_now")), "other")
+                   .where("now <> others_now").select("doc", "other"))
+    edges = first.union(second).union(_in_opened(apart, rows, sets, groups, percent))
+    return edges.select(F.col("doc").alias("a"), "b")
 
 
 def _in_opened(apart: DataFrame, rows: DataFrame, sets: DataFrame, groups: DataFrame,
@@ -223,9 +237,9 @@ def _in_opened(apart: DataFrame, rows: DataFrame, sets: DataFrame, groups: DataF
     """
     size = groups.groupBy(F.col("group").alias("other")).agg(F.count("*").alias("size"))
     size = apart.select("other").distinct().join(size, "other")
-    use = stored(rows.select(F.col("group").alias("other"), "token").join(
-        size, "other").groupBy("other", "token").agg(F.count("*").alias("use"),
-                                                     F.first("size").alias("size"))
+    held_by = groups.select("doc", F.col("group").alias("other")).join(size, "other")
+    use = stored(rows.select("doc", "token").join(held_by, "doc").groupBy("other", "token").agg(
+        F.count("*").alias("use"), F.first("size").alias("size"))
         .withColumn("core", 2 * F.col("use") > F.col("size")))
     core = size.select("other").join(use.where("core").groupBy("other").agg(
         F.collect_list("token").alias("core")), "other", "left").withColumn(
@@ -273,13 +287,15 @@ def _in_opened(apart: DataFrame, rows: DataFrame, sets: DataFrame, groups: DataF
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(doc, b)`` whose whole sets are similar."""
+    """The rows of ``doc, b`` whose whole sets are similar."""
     own = sets.select("doc", F.col("n").alias("n1"), F.col("tokens").alias("t1"))
     other = sets.select(F.col("doc").alias("b"), F.col("n").alias("n2"),
                         F.col("tokens").alias("t2"))
+    fits = (100 * F.col("n1") >= percent * F.col("n2")) \
+        & (100 * F.col("n2") >= percent * F.col("n1"))
     common = F.size(F.array_intersect("t1", "t2"))
-    return pairs.select("doc", "other", "b").join(own, "doc").join(other, "b").where(
-        similar(common, F.col("n1"), F.col("n2"), percent)).select("doc", "other", "b")
+    return pairs.join(own, "doc").join(other, "b").where(fits).where(
+        similar(common, F.col("n1"), F.col("n2"), percent)).select(*pairs.columns)
 
 
 @operator
@@ -289,7 +305,7 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE
     ``class_id`` is the smallest id with the same set. Ids are taken to name one text each.
     """
     all_docs = stored(numbered(named(docs, "text").mapInPandas(
-        _summaries(width), "doc_id string, n long, print0 long, print1 long, keys array<long>, "
+        _summaries(width), "doc_id string, n long, print0 long, print1 long, key long, "
                            "sample array<long>")))
     prints = ["print0", "print1", "n"]
     classes = all_docs.where("n > 0 and doc_id is not null").groupBy(*prints).agg(
@@ -303,9 +319,9 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE
     single = first.select("doc_id", F.explode("sample").alias("token")).groupBy("token").agg(
         F.count("*").alias("df"), F.min("doc_id").alias("doc_id")).where("df = 1")
     alone = single.groupBy("doc_id").agg(F.count("*").alias("own"))
-    left = stored(first.select("doc_id", "n", "keys").join(alone, "doc_id", "left").where(
+    left = stored(first.select("doc_id", "n", "key").join(alone, "doc_id", "left").where(
         F.coalesce("own", F.lit(0)) <= F.col("n") - least_overlap(F.col("n"), percent)).select(
-        F.col("doc_id").alias("doc"), "n", "keys"))
+        F.col("doc_id").alias("doc"), "n", "key"))
 
     texts = docs.join(left.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi") \
         .select("doc_id", "text").mapInPandas(_full_sets(width), "doc long, tokens array<long>")
