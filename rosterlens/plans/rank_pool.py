@@ -85,7 +85,7 @@ def score_facts(facts: DataFrame, spec: JobSpec, role_text: str, lexicon: Lexico
     """
     local = scratch.keep(local_parts(facts, spec, lexicon, settings))
     texts = local.select("row_id", "terms") if features is None else of_pool(
-        features.select("row_id", "terms"), local, "row_id")
+        features.select("row_id", "terms"), local, "row_id", scratch)
     sims = scratch.keep(similarities(texts, "row_id", role_text, settings, local, scratch))
     scaled = percentile_scaled(sims, "tfidf", "_scaled", settings, scratch).select(
         "row_id", F.col("_scaled").alias("tfidf"))

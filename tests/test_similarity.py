@@ -8,10 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from rosterlens import Settings
+from rosterlens.operators import tfidf
 from rosterlens.operators.dense import dense_cosine, one_per_key
 from rosterlens.operators.ordering import exact_percentile, number_rows
-from rosterlens.operators.text_features import stop_words, with_terms, with_text_features
+from rosterlens.operators.text_features import of_pool, stop_words, with_terms, with_text_features
 from rosterlens.operators.tfidf import percentile_scaled, similarities
+from rosterlens.sources.scratch import Scratch
 
 STOP = ("the", "of")
 TEXTS = ["The cost of data data pipelines", "data pipelines and ranking", "", "zzz",
@@ -101,3 +103,47 @@ def test_text_features_replace_the_text(spark, lexicon):
         ("learning rest", 1), ("rest api", 1), ("api api", 1)}
     for k in (2, 3):
         assert got[k]["term_hits"] == [0] * 4 and got[k]["found"] == [] and got[k]["terms"] == []
+
+
+def _table(spark, folder, rows, schema):
+    spark.createDataFrame(rows, schema).write.parquet(str(folder))
+    return spark.read.parquet(str(folder))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_are_not_exchanged_to_meet_the_pool_or_a_capped_vocabulary(spark, tmp_path):
+    rows = [(i * 7919 % 1_000_003, [(f"w{i % 500}", 1), (f"x{i}", 2), ("hot", 1)]) for i in range(20_000)]
+    texts = _table(spark, tmp_path / "t", rows, "k long, terms array<struct<term:string,tf:int>>")
+    pool = _table(spark, tmp_path / "p", [(r[0],) for r in rows[3:]], "k long")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        with Scratch(spark) as scratch:
+            known = of_pool(texts, pool, "k", scratch)
+            assert "SortMergeJoin" not in _plan(known)
+            got = similarities(texts, "k", "hot w7 w8", Settings(max_features=50), None, scratch)
+            assert "SortMergeJoin [term" not in _plan(got)
+            assert known.count() == len(rows) - 3 and got.where("tfidf > 0").count() == len(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_an_uncapped_vocabulary_is_met_whole_beyond_its_common_terms(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{i * j % 17}" for j in range(1, 9))) for i in range(60)]
+    df = with_terms(spark.createDataFrame(rows, "k int, t string"), "t", STOP)
+    want = {r["k"]: r["tfidf"] for r in similarities(
+        df, "k", "w3 w4 w6 w16", Settings(max_features=10_000)).collect()}
+    monkeypatch.setattr(tfidf, "COMMON_TERMS", 3)
+    got = {r["k"]: r["tfidf"] for r in similarities(
+        df, "k", "w3 w4 w6 w16", Settings(max_features=None)).collect()}
+    assert got == pytest.approx(want, rel=1e-12) and max(want.values()) > 0
+
+
+def test_counts_of_terms_follow_their_sorted_order(spark):
+    df = spark.createDataFrame([(1, "bb aa bb bb"), (2, ""), (3, None), (4, "zz")], "k int, t string")
+    got = {r["k"]: [tuple(x) for x in r["terms"]] for r in with_terms(df, "t", ()).collect()}
+    assert got == {1: [("aa", 1), ("aa bb", 1), ("bb", 3), ("bb aa", 1), ("bb bb", 1)], 2: [], 3: [],
+                   4: [("zz", 1)]}
