@@ -51,9 +51,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in training sequences."""
+    """Pieces of all documents with their places in training sequences, which follow the mix."""
     hand_out(spark)
-    return packing.pack_documents(docs, public_tokenizers.path(PACKED_WITH), LIMIT)
+    return packing.pack_documents(packing.in_file_order(docs), public_tokenizers.path(PACKED_WITH), LIMIT)
 
 
 STAGES = [("language_id", recognised), ("ngram_jaccard", one_of_each_group),

@@ -79,6 +79,11 @@ def operator(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+def scratch_of_run() -> Scratch | None:
+    """The folder of the run, for helpers that keep tables by themselves."""
+    return _RUN.get()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the folder of the run and read it back."""
     run = _RUN.get()

@@ -16,6 +16,7 @@ their names, are not looked at. The ids of one text stand in memory whole, howev
 
 from __future__ import annotations
 
+import itertools
 import json
 import zlib
 from collections.abc import Iterator
@@ -23,13 +24,16 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rosterlens.llm.common import named, numbered, operator, pieces, stored
+from rosterlens.llm.common import named, numbered, operator, pieces, scratch_of_run, stored
 from rosterlens.llm.token_counts import byte_letters
+from rosterlens.operators.ordering import number_rows
 
 CAPACITY = 2048
 END = 0
+STAND_BITS = 16   # rows of a file that are ranked together: 2^16
 
 
 # --- tokens ----------------------------------------------------------------------------------
@@ -82,30 +86,53 @@ def ids_of(path: str) -> Ids:
     return Ids(path)
 
 
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """Add ``stand``, ``(file, row)``: where a row lies in the written table that it is read from.
+
+    Files follow each other by name, as they are written. Rows that come from no file stand in the
+    order of their partitions.
+    """
+    try:
+        place = docs.select("*", F.struct(F.col("_metadata.file_name").alias("file"),
+                                          F.col("_metadata.row_index").alias("row")).alias("stand"))
+        place.schema   # analysed here: only files have it
+        return place
+    except AnalysisException:
+        return docs.withColumn("stand", F.struct(
+            F.lit("").alias("file"), F.monotonically_increasing_id().alias("row")))
+
+
 def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of all documents: ``doc_id, piece, start, length, ids_crc32``.
+    """Pieces of all documents: ``doc_id, piece, start, length, ids_crc32``, and ``stand``, if there.
 
     Only a document longer than ``capacity`` is cut, into full pieces after a first one that
     takes what is left over.
     """
     end = np.array([END], "<u4").tobytes()
+    ordered = "stand" in docs.columns
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["file", "row"] if ordered else [])]
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = ids_of(tokenizer)
         for batch in batches:
             for pdf in pieces(batch):
                 out = []
-                for doc, text in zip(pdf["doc_id"], pdf["text"]):
+                stands = zip(pdf["file"], pdf["row"]) if ordered else itertools.repeat(())
+                for doc, text, stand in zip(pdf["doc_id"], pdf["text"], stands):
                     coded = ids.of(text or "") + end
                     n = len(coded) // 4
                     edges = [0, *range(n % capacity or capacity, n + 1, capacity)] \
                         if n > capacity else [0, n]
-                    out += [(doc, k, a, b - a, zlib.crc32(coded[4 * a:4 * b]))
+                    out += [(doc, k, a, b - a, zlib.crc32(coded[4 * a:4 * b]), *stand)
                             for k, (a, b) in enumerate(zip(edges, edges[1:]))]
-                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pd.DataFrame(out, columns=names)
 
-    return numbered(named(docs, "text").mapInPandas(
-        of, "doc_id string, piece int, start long, length long, ids_crc32 long"))
+    kinds = "doc_id string, piece int, start long, length long, ids_crc32 long"
+    if not ordered:
+        return numbered(named(docs, "text").mapInPandas(of, kinds))
+    found = numbered(named(docs, "text", "stand.file", "stand.row").mapInPandas(
+        of, f"{kinds}, file string, row long"))
+    return found.withColumn("stand", F.struct("file", "row")).drop("file", "row")
 
 
 # --- plan ------------------------------------------------------------------------------------
@@ -183,28 +210,54 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
 # --- placement -------------------------------------------------------------------------------
 
 def ranked(parts: DataFrame) -> DataFrame:
-    """``rank`` of each piece among those of its length, from 0.
+    """``rank`` of each piece among those of its length, from 0: by ``stand``, if it is there.
 
-    Ranks are counted within (length, share) and shifted by the counts of earlier shares.
+    Ranks are counted within (length, share) and shifted by the counts of earlier shares. A share is
+    dealt by a hash, or has rows that stand together.
     """
     shares = 8 * int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    share = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(shares))
+    share, order = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(shares)), ("doc_id", "piece")
+    if "stand" in parts.columns:
+        share = F.struct("stand.file", F.shiftright("stand.row", STAND_BITS).alias("part"))
+        order = ("stand", "piece")
     dealt = parts.withColumn("share", share)
     sizes = dealt.groupBy("length", "share").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("share")
                              .rowsBetween(Window.unboundedPreceding, -1))
     shift = sizes.select("length", "share", F.coalesce(before, F.lit(0)).alias("shift"))
-    own = F.row_number().over(Window.partitionBy("length", "share").orderBy("doc_id", "piece"))
+    own = F.row_number().over(Window.partitionBy("length", "share").orderBy(*order))
     return (dealt.withColumn("own", own).join(shift, ["length", "share"])
             .withColumn("rank", F.col("shift") + F.col("own") - 1).drop("share", "own", "shift"))
 
 
 def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to pieces with a ``length`` of 1 to ``capacity``."""
+    """Add ``sequence_id`` and ``offset`` to pieces with a ``length`` of 1 to ``capacity``.
+
+    Where pieces have a ``stand``, which then goes, those of a length are dealt in its order, and
+    sequences are numbered by the first of theirs.
+    """
+    if "stand" in parts.columns:
+        return _in_turn(stored(_packed(parts, capacity)))
+    return _packed(parts, capacity)
+
+
+def _in_turn(placed: DataFrame) -> DataFrame:
+    """Number sequences, from 0, by their earliest piece."""
+    firsts = placed.groupBy("sequence_id").agg(F.min(F.struct("stand", "piece")).alias("first"))
+    turns = number_rows(firsts, "turn", F.col("first"), scratch=scratch_of_run())
+    return placed.drop("stand").join(turns.drop("first"), "sequence_id").select(
+        *[c for c in placed.columns if c not in ("sequence_id", "offset", "stand")],
+        (F.col("turn") - 1).cast("long").alias("sequence_id"), "offset")
+
+
+def _packed(parts: DataFrame, capacity: int) -> DataFrame:
     counts = parts.groupBy("length").count().collect()  # one row a length
     places = slots(plan({r[0]: r[1] for r in counts}, capacity))
     handed = parts.sparkSession.sparkContext.broadcast(places)
     ordered = ranked(parts)
+    stand = "stand" in parts.columns   # flat on its way through pandas
+    if stand:
+        ordered = ordered.select("*", "stand.file", "stand.row").drop("stand")
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = handed.value
@@ -221,11 +274,12 @@ def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     kinds = ", ".join(f"`{c}` {'string' if c == 'doc_id' else t}"
                       for c, t in ordered.drop("rank").dtypes)
-    return numbered(named(ordered, *[c for c in ordered.columns if c != "doc_id"]).mapInPandas(
+    found = numbered(named(ordered, *[c for c in ordered.columns if c != "doc_id"]).mapInPandas(
         placed, f"{kinds}, sequence_id long, offset long"))
+    return found.withColumn("stand", F.struct("file", "row")).drop("file", "row") if stand else found
 
 
 @operator
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """Cut, plan and place all documents."""
+    """Cut, plan and place all documents; with :func:`in_file_order`, in the order of the table."""
     return packed(stored(cut(docs, tokenizer, capacity)), capacity)

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from rosterlens.llm import (alignment, ctw, host_rules, jaccard, language_id, mixing, packing,
                             quality, substrings, suffix_dedup, token_counts, vector_codes, vectors)
 
@@ -256,3 +257,28 @@ def test_dictionary_of_a_block_equals_plain_counts():
     assert len(nothing[True][0]) == len(nothing[False][0]) == 0
     keys = np.array([3, 5, 9, 12])
     assert ctw._places(keys, np.array([9, 3, 12, 3, 5])).tolist() == [2, 0, 3, 0, 1]
+
+
+def _pipeline_packed(spark, docs, path):
+    docs.write.parquet(str(path))
+    out = corpus_pipeline.packed(spark, spark.read.parquet(str(path)), "")
+    return sorted((r["sequence_id"], r["offset"], r["doc_id"], r["piece"]) for r in out.collect())
+
+
+def test_the_order_of_the_mix_decides_the_packed_sequences(spark, tmp_path):
+    rows = [(i, " ".join(["word"] * (40 + 30 * (i % 11)))) for i in range(160)]
+    schema = "doc_id long, text string"
+    kept = {r[0]: r[1] for r in rows}
+    there = spark.createDataFrame(rows, schema)
+    mixes = {way: there.repartitionByRange(3, F.col("doc_id") * way).sortWithinPartitions(
+        F.col("doc_id") * way) for way in (1, -1)}
+    got = {way: _pipeline_packed(spark, df, tmp_path / f"m{way}") for way, df in mixes.items()}
+    assert got[1] != got[-1]
+    for way, found in got.items():
+        assert sorted(f[2] for f in found) == sorted(kept)
+        first = {}
+        for sequence, _, doc, _ in found:
+            first[sequence] = min(first.get(sequence, way * doc), way * doc)
+        # sequences are numbered without gaps by their earliest document of the mix
+        assert [first[s] for s in sorted(first)] == sorted(first.values())
+        assert sorted(first) == list(range(len(first))) and first[0] == min(way * d for d in kept)
