@@ -10,7 +10,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from checks import bindings  # noqa: E402
-from checks.catalog import QUERIES  # noqa: E402
+from checks.catalog import QUERIES, best_for  # noqa: E402
 from checks.oracle import ORACLE  # noqa: E402
 from checks.parameters import LEXICON, SETTINGS  # noqa: E402
 from rosterlens.operators.dense import one_per_key  # noqa: E402
@@ -55,9 +55,9 @@ def test_every_query_has_sql():
 
 
 def test_many_roles_equal_runs_for_one(spark):
-    """``topk_per_jd`` has no SQL: some of its roles are run alone over the same customers."""
+    """``topk_per_jd`` has no SQL: some roles are run alone over the same customers."""
     got = {}
-    for r in QUERIES["topk_per_jd"](spark, SF).collect():
+    for r in best_for(spark, SF, bindings.jobs(spark, SF)).collect():
         got.setdefault(r["jd_id"], []).append((r["rank"], r["candidate_id"], r["score"]))
     jobs = {r["jd_id"]: r["text"] for r in bindings.jobs(spark, SF).collect()}
     assert set(got) == set(jobs) and all(len(x) == 10 for x in got.values())
@@ -72,6 +72,13 @@ def test_many_roles_equal_runs_for_one(spark):
         assert sorted(got[jd]) == sorted(tuple(r) for r in want), jobs[jd]
 
 
+def test_roles_of_ids_divisible_by_100_are_the_queries(spark):
+    asked = bindings.jobs(spark, SF).where("jd_id % 100 = 0")
+    got = sorted(map(tuple, QUERIES["topk_per_jd"](spark, SF).collect()))
+    assert got == sorted(map(tuple, best_for(spark, SF, asked).collect()))
+    assert {r[0] for r in got} == {r["jd_id"] for r in asked.collect()}
+
+
 @pytest.mark.parametrize("name", CHECKED)
 def test_query_equals_sql(spark, database, name):
     assert plain(QUERIES[name](spark, SF).toPandas()) == plain(database.execute(ORACLE[name]).df())
