@@ -94,9 +94,8 @@ def _full_sets(width: int):
         for batch in batches:
             for pdf in pieces(batch):
                 tokens, first = shingle_sets(texts_of(pdf), width)
-                yield pd.DataFrame({"doc": pdf["doc_id"].to_numpy(),
-                                    "tokens": [signed(tokens[a:b])
-                                               for a, b in zip(first, first[1:])]})
+                yield pdf.drop(columns="text").rename(columns={"doc_id": "doc"}).assign(
+                    tokens=[signed(tokens[a:b]) for a, b in zip(first, first[1:])])
     return of
 
 
@@ -109,12 +108,24 @@ def similar(common: Column, a: Column, b: Column, percent: int) -> Column:
     return 100 * common >= percent * (a + b - common)
 
 
-def _grouped(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """``doc, group`` and the edges of classes that are similar to the first of their hash."""
-    heads = sets.groupBy("key").agg(F.min("doc").alias("b"))
-    pairs = sets.select("doc", "key").join(heads, "key").where("doc <> b").select("doc", "b")
-    edges = stored(_verified(pairs, sets, percent).withColumnRenamed("doc", "a"))
-    return stored(labelled(sets.select("doc"), edges)), edges
+def _headed(left: DataFrame) -> DataFrame:
+    """``doc_id, n, head, paired``: the first class of the hash, and whether it has others."""
+    heads = left.groupBy("key").agg(F.min("doc").alias("head"),
+                                    (F.count("*") > 1).alias("paired"))
+    return left.join(heads, "key").select(F.col("doc").alias("doc_id"), "n", "head", "paired")
+
+
+def _grouped(sets: DataFrame, percent: int) -> DataFrame:
+    """``doc, n, tokens, group``: the group is the first class of the hash, if similar to it.
+
+    Only sets that have another one to be compared with are exchanged.
+    """
+    first = sets.where("paired and doc = head").select(
+        "head", F.col("n").alias("n2"), F.col("tokens").alias("t2"))
+    same = _alike("n", "tokens", "n2", "t2", percent)
+    met = sets.where("doc <> head").join(first, "head").select(
+        "doc", "n", "tokens", F.when(same, F.col("head")).otherwise(F.col("doc")).alias("group"))
+    return stored(met.union(sets.where("doc = head").select("doc", "n", "tokens", "head")))
 
 
 def labelled(docs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -190,7 +201,7 @@ def _to_heads(opened: DataFrame, groups: DataFrame, sets: DataFrame, percent: in
     """Links of classes to the heads of groups opened for them: one link joins two groups."""
     pairs = opened.join(_heads(groups), "other").select(
         "doc", "other", F.explode("heads").alias("b"))
-    return stored(_verified(pairs, sets, percent))
+    return _verified(pairs, sets, percent)
 
 
 def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
@@ -202,9 +213,8 @@ def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
 
 def _between_groups(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Edges between members of different groups, by way of the token-group matrix."""
-    rows = stored(sets.join(groups, "doc").select("doc", "n", "group",
-                                                  F.explode("tokens").alias("token")))
-    member = _contested(rows, percent)
+    member = _contested(sets.select("doc", "n", "group", F.explode("tokens").alias("token")),
+                        percent)
     first = _to_heads(_opened(member, groups, percent, True), groups, sets, percent)
     groups = stored(groups.join(_merged(groups, first), "group").select(
         "doc", F.col("now").alias("group")))
@@ -222,11 +232,11 @@ def _between_groups(sets: DataFrame, groups: DataFrame, percent: int) -> DataFra
                    .join(now.select(F.col("group").alias("other"),
                                     F.col("now").alias("others_now")), "other")
                    .where("now <> others_now").select("doc", "other"))
-    edges = first.union(second).union(_in_opened(apart, rows, sets, groups, percent))
+    edges = first.union(second).union(_in_opened(apart, sets, groups, percent))
     return edges.select(F.col("doc").alias("a"), "b")
 
 
-def _in_opened(apart: DataFrame, rows: DataFrame, sets: DataFrame, groups: DataFrame,
+def _in_opened(apart: DataFrame, sets: DataFrame, groups: DataFrame,
                percent: int) -> DataFrame:
     """Links of ``(doc, other)`` to members of the group ``other``.
 
@@ -236,9 +246,11 @@ def _in_opened(apart: DataFrame, rows: DataFrame, sets: DataFrame, groups: DataF
     of these differences, which few do even where all members have nearly the same tokens.
     """
     size = groups.groupBy(F.col("group").alias("other")).agg(F.count("*").alias("size"))
-    size = apart.select("other").distinct().join(size, "other")
-    held_by = groups.select("doc", F.col("group").alias("other")).join(size, "other")
-    use = stored(rows.select("doc", "token").join(held_by, "doc").groupBy("other", "token").agg(
+    size = stored(apart.select("other").distinct().join(size, "other"))
+    held_by = stored(groups.select("doc", F.col("group").alias("other")).join(size, "other"))
+    sets = _picked(apart.select("doc").union(held_by.select("doc")), sets)
+    use = stored(sets.join(held_by, "doc").select(
+        "other", "size", F.explode("tokens").alias("token")).groupBy("other", "token").agg(
         F.count("*").alias("use"), F.first("size").alias("size"))
         .withColumn("core", 2 * F.col("use") > F.col("size")))
     core = size.select("other").join(use.where("core").groupBy("other").agg(
@@ -255,8 +267,7 @@ def _in_opened(apart: DataFrame, rows: DataFrame, sets: DataFrame, groups: DataF
                       .withColumn("w", weight.cast("long")))
 
     asking = differences(apart)
-    inside = differences(groups.select("doc", F.col("group").alias("other")).join(
-        size.select("other"), "other"))
+    inside = differences(held_by.select("doc", "other"))
     nearest = inside.groupBy("other").agg(F.min("w").alias("least"),
                                           F.min_by("doc", F.struct("w", "doc")).alias("b"))
     asking = asking.join(nearest, "other")
@@ -286,16 +297,30 @@ def _in_opened(apart: DataFrame, rows: DataFrame, sets: DataFrame, groups: DataF
     return sure.union(_verified(pairs, sets, percent))
 
 
+def _picked(docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets of some classes: wide rows move once, whatever is joined to them after that."""
+    wanted = stored(docs.distinct())
+    return stored(sets.select("doc", "n", "tokens").join(wanted, "doc", "left_semi"))
+
+
+def _alike(n1: str, t1: str, n2: str, t2: str, percent: int) -> Column:
+    """Whether two whole sets of these sizes are similar."""
+    a, b = F.col(n1), F.col(n2)
+    fits = (100 * a >= percent * b) & (100 * b >= percent * a)
+    return fits & similar(F.size(F.array_intersect(t1, t2)), a, b, percent)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The rows of ``doc, b`` whose whole sets are similar."""
-    own = sets.select("doc", F.col("n").alias("n1"), F.col("tokens").alias("t1"))
-    other = sets.select(F.col("doc").alias("b"), F.col("n").alias("n2"),
+    pairs = stored(pairs)
+    some = _picked(pairs.select("doc").union(pairs.select(F.col("b").alias("doc"))), sets)
+    own = some.select("doc", F.col("n").alias("n1"), F.col("tokens").alias("t1"))
+    other = some.select(F.col("doc").alias("b"), F.col("n").alias("n2"),
                         F.col("tokens").alias("t2"))
-    fits = (100 * F.col("n1") >= percent * F.col("n2")) \
-        & (100 * F.col("n2") >= percent * F.col("n1"))
-    common = F.size(F.array_intersect("t1", "t2"))
-    return pairs.join(own, "doc").join(other, "b").where(fits).where(
-        similar(common, F.col("n1"), F.col("n2"), percent)).select(*pairs.columns)
+    found = stored(pairs.join(own, "doc").join(other, "b").where(
+        _alike("n1", "t1", "n2", "t2", percent)).select(*pairs.columns))
+    dropped(some)
+    return found
 
 
 @operator
@@ -314,19 +339,26 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE
         "doc_id", F.col("n").alias("n_shingles"), "class_id")
     narrow = stored(narrow)
 
-    heads = narrow.where("doc_id = class_id").select("doc_id").distinct()
-    first = all_docs.join(heads, "doc_id", "left_semi").where("n > 0").dropDuplicates(["doc_id"])
+    # copies are few: the first of each class is what they leave, so the others are not exchanged
+    copies = stored(narrow.where("doc_id <> class_id").select("doc_id").distinct())
+    first = all_docs.join(copies, "doc_id", "left_anti").where("n > 0 and doc_id is not null")
     single = first.select("doc_id", F.explode("sample").alias("token")).groupBy("token").agg(
-        F.count("*").alias("df"), F.min("doc_id").alias("doc_id")).where("df = 1")
+        F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last")
     alone = single.groupBy("doc_id").agg(F.count("*").alias("own"))
-    left = stored(first.select("doc_id", "n", "key").join(alone, "doc_id", "left").where(
+    once = first.select("doc_id", "n", "key").dropDuplicates(["doc_id"])
+    left = stored(once.join(alone, "doc_id", "left").where(
         F.coalesce("own", F.lit(0)) <= F.col("n") - least_overlap(F.col("n"), percent)).select(
         F.col("doc_id").alias("doc"), "n", "key"))
 
-    texts = docs.join(left.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi") \
-        .select("doc_id", "text").mapInPandas(_full_sets(width), "doc long, tokens array<long>")
-    sets = stored(left.join(texts, "doc").dropDuplicates(["doc"]))
-    groups, edges = _grouped(sets, percent)
+    dropped(all_docs)
+    # what is known of a class goes through the step that reads its text, so sets are not joined
+    told = stored(docs.select("doc_id", "text").join(_headed(left), "doc_id").dropDuplicates(
+        ["doc_id"]).mapInPandas(_full_sets(width), "doc long, n long, head long, paired boolean, "
+                                                   "tokens array<long>"))
+    sets = _grouped(told, percent)
+    dropped(told)
+    groups = stored(sets.select("doc", "group"))
+    edges = groups.where("doc <> group").select(F.col("doc").alias("a"), F.col("group").alias("b"))
     edges = edges.union(_between_groups(sets, groups, percent))
     final = labelled(left.select("doc"), stored(edges)).select(
         F.col("doc").alias("class_id"), "group")

@@ -249,6 +249,26 @@ def test_jaccard_groups_match_brute_force(spark, docs, rows, empty):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == plain_groups(texts)
 
 
+def test_sets_without_a_partner_are_not_exchanged(spark):
+    """What is moved to compare sets with the first of their hash, and sets by pairs."""
+    sets = spark.createDataFrame(
+        [(i, 1, i, False, [i]) for i in range(50)] + [(60, 5, 60, True, [1, 2, 3, 4, 5]),
+                                                      (61, 5, 60, True, [1, 2, 3, 4, 5]),
+                                                      (62, 5, 60, True, [1, 2, 3, 4, 9])],
+        "doc long, n long, head long, paired boolean, tokens array<long>")
+    kept = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(jaccard, "stored", lambda df: kept.append(df) or df)
+        grouped = jaccard._grouped(sets, 80)
+        assert {r["doc"]: r["group"] for r in grouped.collect()} == {
+            **{i: i for i in range(50)}, 60: 60, 61: 60, 62: 62}
+        some = jaccard._verified(spark.createDataFrame([(61, 60), (62, 60)], "doc long, b long"),
+                                 grouped, 80)
+        assert [tuple(r) for r in some.collect()] == [(61, 60)]
+    moved = next(df for df in kept if df.columns == ["doc", "n", "tokens"])
+    assert sorted(r["doc"] for r in moved.collect()) == [60, 61, 62]
+
+
 def test_host_rules_counts(docs, rows, empty):
     got = by_id(host_rules.judge(docs))
     for i, text, *_ in rows[:22]:
