@@ -9,9 +9,12 @@ bytes, and all but the earliest of them start a repeat.
 One suffix array of everything would not fit a task. Two equal strings of ``LENGTH`` bytes have
 the same winnowed anchor at the same place inside. So strings are compared among those of their
 anchor only: an anchor used once has no repeats, equal surroundings of an anchor are settled by
-their hash and only the earliest is searched, and the rest is dealt by anchor to suffix arrays of
-bounded size. An anchor with more different surroundings than fit one array is settled by hashes
-of its ``LENGTH``-byte strings, combined where they are made; nothing is left out.
+their hash and only the earliest is searched. The rest is cut into ``PARTS`` by the anchor's place in
+the string, and the strings of a part have most of their bytes in common: this core tells far more
+than the anchor, so one used once has no repeats either, however common its anchor is. Parts of a
+core are settled in the same way and dealt by core to suffix arrays of bounded size. A core with more
+different parts than fit one array is settled by hashes of its ``LENGTH``-byte strings, combined
+where they are made; nothing is left out.
 
 Copies of a whole text are settled beforehand. A null text is empty. A row without an id takes
 no part: nothing is removed from it. Ids are taken to name one text each. An empty table gives an empty
@@ -36,7 +39,8 @@ LENGTH = 100
 ANCHOR = 24            # bytes of an anchor
 ARRAY_BYTES = 1 << 19  # surroundings in one suffix array, about
 CHUNK_BYTES = 1 << 19  # text of a block that is taken apart at once
-MOST_OF_ANCHOR = 100   # different surroundings of an anchor that go to one array
+PARTS = 4              # parts of a surrounding, by the anchor's place in its strings
+MOST_OF_ANCHOR = 100   # different parts of a core that go to one array
 
 
 # --- suffix arrays ---------------------------------------------------------------------------
@@ -183,7 +187,7 @@ def _seeds(length: int, anchor: int):
     return of
 
 
-READS = "seed long, surrounding binary, doc_id long, start int, starts int"
+READS = "seed long, surrounding binary, doc_id long, start int, starts int, lead int"
 
 
 def _reads(length: int, anchor: int):
@@ -207,9 +211,10 @@ def _reads(length: int, anchor: int):
                     for b, n in zip(begin, count)],
                 "doc_id": pdf["doc_id"].to_numpy()[doc],
                 "start": (begin - data.at[doc]).astype(np.int32),
-                "starts": count.astype(np.int32)}))
+                "starts": count.astype(np.int32),
+                "lead": (data.choice[first] - begin).astype(np.int32)}))
         return pd.concat(out) if out else pd.DataFrame(
-            columns=["seed", "surrounding", "doc_id", "start", "starts"])
+            columns=["seed", "surrounding", "doc_id", "start", "starts", "lead"])
     return of
 
 
@@ -217,17 +222,52 @@ def _fetched(length: int):
     """The bytes of surroundings, from the texts that they stand in."""
     def of(docs: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         texts = dict(zip(docs["doc_id"], texts_of(docs))) if len(wanted) else {}
-        out = wanted[["seed", "kinds", "doc_id", "start", "starts"]].copy()
+        out = wanted[["doc_id", "start", "starts", "lead"]].copy()
         out["bytes"] = [texts[d][s:s + n + length - 1] for d, s, n in zip(
             wanted["doc_id"], wanted["start"], wanted["starts"])]
         return out
     return of
 
 
+def parts_of(starts: np.ndarray, lead: np.ndarray, length: int, anchor: int):
+    """Surroundings cut by the anchor's place in the string, ``PARTS`` ranges of it.
+
+    Of each part: index of its surrounding, first place and number of places, begin and end of the
+    bytes that all strings with the anchor in this range have.
+    """
+    most = length - anchor
+    width = -(-(most + 1) // PARTS)
+    low = lead - starts + 1              # the anchor's place in the last string
+    count = lead // width - low // width + 1
+    row = np.repeat(np.arange(len(starts)), count)
+    part = low[row] // width + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    top = np.minimum(lead[row], (part + 1) * width - 1)
+    bottom = np.maximum(low[row], part * width)
+    core = lead[row] - part * width
+    return (row, lead[row] - top, top - bottom + 1, core,
+            lead[row] - np.minimum((part + 1) * width - 1, most) + length)
+
+
+def _cores(length: int, anchor: int):
+    """Parts of surroundings by the hash of their core."""
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            row, offset, places, begin, end = parts_of(
+                pdf["starts"].to_numpy(np.int64), pdf["lead"].to_numpy(np.int64), length, anchor)
+            body = pdf["bytes"].to_list()
+            hashed = b"".join(hashlib.blake2b(body[r][b:e], digest_size=8).digest()
+                              for r, b, e in zip(row.tolist(), begin.tolist(), end.tolist()))
+            yield pd.DataFrame({
+                "core": np.frombuffer(hashed, np.int64), "doc_id": pdf["doc_id"].to_numpy()[row],
+                "start": pdf["start"].to_numpy()[row], "offset": offset.astype(np.int32),
+                "places": places.astype(np.int32)})
+    return of
+
+
 def _arrays(length: int):
     """Repeats among the surroundings of one suffix array, as runs of places."""
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        # anchors are told apart by their bytes; order by age so that the result is the same
+        # cores are told apart by their bytes; order by age so that the result is the same
         pdf = pdf.sort_values(["doc_id", "start"], ignore_index=True)
         read, offset, later = later_starts(pdf["bytes"].to_list(), pdf["starts"].to_numpy(),
                                            length)
@@ -245,7 +285,7 @@ def _arrays(length: int):
 
 
 def _strings(length: int):
-    """Hashes of the strings of surroundings, for anchors too common for one array."""
+    """Hashes of the strings of parts, for cores too common for one array."""
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             count = pdf["starts"].to_numpy()
@@ -260,7 +300,7 @@ def _strings(length: int):
 
 
 def _rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Runs of the places of a surrounding other than those of ``first``."""
+    """Runs of the places of a part other than those of ``first``."""
     for pdf in batches:
         rows = []
         for doc, start, starts, first in zip(pdf["doc_id"], pdf["start"], pdf["starts"],
@@ -293,6 +333,36 @@ def _removed(length: int):
     return of
 
 
+def _parts_to_compare(compared: DataFrame, length: int,
+                      anchor: int) -> tuple[DataFrame, DataFrame]:
+    """Parts of surroundings whose core others have too: later uses of equal ones, and the rest.
+
+    The rest is ``core, kinds, doc_id, start, starts, bytes``: the earliest use of each part, and how
+    many different ones its core has.
+    """
+    cores = stored(compared.select("doc_id", "start", "starts", "lead", "bytes").mapInPandas(
+        _cores(length, anchor), "core long, doc_id long, start int, offset int, places int"))
+    used = stored(cores.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
+    wanted = stored(cores.join(used, "core"))
+    dropped(cores)
+    parts = stored(wanted.join(compared.select("doc_id", "start", "bytes"), ["doc_id", "start"])
+                   .select("core", "doc_id", (F.col("start") + F.col("offset")).alias("start"),
+                           F.col("places").alias("starts"),
+                           F.substring("bytes", F.col("offset") + 1, F.col("places") + length - 1)
+                           .alias("bytes")))
+    dropped(wanted)
+    place = F.struct("doc_id", "start", "starts")
+    first = stored(parts.groupBy("core", "bytes").agg(F.min(place).alias("first"),
+                                                      F.count("*").alias("n")))
+    copies = stored(parts.join(first.where("n > 1").select("core", "bytes", "first"),
+                               ["core", "bytes"]).where(place > F.col("first"))
+                    .select("doc_id", "start", "starts"))
+    kinds = first.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    different = stored(first.join(kinds, "core").select("core", "kinds", "first.*", "bytes"))
+    dropped(parts, first)
+    return copies, different
+
+
 def _runs(docs: DataFrame, heads: DataFrame, length: int, anchor: int) -> DataFrame:
     """``doc_id, start, starts``: places where a string starts that also starts earlier."""
     blocks = block_count(docs)
@@ -304,7 +374,7 @@ def _runs(docs: DataFrame, heads: DataFrame, length: int, anchor: int) -> DataFr
     known = searched.union(seeds)
     reads = stored(by_id(docs, blocks).groupBy("block").cogroup(known.groupBy("block"))
                    .applyInPandas(_reads(length, anchor), READS))
-    place = F.struct("doc_id", "start", "starts")
+    place = F.struct("doc_id", "start", "starts", "lead")
     first = stored(reads.groupBy("seed", "surrounding").agg(
         F.min(place).alias("first"), F.count("*").alias("n")))
     # later uses of equal surroundings
@@ -315,30 +385,32 @@ def _runs(docs: DataFrame, heads: DataFrame, length: int, anchor: int) -> DataFr
     # anchors with different surroundings: only the earliest use of each is left to compare
     kinds = first.groupBy("seed").agg(F.count("*").alias("kinds"))
     several = stored(first.join(kinds.where("kinds > 1"), "seed").select(
-        id_block("first.doc_id", blocks), "seed", "kinds", "first.*"))
+        id_block("first.doc_id", blocks), "first.*"))
     dropped(first)
     compared = stored(by_id(docs, blocks).groupBy("block").cogroup(several.groupBy("block"))
-                      .applyInPandas(_fetched(length), "seed long, kinds long, doc_id long, "
-                                                       "start int, starts int, bytes binary"))
+                      .applyInPandas(_fetched(length), "doc_id long, start int, starts int, "
+                                                       "lead int, bytes binary"))
     dropped(several)
-    small = compared.where(F.col("kinds") <= MOST_OF_ANCHOR)
+    copies, different = _parts_to_compare(compared, length, anchor)
+    dropped(compared)
+    small = different.where(F.col("kinds") <= MOST_OF_ANCHOR)
     total = small.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     arrays = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")),
                  -(-total // ARRAY_BYTES))
-    array = F.pmod(F.xxhash64("seed"), F.lit(arrays)).alias("array")
+    array = F.pmod(F.xxhash64("core"), F.lit(arrays)).alias("array")
     among = small.select(array, "doc_id", "start", "starts", "bytes").groupBy("array") \
         .applyInPandas(_arrays(length), "doc_id long, start int, starts int")
-    # common anchors: the earliest use of each string stays, all its other uses go
-    many = compared.where(F.col("kinds") > MOST_OF_ANCHOR)
+    # common cores: the earliest use of each string stays, all its other uses go
+    many = different.where(F.col("kinds") > MOST_OF_ANCHOR)
     earliest = many.select("doc_id", "start", "starts", "bytes").mapInPandas(
         _strings(length), "string binary, doc_id long, start int, offset int").groupBy(
         "string").agg(F.min(F.struct("doc_id", "start", "offset")).alias("first"))
     stay = earliest.groupBy("first.doc_id", "first.start").agg(
-        F.collect_list("first.offset").alias("first"))  # no more than the places of one anchor
+        F.collect_list("first.offset").alias("first"))  # no more than the places of one part
     common = many.select("doc_id", "start", "starts").join(
         stay, ["doc_id", "start"], "left").mapInPandas(_rest, "doc_id long, start int, starts int")
-    found = stored(later.union(among).union(common).distinct())
-    dropped(later, compared)
+    found = stored(later.union(copies).union(among).union(common).distinct())
+    dropped(later, copies, different)
     return found
 
 

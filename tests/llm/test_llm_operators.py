@@ -447,6 +447,39 @@ def test_byte_repeats_match_brute_force(docs, rows, empty, monkeypatch, most):
     assert suffix_dedup.dedup(empty).count() == 0
 
 
+def test_parts_of_surroundings_cover_each_place_once():
+    starts, lead = np.array([77, 1, 30, 40]), np.array([76, 0, 50, 39])
+    row, offset, places, begin, end = suffix_dedup.parts_of(starts, lead, 100, 24)
+    for i in range(4):
+        mine = row == i
+        assert sorted(p for o, n in zip(offset[mine], places[mine]) for p in range(o, o + n)) \
+            == list(range(starts[i]))
+    # the core lies in each string of the part, and around the anchor
+    assert (begin >= offset + places - 1).all() and (end <= offset + 100).all()
+    assert (begin <= lead[row]).all() and (end >= lead[row] + 24).all() and (end - begin >= 80).all()
+
+
+def test_a_common_anchor_alone_asks_for_no_strings(spark, monkeypatch):
+    """Strings with a common anchor are hashed for what they share beyond it, not one by one."""
+    rng = random.Random(8)
+    anchor = "an anchor of 24 bytes ab"
+    texts = {i: f"{''.join(rng.choices('abcdefgh', k=76))}{anchor}"
+                f"{''.join(rng.choices('abcdefgh', k=76))}" for i in range(150)}
+    rows = [(i, 0, 77, 76, bytearray(t.encode())) for i, t in texts.items()]
+    compared = spark.createDataFrame(rows, "doc_id long, start int, starts int, lead int, bytes binary")
+    copies, different = suffix_dedup._parts_to_compare(compared, 100, 24)
+    assert copies.count() == 0 and different.count() == 0
+    # a string that two of them share is found; so are those of a long passage used 40 times
+    shared = texts[3][40:150]
+    texts |= {200: "x" * 9 + shared + "yz", 201: texts[4][:120]}
+    passage = prose(31, 60)
+    texts |= {300 + i: f"{i} {passage[:200 + 3 * i]} {prose(600 + i, 9)}" for i in range(40)}
+    monkeypatch.setattr(suffix_dedup, "MOST_OF_ANCHOR", 5)  # both ways
+    got = by_id(suffix_dedup.dedup(spark.createDataFrame(
+        list(texts.items()), "doc_id long, text string")))
+    assert {i: tuple(r)[1:5] for i, r in got.items()} == plain_cuts(texts)
+
+
 def test_classes_are_those_of_equal_prefixes():
     rng = random.Random(4)
     reads = ["".join(rng.choices("ab", k=60)).encode() for _ in range(30)]
